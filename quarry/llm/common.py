@@ -89,50 +89,53 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
-def star_links(members: DataFrame, confirm, what: str, spend: float = 4.0) -> DataFrame:
-    """Links (a, b) that join everything confirm() accepts among ids sharing a bucket, without emitting all pairs.
-
-    members: (bucket, id), ids may be in many buckets. confirm: (a, b) candidate
-    pairs in, the accepted ones out. The first round pairs each bucket's smallest
-    id with its other members (a star: as many pairs as members). Two ids of one
-    component need no further test, so later rounds look only at buckets that
-    still hold several components: those outside the bucket's largest component
-    become centres in their turn, each against the members of other components.
-    If the pairs that are left number no more than `spend` times the members,
-    they are all tested at once; else one new centre a bucket and round, so
-    pairs per round stay linear in the members. It ends when every pair in a
-    bucket is either tested or within a component: no link between components
-    that a bucket could show is lost.
+def star_components(members: DataFrame, prepare, what: str, also: DataFrame | None = None, spend: float = 4.0) -> DataFrame:
+    """(id, component) under the links that are accepted among ids sharing a bucket, without emitting all pairs.
+
+    members: (bucket, id), ids may be in many buckets. prepare: gets the ids that
+    share a bucket, returns confirm: candidate pairs (a, b) in, the accepted ones
+    out. also: further links (a, b). Ids without a link aren't returned.
+
+    The first round pairs each bucket's smallest id with its other members (a
+    star: fewer pairs than members). Two ids of one component need no further
+    test, so later rounds look only at buckets that still hold several
+    components: members outside a bucket's largest component become centres,
+    each against the members of other components. If the pairs that are left
+    number at most `spend` times the members, they are all tested at once; else
+    one new centre a bucket and round, so the pairs of a round stay linear in
+    the members. It ends when every pair in a bucket is tested or within one
+    component: no link that a bucket could show is lost.
     """
     spark = members.sparkSession
     size = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
     held, held_path = written(members.join(size, "bucket"), what + "-buckets")
-    tested = held.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    links, links_path = written(confirm(tested), what + "-links")
-    done, done_path = written(held.select("bucket", F.col("centre").alias("id")).distinct(), what + "-centres")
     volume = held.count()
-    links_paths, old = [links_path], []
+    none = spark.createDataFrame([], "a long, b long")
+    links = also if also is not None else none
+    if not volume:
+        drop_path(spark, held_path)
+        return components(links, what)
+    confirm = prepare(held.select("id").distinct())
+    first, _ = written(confirm(held.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()), what + "-links")
+    links = links.unionByName(first)
+    done, old = held.select("bucket", F.col("centre").alias("id")).distinct(), [held_path]
     while True:
-        if not volume:
-            break
         comp = components(links, what)
         named = held.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        most = per.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("total")).where("parts > 1")
+        most = per.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("total")).where("parts > 1").select("bucket", "main", "total")
         open_, open_path = written(named.join(most, "bucket"), what + "-open")
         outside = open_.where("component <> main").join(done, ["bucket", "id"], "left_anti")
         left = outside.agg(F.count("*").alias("n"), F.sum("total").alias("pairs")).first()
+        old.append(open_path)
         if not left["n"]:
-            old.append(open_path)
-            break
+            drop_path(spark, *old)
+            return comp
         if left["pairs"] > spend * volume:
             outside = outside.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("s")).select("bucket", "s.id", "s.component")
-        centres, centres_path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own")), what + "-next")
+        centres, path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own")), what + "-centres")
+        old.append(path)
         pairs = centres.join(open_.select("bucket", "id", "component"), "bucket").where("own <> component").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-        more, more_path = written(confirm(pairs), what + "-links")
-        links_paths.append(more_path)
+        more, _ = written(confirm(pairs), what + "-links")
         links = links.unionByName(more)
         done = done.unionByName(centres.select("bucket", F.col("centre").alias("id")))
-        old += [open_path, centres_path]
-    drop_path(spark, held_path, done_path, *old)
-    return links
