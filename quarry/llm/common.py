@@ -8,7 +8,9 @@ executors see. A lost executor costs the tasks of the current stage only.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +50,10 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete shuffle files of plans that are out of use; they go with the JVM's garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python held, the second of what that held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def wide(spark: SparkSession, least: int = 1) -> int:

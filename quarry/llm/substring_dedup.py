@@ -36,10 +36,11 @@ from quarry.llm.suffix_groups import suffix_array
 LAST_ID = 2**63 - 1
 #: Bytes put in suffix order at once; grams are not split, so a gram's contexts may exceed it.
 BLOCK = 1 << 15
-#: Kinds of packed columns: document, row key, first window, windows; then the gram. SENT: gram, context, first window, windows, settled; ids and keys of the senders, and whose each anchor is.
+#: Kinds of packed columns: document, row key, first window, windows; then the gram. SENT: gram, context (48 bits), first window, windows; ids and keys of the senders; for each anchor 1 if the next sender's begin, and 2 if it is settled.
+#: An anchor's number of windows is under `width`, at most 255; 32 bits of the gram, its bucket and 48 bits of the context name a context.
 MARKS = (np.int64, np.int64, np.uint32, np.uint32)
-ASKED = (*MARKS, np.uint64)
-SENT = (np.uint64, np.uint64, np.uint32, np.uint32, np.uint8, np.int64, np.int64, np.uint32)
+ASKED = (*MARKS, np.uint32)
+SENT = (np.uint32, np.uint32, np.uint16, np.uint32, np.uint8, np.int64, np.int64, np.uint8)
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -98,10 +99,11 @@ def find_anchors(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                 settled[order] = doc[text[order]] > low
 
                 def who(mine):
-                    at = np.unique(text[mine])
-                    return doc[at], key[at], np.searchsorted(at, text[mine]).astype(np.uint32)
+                    own = text[mine]  # ascending
+                    new = np.r_[True, own[1:] != own[:-1]]
+                    return doc[own[new]], key[own[new]], (new + 2 * settled[mine]).astype(np.uint8)
 
-                yield send(dealt(gram, buckets), 0, [gram, context, first.astype(np.uint32), (last - first + 1).astype(np.uint32), settled.astype(np.uint8)], who)
+                yield send(dealt(gram, buckets), 0, [gram.astype(np.uint32), context.astype(np.uint32), (context >> np.uint64(32)).astype(np.uint16), first.astype(np.uint32), (last - first + 1).astype(np.uint8)], who)
 
     return rows.mapInArrow(run, ROWS)
 
@@ -127,8 +129,10 @@ def settle(found: DataFrame, buckets: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         cols: list[list] = [[] for _ in range(7)]
         for blob in table.column("data").to_pylist():
-            gram, context, first, many, done, ids, keys, who = unpacked(blob, SENT)
-            for col, v in zip(cols, (gram, context, first, many, done, ids[who], keys[who]), strict=True):
+            gram, low, high, first, many, ids, keys, step = unpacked(blob, SENT)
+            who = np.cumsum(step & 1) - 1
+            context = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+            for col, v in zip(cols, (gram, context, first, many.astype(np.uint32), step >> 1, ids[who], keys[who]), strict=True):
                 col.append(v)
         gram, context, first, many, done, doc, key = (np.concatenate(c) for c in cols)
         order = np.lexsort((doc, context, gram))
