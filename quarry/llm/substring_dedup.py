@@ -295,7 +295,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left out. What is left of a text may begin or end within a character.
     """
     spark = docs.sparkSession
-    buckets = 2 * wide(spark, 16)
+    buckets = wide(spark, 16)
     kind = dict(docs.dtypes)[id_col]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = F.col(id_col).cast("long")
