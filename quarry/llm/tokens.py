@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 WHITE = r"\t-\r "
@@ -19,6 +20,9 @@ ODD = re.compile(rf"[^{WHITE}!-~{LATIN}]")
 #: The pre-token patterns of the two files, for the characters that ODD doesn't find.
 BYTES_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^{WHITE}{LATIN}0-9]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 WORDS_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^{WHITE}{LATIN}0-9]+")
+#: The byte-level alphabet, by its rule: printable bytes stand for themselves, the others for characters from 256 on, in order.
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
 #: Pre-tokens kept by a worker.
 MOST_CACHED = 400_000
 
@@ -67,8 +71,9 @@ class Encoder:
         if len(cache) > MOST_CACHED:
             cache.clear()
         new = list(set().union(*plain.values()).difference(cache)) if plain else []
-        for a in range(0, len(new), 20_000):
-            cache.update(zip(new[a : a + 20_000], whole(new[a : a + 20_000]), strict=True))
+        word = tool.model.tokenize  # a pre-token needs no pipeline, only the model
+        for x in new:
+            cache[x] = struct.pack(f"<{len(ids := [t.id for t in word(x.encode().decode('latin-1').translate(ALPHABET))])}I", *ids)
         for i, x in plain.items():
             out[i] = b"".join(map(cache.__getitem__, x))
         return out
