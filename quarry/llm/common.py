@@ -91,7 +91,7 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
-def star_components(members: DataFrame, prepare, what: str, also: DataFrame | None = None, spend: float = 4.0) -> DataFrame:
+def star_components(members: DataFrame, prepare, what: str, also: DataFrame | None = None, spend: float = 32.0) -> DataFrame:
     """(id, component) under the links that are accepted among ids sharing a bucket, without emitting all pairs.
 
     members: (bucket, id), ids may be in many buckets. prepare: gets the ids that
