@@ -42,11 +42,11 @@ def labelled_sample(rows: DataFrame, label: str, key: list[str], per_label: int,
     if not counts:
         return []
     spark = rows.sparkSession
-    share = spark.createDataFrame([(k, min(1.0, 3 * per_label / n)) for k, n in counts.items()], f"{label} {dict(rows.dtypes)[label]}, share double")
+    share = spark.createDataFrame([(k, min(1.0, 1.5 * per_label / n)) for k, n in counts.items()], f"{label} {dict(rows.dtypes)[label]}, share double")
     order = F.xxhash64(*key)
     thin = rows.join(F.broadcast(share), label).withColumn("at", order).where((F.shiftrightunsigned("at", 11).cast("double") / 2.0**53) < F.col("share"))
     got: dict = {}
-    for r in thin.orderBy("at", *key).limit(4 * per_label * len(counts)).select(label, *payload).collect():
+    for r in thin.orderBy("at", *key).limit(2 * per_label * len(counts)).select(label, *payload).collect():
         got.setdefault(r[label], []).append(r)
     return [r for k in sorted(got, key=str) for r in got[k][:per_label]]
 
