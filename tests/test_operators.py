@@ -56,7 +56,7 @@ def test_best_of_two(spark):
 
 
 def test_texts(spark):
-    one = lambda c, **v: spark.range(1).select(*(F.lit(x).alias(k) for k, x in v.items())).select(c).first()[0]
+    one = lambda what, **v: spark.range(1).select("id", *(F.lit(x).alias(k) for k, x in v.items())).select(what).first()[0]
     assert one(text.last_answer(F.col("c")), c="<answer>x</answer> <answer> y </answer>") == "y"
     assert one(text.last_answer(F.col("c")), c="none") is None
     assert one(text.valid_message(F.col("c")), c="<think>t</think><answer>a</answer>")
