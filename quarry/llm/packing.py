@@ -27,6 +27,8 @@ from quarry.llm import spans
 from quarry.llm.common import written
 from quarry.llm.tokens import Encoder
 
+#: Pre-tokens kept by a worker and bytes of text taken at once: two workers share an executor with its JVM.
+MOST_CACHED, TEXTS_AT_ONCE = 200_000, 512 << 10
 PIECES = "{id} {kind}, piece int, start long, length long, ids_crc32 long{ids}"
 
 
@@ -83,7 +85,7 @@ def pieces_of(docs: DataFrame, encoder: Encoder, end_id: int, capacity: int, id_
     def run(parts):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for part in parts:
-            for i, j in spans.batches(part.column("text"), 2 << 20):
+            for i, j in spans.batches(part.column("text"), TEXTS_AT_ONCE):
                 x = part.slice(i, j - i)
                 rows, end = ([], [], [], [], [], [], []), np.array([end_id], "<u4").tobytes()
                 for d, ids in enumerate(encoder.encode(x.column("text").to_pylist())):
@@ -113,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     other columns are left out. Sequences are numbered from 0 and filled from
     offset 0 without holes.
     """
-    made, _ = written(pieces_of(docs, Encoder(tokenizer), end_id, capacity, id_col, text_col, keep_ids), "pieces")
+    made, _ = written(pieces_of(docs, Encoder(tokenizer, MOST_CACHED), end_id, capacity, id_col, text_col, keep_ids), "pieces")
     counts, _ = written(made.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     base = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     runs, _ = sweep({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

@@ -32,8 +32,8 @@ class Encoder:
 
     _loaded: dict[str, tuple] = {}
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, most_cached: int = MOST_CACHED):
+        self.path, self.most_cached = path, most_cached
 
     def _tools(self):
         if self.path not in self._loaded:
@@ -68,7 +68,7 @@ class Encoder:
                     plain[i] = cut.findall(t.lower() if lower else t)
         for i, x in zip(odd, whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = x
-        if len(cache) > MOST_CACHED:
+        if len(cache) > self.most_cached:
             cache.clear()
         new = list(set().union(*plain.values()).difference(cache)) if plain else []
         word = tool.model.tokenize  # a pre-token needs no pipeline, only the model
