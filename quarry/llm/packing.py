@@ -28,7 +28,7 @@ from quarry.llm.common import written
 from quarry.llm.tokens import Encoder
 
 #: Pre-tokens kept by a worker and bytes of text taken at once: two workers share an executor with its JVM.
-MOST_CACHED, TEXTS_AT_ONCE = 200_000, 512 << 10
+MOST_CACHED, TEXTS_AT_ONCE = 400_000, 512 << 10
 PIECES = "{id} {kind}, piece int, start long, length long, ids_crc32 long{ids}"
 
 
