@@ -259,13 +259,23 @@ def decide(contexts: DataFrame, width: int, buckets: int) -> DataFrame:
         some, lo, hi = some[some_order], lo[some_order], hi[some_order]
         doc, key, gram, start, from_ = doc[some], key[some], gram[some], first[some].astype(np.int64) + lo, own[some] + lo
         size = hi - lo + width
-        ends = np.cumsum(size)
         found: list[tuple] = []
+        # of equal contexts those of larger documents are covered whole; only the smallest document's are put in suffix order
+        heads: dict[bytes, int] = {}
+        same = np.array([heads.setdefault(data[p : p + n].tobytes(), len(heads)) for p, n in zip(from_.tolist(), size.tolist(), strict=True)], np.int64)
+        least = np.full(len(heads), LAST_ID, np.int64)
+        np.minimum.at(least, same, doc)
+        copy = doc > least[same]
+        del heads
+        if copy.any():
+            found.append((doc[copy], key[copy], start[copy].astype(np.uint32), (size[copy] - width + 1).astype(np.uint32)))
+            doc, key, gram, start, from_, size = (c[~copy] for c in (doc, key, gram, start, from_, size))
+        ends = np.cumsum(size)
         a = 0
-        while a < len(some):
+        while a < len(doc):
             b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right"))
             b = max(a + 1, b)
-            while b < len(some) and gram[b] == gram[b - 1]:
+            while b < len(doc) and gram[b] == gram[b - 1]:
                 b += 1
             cut = np.r_[0, np.cumsum(size[a:b])]
             bytes_ = data[np.repeat(from_[a:b] - cut[:-1], size[a:b]) + np.arange(cut[-1])]
