@@ -91,22 +91,25 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
-def star_components(members: DataFrame, prepare, what: str, also: DataFrame | None = None, spend: float = 32.0) -> DataFrame:
+def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256) -> DataFrame:
     """(id, component) under the links that are accepted among ids sharing a bucket, without emitting all pairs.
 
-    members: (bucket, id), ids may be in many buckets. prepare: gets the ids that
-    share a bucket, returns confirm: candidate pairs (a, b) in, the accepted ones
-    out. also: further links (a, b). Ids without a link aren't returned.
+    members: (bucket, id), ids may be in many buckets. marks: (id, mark), a few
+    bytes that tell most pairs apart; close: gets two marks, false only where a
+    link is impossible. prepare: gets the ids that share a bucket, returns confirm:
+    candidate pairs (a, b) in, the accepted ones out. also: further links (a, b).
+    Ids without a link aren't returned.
 
     The first round pairs each bucket's smallest id with its other members (a
     star: fewer pairs than members). Two ids of one component need no further
     test, so later rounds look only at buckets that still hold several
     components: members outside a bucket's largest component become centres,
-    each against the members of other components. If the pairs that are left
-    number at most `spend` times the members, they are all tested at once; else
-    one new centre a bucket and round, so the pairs of a round stay linear in
-    the members. It ends when every pair in a bucket is tested or within one
-    component: no link that a bucket could show is lost.
+    each against the members of other components. Marks are compared within the
+    join, so it emits close pairs only. A round compares about `spend` marks a
+    member at most: if more are left, a share of the centres chosen by hash is
+    taken, the smallest of each bucket with it. A bucket with many comparisons is
+    dealt over many tasks. It ends when every pair in a bucket is tested or
+    within one component: no link that a bucket could show is lost.
     """
     spark = members.sparkSession
     size = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
@@ -117,16 +120,18 @@ def star_components(members: DataFrame, prepare, what: str, also: DataFrame | No
     if not volume:
         drop_path(spark, held_path)
         return components(links, what)
-    confirm = prepare(held.select("id").distinct())
+    ids = held.select("id").distinct()
+    confirm = prepare(ids)
+    mark, mark_path = written(marks.join(ids, "id", "left_semi"), what + "-marks")
     first, _ = written(confirm(held.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()), what + "-links")
     links = links.unionByName(first)
-    done, old = held.select("bucket", F.col("centre").alias("id")).distinct(), [held_path]
+    done, old = held.select("bucket", F.col("centre").alias("id")).distinct(), [held_path, mark_path]
     while True:
         comp = components(links, what)
         named = held.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
         per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         most = per.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("total")).where("parts > 1").select("bucket", "main", "total")
-        open_, open_path = written(named.join(most, "bucket"), what + "-open")
+        open_, open_path = written(named.join(most, "bucket").join(mark, "id"), what + "-open")
         outside = open_.where("component <> main").join(done, ["bucket", "id"], "left_anti")
         left = outside.agg(F.count("*").alias("n"), F.sum("total").alias("pairs")).first()
         old.append(open_path)
@@ -134,10 +139,17 @@ def star_components(members: DataFrame, prepare, what: str, also: DataFrame | No
             drop_path(spark, *old)
             return comp
         if left["pairs"] > spend * volume:
-            outside = outside.groupBy("bucket").agg(F.min(F.struct("id", "component")).alias("s")).select("bucket", "s.id", "s.component")
-        centres, path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own")), what + "-centres")
+            share = int(spend * volume / left["pairs"] * 2**30)
+            least = outside.groupBy("bucket").agg(F.min("id").alias("least"))
+            outside = outside.join(least, "bucket").where((F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id"), F.lit(2**30)) < share))
+        centres, path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own"), F.col("mark").alias("own_mark"), "total"), what + "-centres")
         old.append(path)
-        pairs = centres.join(open_.select("bucket", "id", "component"), "bucket").where("own <> component").select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+        work = centres.groupBy("bucket").agg(F.ceil(F.sum("total") / F.lit(2.0**18)).alias("deals"))
+        dealt = centres.join(work, "bucket").withColumn("deal", F.pmod(F.xxhash64("centre"), "deals"))
+        others = open_.select("bucket", "id", "component", "mark").join(work, "bucket").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+        # a fixed number of partitions: few bytes stand for much work here, and would be put together in one task
+        dealt, others = (x.repartition(wide(spark, 32), "bucket", "deal") for x in (dealt.drop("deals"), others))
+        pairs = dealt.hint("merge").join(others, ["bucket", "deal"]).where((F.col("own") != F.col("component")) & close(F.col("own_mark"), F.col("mark"))).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         more, _ = written(confirm(pairs), what + "-links")
         links = links.unionByName(more)
         done = done.unionByName(centres.select("bucket", F.col("centre").alias("id")))

@@ -8,7 +8,9 @@ the banded buckets: two sets of similarity s share one of b buckets with
 probability 1 - (1 - s**rows)**b, for 0.8 and 32 bands of 4 all but 5e-8.
 Documents of equal sets collapse first. Within buckets candidates form stars
 and are confirmed on full sets (common.star_components), so pairs stay linear
-in the rows and no confirmed link between different sets is lost.
+in the rows and no confirmed link between different sets is lost. What a star
+leaves open is first compared by marks: each shingle flips one of MARK_BITS
+bits, so two sets differ in at least as many shingles as their marks in bits.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from quarry.llm import spans
 from quarry.llm.common import drop_path, star_components, written
 
 ATTEMPTS = 64
+MARK_BITS = 1024
 
 
 def densified(values: np.ndarray, empty: np.ndarray) -> np.ndarray:
@@ -45,8 +48,9 @@ def densified(values: np.ndarray, empty: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: pa.Array, k: int, bands: int, rows: int):
-    """Per text: set size, two sums that name the set, banded bucket hashes (none for an empty set)."""
+    """Per text: set size, two sums that name the set, its mark, banded bucket hashes (none for an empty set)."""
     bins = bands * rows
+    marks = np.zeros((len(texts), MARK_BITS // 8), np.uint8)
     n, first, second = (np.zeros(len(texts), np.int64), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64))
     values, empty = np.zeros((len(texts), bins), np.uint64), np.ones((len(texts), bins), bool)
     for i, x in enumerate(spans.shingle_sets(texts, k)):
@@ -54,6 +58,7 @@ def signatures(texts: pa.Array, k: int, bands: int, rows: int):
         if not len(x):
             continue
         first[i], second[i] = x.sum(), spans.mix(x ^ np.uint64(0x5BD1E995)).sum()
+        marks[i] = np.packbits((np.bincount((x % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1).astype(np.uint8))
         which = ((x >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)  # rises with x
         at = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
         values[i, which[at]], empty[i, which[at]] = x[at], False
@@ -65,7 +70,18 @@ def signatures(texts: pa.Array, k: int, bands: int, rows: int):
         for j in range(rows):
             h = spans.mix(h * spans.P + full[:, :, j])
         keys[some] = h
-    return n, first, second, keys, some
+    return n, first, second, marks.view(np.int64), keys, some
+
+
+def close(percent: int):
+    """close() of star_components: false where the sizes, or the bits in which two marks differ, rule out 100 * common >= percent * union."""
+
+    def test(a, b):
+        bits = [F.bit_count(F.get(a["bits"], F.lit(i)).bitwiseXOR(F.get(b["bits"], F.lit(i)))) for i in range(MARK_BITS // 64)]
+        most = (a["n"] + b["n"]) * (100 - percent)  # (total - apart) * 100 >= (total + apart) * percent
+        return (F.abs(a["n"] - b["n"]) * (100 + percent) <= most) & (sum(bits[1:], bits[0]) * F.lit(100 + percent) <= most)
+
+    return test
 
 
 def confirmer(candidates: DataFrame, k: int, percent: int):
@@ -109,11 +125,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for part in parts:
             for i, j in spans.batches(part.column("text")):
                 x = part.slice(i, j - i)
-                n, first, second, keys, some = signatures(x.column("text"), k, bands, rows)
+                n, first, second, marks, keys, some = signatures(x.column("text"), k, bands, rows)
                 offsets = np.r_[0, np.cumsum(some * bands)].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([x.column("id"), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))], ["id", "n", "k1", "k2", "bands"])
+                yield pa.RecordBatch.from_arrays([x.column("id"), pa.array(n), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(0, marks.size + 1, MARK_BITS // 64, dtype=np.int32)), pa.array(marks.reshape(-1))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].reshape(-1).view(np.int64)))], ["id", "n", "k1", "k2", "bits", "bands"])
 
-    signed, _ = written(rows_in.mapInArrow(sign, "id long, n long, k1 long, k2 long, bands array<long>"), "near-signed")
+    signed, _ = written(rows_in.mapInArrow(sign, "id long, n long, k1 long, k2 long, bits array<long>, bands array<long>"), "near-signed")
     whole = signed.where("id is not null and n > 0")
     heads = whole.groupBy("n", "k1", "k2").agg(F.min("id").alias("head"))
     copies, copies_path = written(whole.select("id", "n", "k1", "k2").join(heads, ["n", "k1", "k2"]).select("id", "head"), "near-copies")
@@ -128,7 +144,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return confirmer(found, k, percent)
 
     same = copies.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    comp = star_components(members, prepare, "near", same)
+    marks = whole.join(chosen, "id").select("id", F.struct("n", "bits").alias("mark")).distinct()
+    comp = star_components(members, marks, close(percent), prepare, "near", same)
     drop_path(spark, copies_path, *tables)
     out = signed.select("id", "n").join(comp, "id", "left")
     group = F.coalesce("component", "id")

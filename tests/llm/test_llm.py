@@ -7,13 +7,14 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from quarry.llm import common, decontaminate, lang_id, line_dedup, near_dup, packing, quality, queries, substring_dedup, token_counts, token_store, toxicity  # noqa: E402
+from quarry.llm import common, decontaminate, lang_id, line_dedup, near_dup, packing, quality, queries, spans, substring_dedup, token_counts, token_store, toxicity  # noqa: E402
 from quarry.llm.suffix_groups import suffix_array  # noqa: E402
 from quarry.llm.tokens import Encoder  # noqa: E402
 
@@ -89,10 +90,11 @@ def test_components(spark):
 
 def test_star_components_lose_no_link(spark):
     """Links that a bucket's first centre has no part in are found in later rounds, whatever the spending limit."""
+    marks = spark.createDataFrame([(i, i % 5) for i in range(12)], "id long, mark long")
     members = spark.createDataFrame([(7, i) for i in range(12)], "bucket long, id long")
     confirm = lambda ids: lambda pairs: pairs.where("(a % 5 = b % 5) and a + b > 6")
-    for spend in (0.0, 100.0):
-        got = {r["id"]: r["component"] for r in common.star_components(members, confirm, "t", spend=spend).collect()}
+    for spend, close in ((0, lambda a, b: a == b), (100, lambda a, b: a >= b - 5)):  # the second tells nothing apart
+        got = {r["id"]: r["component"] for r in common.star_components(members, marks, close, confirm, "t", spend=spend).collect()}
         want = grouped({i: {i % 5} for i in range(12)})
         links = [(a, b) for a in range(12) for b in range(a) if a % 5 == b % 5 and a + b > 6]
         assert set(got) == {x for e in links for x in e}
@@ -288,3 +290,20 @@ def test_pipeline_takes_awkward_rows(spark, awkward, empty, bench, tmp_path):
 
 def test_queries_are_eleven():
     assert len(queries.QUERIES) == 11 and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_marks_rule_out_no_link(spark):
+    """Pairs of sets whose marks aren't close are never similar enough, at every percentage near the edge."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([3, 30, 300]))]
+        texts += [" ".join(words), " ".join(w if rng.random() > 0.06 else "x" for w in words), " ".join(words[: len(words) * 9 // 10])]
+    texts = pa.array(texts)
+    n, _, _, marks, _, _ = near_dup.signatures(texts, 2, 4, 4)
+    rows = spark.createDataFrame([(i, (int(n[i]), [int(v) for v in marks[i]])) for i in range(len(texts))], "id int, mark struct<n: long, bits: array<long>>")
+    sets = [set(x.tolist()) for x in spans.shingle_sets(texts, 2)]
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    x, y = rows.toDF("a", "ma"), rows.toDF("b", "mb")
+    close = {(r["a"], r["b"]) for r in x.join(y, x["a"] < y["b"]).where(near_dup.close(80)(F.col("ma"), F.col("mb"))).select("a", "b").collect()}
+    assert links <= close and len(close) < len(sets) ** 2 / 4
