@@ -111,17 +111,21 @@ def identify(docs: DataFrame, model: Dictionaries, text_col: str = "text", prefi
     new = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
     kept = [f for f in docs.schema.fields if f.name.lower() not in new]
     names = [f.name for f in kept]
+    # texts are the bulk of a batch: they are sent once, and only one at a time is a Python string
+    sent = text_col if text_col in names and docs.schema[text_col].dataType.simpleString() == "string" else "__text"
 
     def run(parts):
         for part in parts:
-            out = [model.predict(x) for x in part.column("__text").to_pylist()]
+            out = [model.predict(x.as_py()) for x in part.column(sent)]
+            pa.default_memory_pool().release_unused()
             lang, score, rejected = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*names, *new])
 
     schema = docs.select(*(F.col(f"`{n}`") for n in names)).schema
     for n, kind in zip(new, ("string", "double", "boolean"), strict=True):
         schema = schema.add(n, kind)
-    return docs.select(*(F.col(f"`{n}`") for n in names), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    own = [] if sent == text_col else [F.col(text_col).cast("string").alias("__text")]
+    return docs.select(*(F.col(f"`{n}`") for n in names), *own).mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
