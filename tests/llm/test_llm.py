@@ -232,6 +232,44 @@ def test_lines(spark, awkward, empty):
     assert all(r["text"] is None for r in got.where("n_chars is null").collect())
 
 
+def edits(x, y):
+    row = np.arange(len(y) + 1)
+    other = np.array(list(y))
+    for i, c in enumerate(x, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (other != c))
+        row = np.minimum.accumulate(np.r_[i, new] - np.arange(len(y) + 1)) + np.arange(len(y) + 1)
+    return int(row[-1])
+
+
+def test_fuzzy_lines_against_brute_force(spark):
+    """One line a document, words substituted, left out or misspelt: groups of edit similarity 0.8 are found, and nothing else goes."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    lines = []
+    for n in [5, 8, 12, 20, 40] * 8:
+        base = [rng.choice(words) for _ in range(n)]
+        gone = rng.randrange(n)
+        lines += [base, [*base[:gone], *base[gone + 1 :]], [rng.choice(words) if rng.random() < 0.1 else w for w in base], [w[:1] + "x" + w[2:] if rng.random() < 0.15 else w for w in base]]
+    lines = [" ".join(x) for x in lines]
+    lines = [x for x in lines if len(x) >= line_dedup.LEAST_CHARS]
+    up = list(range(len(lines)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for b in range(len(lines)):
+        for a in range(b):
+            most = 0.2 * max(len(lines[a]), len(lines[b])) + 1e-9
+            if abs(len(lines[a]) - len(lines[b])) <= most and top(a) != top(b) and edits(lines[a], lines[b]) <= most:
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    want = {i for i in range(len(lines)) if top(i) != i}
+    got = {r["id"] for r in line_dedup.duplicates(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) > 50, (len(got), len(want), len(lines))
+
+
 def test_decontamination(spark, awkward, empty, bench):
     out = decontaminate.decontaminate(awkward, bench)
     rows = out.collect()
