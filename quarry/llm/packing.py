@@ -115,7 +115,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048,
     other columns are left out. Sequences are numbered from 0 and filled from
     offset 0 without holes.
     """
-    made, _ = written(pieces_of(docs, Encoder(tokenizer, MOST_CACHED), end_id, capacity, id_col, text_col, keep_ids), "pieces")
+    made, _ = written(pieces_of(docs, Encoder(tokenizer, MOST_CACHED, added=True), end_id, capacity, id_col, text_col, keep_ids), "pieces")
     counts, _ = written(made.groupBy("length", "task").agg(F.count("*").alias("n")), "piece-counts")
     base = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("base"))
     runs, _ = sweep({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity)

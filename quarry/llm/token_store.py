@@ -115,7 +115,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
-    staged, staged_path = written(stage(dealt, Encoder(tokenizer), end_id, kind), "staged")
+    staged, staged_path = written(stage(dealt, Encoder(tokenizer, added=True), end_id, kind), "staged")
     free_shuffles(spark)
     # places: totals by task are as many as tasks; within a task by a window over its segments
     totals = staged.select("segment", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, v: a + v).alias("n"), F.shiftright("segment", 32).alias("task"))

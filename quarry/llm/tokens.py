@@ -4,7 +4,8 @@ Both byte-level tokenizers cut a text into pre-tokens and encode each alone, so
 a pre-token met before need not be encoded again. Texts of ASCII and Latin
 letters are cut here by the file's own pattern with its character classes
 written out; only pre-tokens that aren't cached go to the library. Texts with
-any other character, and files with another pipeline, go to the library whole.
+any other character or an added token of the file (<|endoftext|>), and files
+with another pipeline, go to the library whole.
 """
 
 from __future__ import annotations
@@ -27,42 +28,51 @@ ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in P
 MOST_CACHED = 400_000
 
 
+def added_tokens(plan: dict) -> re.Pattern | None:
+    """Finds texts in which the library may see an added token; in any case of letters, as some are looked for in normalised text."""
+    words = [x["content"] for x in plan.get("added_tokens") or [] if x["content"]]
+    return re.compile("|".join(map(re.escape, words)), re.IGNORECASE) if words else None
+
+
 class Encoder:
-    """encode(texts) -> ids of each as bytes, little-endian unsigned 32-bit. Travels as the file's path; each worker loads it once."""
+    """encode(texts) -> ids of each as bytes, little-endian unsigned 32-bit. Travels as the file's path; each worker loads it once.
+
+    added: a text's literal added tokens (<|endoftext|>) get their own ids, as by the library's defaults; otherwise they are plain text.
+    """
 
-    _loaded: dict[str, tuple] = {}
+    _loaded: dict[tuple, tuple] = {}
 
-    def __init__(self, path: str, most_cached: int = MOST_CACHED):
-        self.path, self.most_cached = path, most_cached
+    def __init__(self, path: str, most_cached: int = MOST_CACHED, added: bool = False):
+        self.path, self.most_cached, self.added = path, most_cached, added
 
     def _tools(self):
-        if self.path not in self._loaded:
+        if (self.path, self.added) not in self._loaded:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             tool = Tokenizer.from_file(self.path)
-            tool.encode_special_tokens = True
+            tool.encode_special_tokens = not self.added
             with open(self.path, encoding="utf-8") as f:
                 plan = json.load(f)
             before, norm = plan.get("pre_tokenizer") or {}, plan.get("normalizer") or {}
-            cut, lower = None, False
+            cut, lower, added = None, False, added_tokens(plan) if self.added else None
             if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not norm:
                 cut = BYTES_CUT
             elif [x.get("type") for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"] and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and before["pretokenizers"][0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
                 cut, lower = WORDS_CUT, True
-            self._loaded[self.path] = (tool, cut, lower, {})
-        return self._loaded[self.path]
+            self._loaded[self.path, self.added] = (tool, cut, lower, added, {})
+        return self._loaded[self.path, self.added]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         import numpy as np
 
-        tool, cut, lower, cache = self._tools()
+        tool, cut, lower, added, cache = self._tools()
         whole = lambda xs: [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch_fast(xs, add_special_tokens=False)]
         out: list = [b""] * len(texts)
         plain, odd = {}, []
         for i, t in enumerate(texts):
             if t:
-                if cut is None or ODD.search(t):
+                if cut is None or ODD.search(t) or (added and added.search(t)):
                     odd.append(i)
                 else:
                     plain[i] = cut.findall(t.lower() if lower else t)

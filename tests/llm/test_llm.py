@@ -128,6 +128,22 @@ def test_encoders_agree_with_the_library(spark):
         assert Encoder(public_tokenizers.path(name)).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_as_the_library_finds_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["hello <|endoftext|>", "<|startoftext|>a<|endoftext|> b", "a<|ENDOFTEXT|>b <|StartOfText|>", "日本 <|endoftext|>", "plain < | > text", "<|endoftext|>"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tool = Tokenizer.from_file(public_tokenizers.path(name))
+        assert Encoder(public_tokenizers.path(name), added=True).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch(texts, add_special_tokens=False)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = [Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(t, add_special_tokens=False).ids for t in texts]
+    token_store.write_store(docs, f"{tmp_path}/s", public_tokenizers.path("byte_bpe_50k.json"))
+    got = token_store.read_store(spark, f"{tmp_path}/s", with_ids=True).collect()
+    assert {r["id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist()[: len(w)] for r, w in ((r, want[r["id"]]) for r in got)} == dict(enumerate(want))
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in pieces} == {i: len(tool.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+
+
 def test_token_store(spark, awkward, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder = Encoder(path)
