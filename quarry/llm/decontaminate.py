@@ -13,6 +13,8 @@ size, tells which documents can have hits, and only those go to the join.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +28,20 @@ from quarry.llm.line_dedup import row_key
 MASKS = ("11011011", "110100111", "1011001101")
 WINDOW, AGREE_PERCENT, LEAST_WORDS = 12, 80, 5
 FILTER_BITS = 1 << 24
-SPAN = max(map(len, MASKS))
+
+
+def short_masks(n: int) -> list[str]:
+    """Masks of n places that ignore as many as may differ in an overlap of n words."""
+    apart = n - -(-n * AGREE_PERCENT // 100)
+    return ["".join("0" if j in gone else "1" for j in range(n)) for gone in combinations(range(n), apart)]
 
 
 def seeds(words: np.ndarray, own: np.ndarray, masks: list[str]):
     """(seed hashes, positions) of each mask over all texts; no window crosses the end of a text."""
     end = np.repeat(own[1:], np.diff(own))
-    for m, mask in enumerate(masks):
+    for mask in masks:
         n = max(0, len(words) - len(mask) + 1)
-        h = np.full(n, spans.mix(np.array([m * 64 + len(mask) if mask in MASKS else 1000 + len(mask)], np.uint64))[0])
+        h = np.full(n, spans.mix(np.array([int("1" + mask, 2)], np.uint64))[0])
         for j, keep in enumerate(mask):
             if keep == "1":
                 h = spans.mix(h * spans.P + words[j : j + n])
@@ -61,15 +68,16 @@ def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, of, item, start, words, agree): each document and item with an overlap: its first word in the document, its words and how many agree, of the best alignment. id and of as in line_dedup.row_key."""
     items, items_path = written(item_words(benchmark, item_id, item_text), "items")
-    # an item shorter than every mask is found by its whole sequence
-    short = sorted(r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect())
-    masks = [*MASKS, *("1" * n for n in short)]
+    # an item shorter than a window has masks of its length, for every substitution that leaves it an overlap
+    short = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
+    own_masks = {n: short_masks(n) for n in short}
+    masks = [*MASKS, *(m for n in short for m in own_masks[n])]
 
     def seed_items(parts):
         for part in parts:
             for item, n, words in zip(*(part.column(c).to_pylist() for c in ("item", "n", "words")), strict=True):
                 w = np.frombuffer(words, np.uint64)
-                found = list(seeds(w, np.array([0, n]), [m for m in masks if m in MASKS or len(m) == n]))
+                found = list(seeds(w, np.array([0, n]), [*MASKS, *own_masks.get(n, [])]))
                 h, at = (np.concatenate([x[i] for x in found]) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item)), pa.array(at.astype(np.int32))], ["seed", "item", "at"])
 

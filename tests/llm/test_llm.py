@@ -1,6 +1,7 @@
 """Small fixtures against brute force, and the awkward rows every operator must take: nulls, empty and long texts, ties, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -299,6 +300,21 @@ def test_decontamination(spark, awkward, empty, bench):
     assert [r["contaminated"] for r in decontaminate.decontaminate(changed, bench).orderBy("doc_id").collect()] == [True, False]
 
 
+def test_short_items_with_substitutions(spark):
+    """Items of 5 to 11 words, with every choice of as many substituted words as an overlap allows, and with one more."""
+    rows, items, want = [], [], set()
+    for n in range(5, 12):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for apart in (n // 5, n // 5 + 1):
+            for gone in itertools.combinations(range(n), apart):
+                if apart == n // 5:
+                    want.add(len(rows))
+                rows.append((len(rows), "before it " + " ".join("zz" if k in gone else w for k, w in enumerate(item)) + " after it"))
+    out = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in out.where("contaminated").collect()} == want
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(1500):
