@@ -1,7 +1,8 @@
 """Token ids of whole texts, by a public tokenizer file and the tokenizers library.
 
 Both byte-level tokenizers cut a text into pre-tokens and encode each alone, so
-a pre-token met before need not be encoded again. Texts of ASCII and Latin
+a pre-token met before need not be encoded again: a worker keeps the ids of those
+met lately. Texts of ASCII and Latin
 letters are cut here by the file's own pattern with its character classes
 written out; only pre-tokens that aren't cached go to the library. Texts with
 any other character or an added token of the file (<|endoftext|>), and files
@@ -34,6 +35,32 @@ def added_tokens(plan: dict) -> re.Pattern | None:
     return re.compile("|".join(map(re.escape, words)), re.IGNORECASE) if words else None
 
 
+class Words(dict):
+    """Ids, as bytes, of pre-tokens: made by the model when one is asked for that isn't here.
+
+    Those not asked for since the last but one turn are let go, so common ones stay and about `most` are kept.
+    """
+
+    def __init__(self, model, most: int):
+        super().__init__()
+        self.tokenize, self.most, self.old = model.tokenize, most, {}
+
+    def __missing__(self, x: str) -> bytes:
+        ids = self.old.pop(x, None)
+        if ids is None:
+            # of printable ASCII only the space has another character in the byte-level alphabet
+            plain = x.replace(" ", chr(ALPHABET[32])) if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(ALPHABET)
+            own = [t.id for t in self.tokenize(plain)]  # a pre-token needs no pipeline, only the model
+            ids = struct.pack(f"<{len(own)}I", *own)
+        self[x] = ids
+        return ids
+
+    def turn(self) -> None:
+        if 2 * len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """encode(texts) -> ids of each as bytes, little-endian unsigned 32-bit. Travels as the file's path; each worker loads it once.
 
@@ -60,30 +87,22 @@ class Encoder:
                 cut = BYTES_CUT
             elif [x.get("type") for x in before.get("pretokenizers", [])] == ["Split", "ByteLevel"] and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and before["pretokenizers"][0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
                 cut, lower = WORDS_CUT, True
-            self._loaded[self.path, self.added] = (tool, cut, lower, added, {})
+            self._loaded[self.path, self.added] = (tool, cut, lower, added, Words(tool.model, self.most_cached))
         return self._loaded[self.path, self.added]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         import numpy as np
 
-        tool, cut, lower, added, cache = self._tools()
+        tool, cut, lower, added, words = self._tools()
         whole = lambda xs: [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch_fast(xs, add_special_tokens=False)]
-        out: list = [b""] * len(texts)
-        plain, odd = {}, []
+        out, odd = [b""] * len(texts), []
         for i, t in enumerate(texts):
             if t:
                 if cut is None or ODD.search(t) or (added and added.search(t)):
                     odd.append(i)
                 else:
-                    plain[i] = cut.findall(t.lower() if lower else t)
+                    out[i] = b"".join(map(words.__getitem__, cut.findall(t.lower() if lower else t)))
+                    words.turn()
         for i, x in zip(odd, whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = x
-        if len(cache) > self.most_cached:
-            cache.clear()
-        new = list(set().union(*plain.values()).difference(cache)) if plain else []
-        word = tool.model.tokenize  # a pre-token needs no pipeline, only the model
-        for x in new:
-            cache[x] = struct.pack(f"<{len(ids := [t.id for t in word(x.encode().decode('latin-1').translate(ALPHABET))])}I", *ids)
-        for i, x in plain.items():
-            out[i] = b"".join(map(cache.__getitem__, x))
         return out
