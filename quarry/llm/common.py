@@ -8,15 +8,16 @@ executors see. A lost executor costs the tasks of the current stage only.
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import tempfile
-import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_MADE: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,13 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/quarry/{what}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Within, a query's shuffle files are deleted as it ends: what is kept lies in written tables."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """The rows of df as a table in the shared folder, and its path."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -48,12 +65,16 @@ def drop_path(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete shuffle files of plans that are out of use; they go with the JVM's garbage."""
-    for _ in range(2):  # the first lets go of what Python held, the second of what that held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, every table written within: for a caller that has stored the result by then."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        drop_path(spark, *made)
 
 
 def wide(spark: SparkSession, least: int = 1) -> int:
@@ -61,19 +82,39 @@ def wide(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def frequent(counts: DataFrame, key: str, n: str, share: int = 256) -> list:
+    """The values of key that hold over 1 / share of all rows: fewer than share, so the driver can hold them. counts has a row for each value."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) * share > total).select(key).collect()]
+
+
+def join_spread(rows: DataFrame, small: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """rows.join(small, key), where rows of the frequent values (see frequent) aren't shuffled but meet a broadcast of fewer than 256 rows of small; small has a row for each value."""
+    if not hot:
+        return rows.join(small, key, how)
+    among = F.col(key).isin(hot)
+    return rows.where(~among).join(small.where(~among), key, how).unionByName(rows.where(among).join(F.broadcast(small.where(among)), key, how))
+
+
+def is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each a of edges (a, b) has one b, and no b is an a."""
+    many = edges.groupBy("a").count().where("count > 1").select("a")
+    inner = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
+    return not many.unionByName(inner).limit(1).count()
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable from each end of edges (a, b); ids without an edge aren't returned.
 
     Alternating large-star and small-star contraction: each round is two
     aggregations and joins on ids, so no vertex gathers its neighbours in one
     row, and the number of rounds grows with the logarithm of the longest path.
-    Rounds are written to the shared folder and the last but one deleted.
+    It ends when the edges are stars around their smallest ids. Rounds are
+    written to the shared folder and the last but one deleted.
     """
     spark = edges.sparkSession
-    flat = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, path = written(flat(edges), what)
-    before = None
-    while True:
+    now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), what)
+    while not is_forest_of_stars(now):
         # large star: each larger neighbour of u, and u itself's smaller ones, point at u's smallest neighbour
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -82,74 +123,103 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         after, new = written(small, what)
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
         now, path = after, new
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+
+
+def joined_components(known: DataFrame | None, links: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """known (id, component) after further links (a, b) are taken in, as a written table. Only links between different components are contracted anew."""
+    if known is None:
+        return written(components(links, what), what)
+    named = links
+    for side in ("a", "b"):
+        named = named.join(known.select(F.col("id").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    named = named.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    merged = components(named, what)
+    all_ = known.select(F.col("id"), F.col("component").alias("old")).unionByName(merged.select("id", F.col("id").alias("old")).join(known, "id", "left_anti"))
+    return written(all_.join(merged.select(F.col("id").alias("old"), "component"), "old", "left").select("id", F.coalesce("component", "old").alias("component")), what)
 
 
-def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256) -> DataFrame:
+def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256, turns: int = 1, spent: tuple[str, ...] = ()) -> DataFrame:
     """(id, component) under the links that are accepted among ids sharing a bucket, without emitting all pairs.
 
-    members: (bucket, id), ids may be in many buckets. marks: (id, mark), a few
+    members: (bucket, id), ids may be in many buckets; they are dealt out in `turns`
+    parts, by bucket, one after the other. marks: (id, mark), a few
     bytes that tell most pairs apart; close: gets two marks, false only where a
-    link is impossible. prepare: gets the ids that share a bucket, returns confirm:
+    link is impossible. prepare: gets the ids of candidate pairs, returns confirm:
     candidate pairs (a, b) in, the accepted ones out. also: further links (a, b).
-    Ids without a link aren't returned.
-
-    The first round pairs each bucket's smallest id with its other members (a
-    star: fewer pairs than members). Two ids of one component need no further
-    test, so later rounds look only at buckets that still hold several
-    components: members outside a bucket's largest component become centres,
-    each against the members of other components. Marks are compared within the
-    join, so it emits close pairs only. A round compares about `spend` marks a
-    member at most: if more are left, a share of the centres chosen by hash is
-    taken, the smallest of each bucket with it. A bucket with many comparisons is
-    dealt over many tasks. It ends when every pair in a bucket is tested or
-    within one component: no link that a bucket could show is lost.
+    Ids without a link aren't returned. spent: tables of members and marks, which
+    are deleted once they aren't needed any more.
+
+    The first round pairs each bucket's smallest id, its centre, with its other
+    members (a star: fewer pairs than members). Two ids of one component need no
+    further test, and a centre has met its whole bucket, so later rounds look
+    only at buckets whose other members still lie in several components: those
+    outside a bucket's largest component become centres, each against the members
+    of other components. Marks are compared before anything else of a pair is
+    read. A round compares about `spend` marks a member at most: if more are
+    left, a share of the centres chosen by hash is taken, the smallest of each
+    bucket with it. A bucket with many comparisons is dealt over many tasks. It
+    ends when every pair in a bucket is tested or within one component: no link
+    that a bucket could show is lost.
     """
-    spark = members.sparkSession
-    size = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("n")).where("n > 1").select("bucket", "centre")
-    held, held_path = written(members.join(size, "bucket"), what + "-buckets")
+    spark, tables, old = members.sparkSession, [], []
+    for turn in range(turns):
+        part = members.where(F.pmod("bucket", F.lit(turns)) == turn) if turns > 1 else members
+        shared = part.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("bucket", "centre")
+        table, path = written(part.join(shared.hint("shuffle_hash"), "bucket"), what + "-buckets")
+        tables.append(table)
+        old.append(path)
+    held = reduce(DataFrame.unionByName, tables)
     volume = held.count()
-    none = spark.createDataFrame([], "a long, b long")
-    links = also if also is not None else none
     if not volume:
-        drop_path(spark, held_path)
-        return components(links, what)
-    ids = held.select("id").distinct()
-    confirm = prepare(ids)
-    mark, mark_path = written(marks.join(ids, "id", "left_semi"), what + "-marks")
-    first, _ = written(confirm(held.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()), what + "-links")
-    links = links.unionByName(first)
-    done, old = held.select("bucket", F.col("centre").alias("id")).distinct(), [held_path, mark_path]
+        drop_path(spark, *old, *spent)
+        return joined_components(None, also if also is not None else spark.createDataFrame([], "a long, b long"), what)[0]
+    mark, path = written(marks.join(held.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), what + "-marks")
+    old.append(path)
+    drop_path(spark, *spent)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near, path = written(pairs, what + "-near")
+        confirm = prepare(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
+        links, links_path = written(confirm(near), what + "-links")
+        drop_path(spark, path)
+        old.append(links_path)
+        return links
+
+    star = held.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    for side in ("a", "b"):
+        star = star.join(mark.select(F.col("id").alias(side), F.col("mark").alias(f"mark_{side}")), side)
+    links = confirmed(star.where(close(F.col("mark_a"), F.col("mark_b"))).select("a", "b"))
+    comp, comp_path = joined_components(None, links if also is None else links.unionByName(also), what)
+    left = held.where("id <> centre").select("bucket", "id").distinct()
     while True:
-        comp = components(links, what)
-        named = held.select("bucket", "id").join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+        named, named_path = written(left.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), what + "-named")
         per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
         most = per.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("total")).where("parts > 1").select("bucket", "main", "total")
-        open_, open_path = written(named.join(most, "bucket").join(mark, "id"), what + "-open")
-        outside = open_.where("component <> main").join(done, ["bucket", "id"], "left_anti")
-        left = outside.agg(F.count("*").alias("n"), F.sum("total").alias("pairs")).first()
+        open_, open_path = written(named.join(most, "bucket"), what + "-open")
+        drop_path(spark, named_path)
         old.append(open_path)
-        if not left["n"]:
+        outside = open_.where("component <> main")
+        todo = outside.agg(F.count("*").alias("n"), F.sum("total").alias("pairs")).first()
+        if not todo["n"]:
             drop_path(spark, *old)
             return comp
-        if left["pairs"] > spend * volume:
-            share = int(spend * volume / left["pairs"] * 2**30)
+        if todo["pairs"] > spend * volume:
+            share = int(spend * volume / todo["pairs"] * 2**30)
             least = outside.groupBy("bucket").agg(F.min("id").alias("least"))
             outside = outside.join(least, "bucket").where((F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id"), F.lit(2**30)) < share))
-        centres, path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own"), F.col("mark").alias("own_mark"), "total"), what + "-centres")
+        centres, path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own"), "total").join(mark.select(F.col("id").alias("centre"), F.col("mark").alias("own_mark")), "centre"), what + "-centres")
         old.append(path)
         work = centres.groupBy("bucket").agg(F.ceil(F.sum("total") / F.lit(2.0**18)).alias("deals"))
         dealt = centres.join(work, "bucket").withColumn("deal", F.pmod(F.xxhash64("centre"), "deals"))
-        others = open_.select("bucket", "id", "component", "mark").join(work, "bucket").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
+        others = open_.select("bucket", "id", "component").join(mark, "id").join(work, "bucket").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
         # a fixed number of partitions: few bytes stand for much work here, and would be put together in one task
         dealt, others = (x.repartition(wide(spark, 32), "bucket", "deal") for x in (dealt.drop("deals"), others))
         pairs = dealt.hint("merge").join(others, ["bucket", "deal"]).where((F.col("own") != F.col("component")) & close(F.col("own_mark"), F.col("mark"))).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-        more, _ = written(confirm(pairs), what + "-links")
-        links = links.unionByName(more)
-        done = done.unionByName(centres.select("bucket", F.col("centre").alias("id")))
+        newer, new_path_ = joined_components(comp, confirmed(pairs), what)
+        drop_path(spark, comp_path)
+        comp, comp_path = newer, new_path_
+        left = open_.select("bucket", "id").join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
+
