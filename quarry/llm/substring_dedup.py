@@ -3,12 +3,14 @@
 A byte goes if it lies in a string of `width` bytes that also starts in a
 document with a smaller id. Three passes, each over buckets of bounded size:
 
-1. Each window of `width` bytes has an anchor (anchors.py). Anchors are dealt
-   out by their gram's hash, in packed columns; a task sends each of its
-   contexts once, from its smallest document. In a bucket, an anchor whose whole
-   context also lies in a smaller document is settled: all its windows go. Grams
-   in one document only are done. What remains are contexts at the edges of
-   repeats: grams in several documents with different contexts.
+1. Each window of `width` bytes has an anchor (anchors.py). An anchor whose whole
+   context also lies in a smaller document is settled: all its windows go. A task
+   settles what it can and sends those windows straight to their documents; of
+   each context only the anchors of its smallest document there go on, dealt out
+   by their gram's hash, in packed columns, and are settled in the bucket against
+   those of other tasks. Grams in one document only are done. What remains are
+   contexts at the edges of repeats: grams in several documents with different
+   contexts.
 2. Those contexts' bytes are fetched from the texts and dealt out by gram.
    Windows whose hash no other document shares are cut off, and the rest is put
    in suffix order (suffix_groups.py); neighbours that agree in `width` bytes,
@@ -16,7 +18,8 @@ document with a smaller id. Three passes, each over buckets of bounded size:
 3. Settled windows and those of pass 2 meet the texts again and are cut out.
 
 Equal windows have equal grams, so a bucket decides alone. A gram of any
-frequency adds one row a task and context to its bucket, not one a document.
+frequency adds to its bucket the anchors of one document for each context and
+batch of about 4 MB of text, not those of every document that has it.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm import spans
 from quarry.llm.anchors import anchors
-from quarry.llm.common import free_shuffles, wide, written
+from quarry.llm.common import wide, written
 from quarry.llm.suffix_groups import suffix_array
 
 LAST_ID = 2**63 - 1
 #: Bytes put in suffix order at once; grams are not split, so a gram's contexts may exceed it.
 BLOCK = 1 << 15
-#: Kinds of packed columns: document, row key, first window, windows; then the gram. SENT: gram, context (48 bits), first window, windows; ids and keys of the senders; for each anchor 1 if the next sender's begin, and 2 if it is settled.
+#: Kinds of packed columns: document, row key, first window, windows; then the gram. SENT: gram, context (48 bits), first window, windows; ids and keys of the senders; for each anchor 1 if the next sender's begin, and 2 if its gram was in several documents of the task.
 #: An anchor's number of windows is under `width`, at most 255; 32 bits of the gram, its bucket and 48 bits of the context name a context.
 MARKS = (np.int64, np.int64, np.uint32, np.uint32)
 ASKED = (*MARKS, np.uint32)
@@ -81,7 +84,7 @@ SETTLED, ASK = 1, 2
 
 
 def find_anchors(rows: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Packed anchors by bucket of their gram: the sending documents' ids and row keys, then the anchors' columns and whether each is settled."""
+    """Settled windows by bucket of their document, and other anchors by bucket of their gram: the sending documents' ids and row keys, the anchors' columns, and whether the gram was in several documents."""
 
     def run(parts):
         for part in parts:
@@ -93,17 +96,26 @@ def find_anchors(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                     continue
                 # the smallest document of each context in this batch speaks for it, the others' are settled
                 order = np.lexsort((doc[text], context, gram))
-                new = np.r_[True, (gram[order][1:] != gram[order][:-1]) | (context[order][1:] != context[order][:-1])]
+                new_gram = np.r_[True, gram[order][1:] != gram[order][:-1]]
+                new = new_gram | np.r_[True, context[order][1:] != context[order][:-1]]
                 low = doc[text[order[np.flatnonzero(new)]]][np.cumsum(new) - 1]
                 settled = np.zeros(len(text), bool)
                 settled[order] = doc[text[order]] > low
+                heads = np.flatnonzero(new_gram)
+                several = np.zeros(len(text), np.uint8)
+                several[order] = (np.minimum.reduceat(doc[text[order]], heads) != np.maximum.reduceat(doc[text[order]], heads))[np.cumsum(new_gram) - 1]
+                many = last - first + 1
+                at = np.flatnonzero(settled)
+                if len(at):
+                    yield send(dealt(doc[text[at]], buckets), SETTLED, [doc[text[at]], key[text[at]], first[at].astype(np.uint32), many[at].astype(np.uint32)])
+                text, first, many, gram, context, several = (c[~settled] for c in (text, first, many, gram, context, several))
 
                 def who(mine):
                     own = text[mine]  # ascending
                     new = np.r_[True, own[1:] != own[:-1]]
-                    return doc[own[new]], key[own[new]], (new + 2 * settled[mine]).astype(np.uint8)
+                    return doc[own[new]], key[own[new]], (new + 2 * several[mine]).astype(np.uint8)
 
-                yield send(dealt(gram, buckets), 0, [gram.astype(np.uint32), context.astype(np.uint32), (context >> np.uint64(32)).astype(np.uint16), first.astype(np.uint32), (last - first + 1).astype(np.uint8)], who)
+                yield send(dealt(gram, buckets), 0, [gram.astype(np.uint32), context.astype(np.uint32), (context >> np.uint64(32)).astype(np.uint16), first.astype(np.uint32), many.astype(np.uint8)], who)
 
     return rows.mapInArrow(run, ROWS)
 
@@ -127,23 +139,29 @@ def settle(found: DataFrame, buckets: int) -> DataFrame:
     """Of each bucket of anchors: settled windows, and contexts to fetch, by bucket of their document."""
 
     def run(table: pa.Table) -> pa.Table:
+        schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+        is_settled = table.column("kind").to_numpy() == SETTLED
+        through = table.filter(pa.array(is_settled)).select(["bucket", "kind", "data"]).cast(schema)
+        blobs = table.filter(pa.array(~is_settled)).column("data").to_pylist()
+        if not blobs:
+            return through
         cols: list[list] = [[] for _ in range(7)]
-        for blob in table.column("data").to_pylist():
+        for blob in blobs:
             gram, low, high, first, many, ids, keys, step = unpacked(blob, SENT)
             who = np.cumsum(step & 1) - 1
             context = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
             for col, v in zip(cols, (gram, context, first, many.astype(np.uint32), step >> 1, ids[who], keys[who]), strict=True):
                 col.append(v)
-        gram, context, first, many, done, doc, key = (np.concatenate(c) for c in cols)
+        gram, context, first, many, seen, doc, key = (np.concatenate(c) for c in cols)
         order = np.lexsort((doc, context, gram))
-        gram, context, first, many, done, doc, key = (c[order] for c in (gram, context, first, many, done, doc, key))
+        gram, context, first, many, seen, doc, key = (c[order] for c in (gram, context, first, many, seen, doc, key))
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
         new = new_gram | np.r_[True, context[1:] != context[:-1]]
         heads, grams = np.flatnonzero(new), np.flatnonzero(new_gram)
         of_gram, of_class = np.cumsum(new_gram) - 1, np.cumsum(new) - 1
-        shared = (np.minimum.reduceat(doc, grams) != np.maximum.reduceat(doc, grams))[of_gram]
+        shared = ((np.minimum.reduceat(doc, grams) != np.maximum.reduceat(doc, grams)) | (np.maximum.reduceat(seen, grams) > 0))[of_gram]
         several = (np.add.reduceat(new.astype(np.int64), grams) > 1)[of_gram]
-        settled = (done > 0) | (doc > doc[heads][of_class])
+        settled = doc > doc[heads][of_class]
         # the smallest document of a context may have it at several places; each is asked for, as each may go
         ask = shared & several & ~settled
         out = []
@@ -151,8 +169,7 @@ def settle(found: DataFrame, buckets: int) -> DataFrame:
             at = np.flatnonzero(pick)
             if len(at):
                 out.append(send(dealt(doc[at], buckets), kind, [c[at] for c in (doc, key, first, many, *extra)]))
-        schema = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
-        return pa.Table.from_batches(out, schema)
+        return pa.concat_tables([through, pa.Table.from_batches(out, schema)])
 
     return found.groupBy("bucket").applyInArrow(run, ROWS)
 
@@ -311,9 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     raw = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(raw, F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("of"), raw.alias("raw"), text.alias("text"))
     marks, _ = written(settle(find_anchors(rows, width, buckets), buckets), "anchor-marks")
-    free_shuffles(spark)
     more, _ = written(decide(fetch(rows, marks, width, buckets), width, buckets), "suffix-marks")
-    free_shuffles(spark)
 
     def handle(blobs, texts):
         doc, key, first, many = gathered([b for _, b in blobs], MARKS)
