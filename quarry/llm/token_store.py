@@ -15,7 +15,10 @@ manifest/   one row for each writing task (its segments, tokens, and the hash of
 A document's ids are cut where a rolling hash of the last eight ids is 0 modulo
 256, so equal passages give equal chunks wherever they stand. A segment's
 Merkle root is over the chunk digests in recipe order and the documents'
-lengths. A reader checks both digests and roots while it rebuilds documents.
+lengths. Readers check digests and roots while they rebuild documents, and the
+manifest before: its rows against its own root, and the segments that are there,
+with their counts and roots, against each row. So a segment that is lost, changed
+or stands in for another is seen.
 """
 
 from __future__ import annotations
@@ -31,13 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import spans
-from quarry.llm.common import drop_path, free_shuffles, new_path, written
+from quarry.llm.common import drop_path, frequent, join_spread, new_path, written
 from quarry.llm.tokens import Encoder
 
 WINDOW, MEAN, LONGEST = 8, 256, 2048
 DIGEST = 16
 STAGED = "segment long, docs array<{kind}>, tokens array<long>, counts array<int>, recipe array<int>, digests array<binary>, sizes array<int>, payload binary"
 INFO = "start long, found array<struct<digest:binary,owner:long>>"
+MANIFEST = "task long, segments long, docs long, tokens long, hash string, root string"
 SEGMENTS = STAGED + ", start long, owners array<long>, shared array<boolean>, root binary"
 
 
@@ -116,7 +120,6 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     staged, staged_path = written(stage(dealt, Encoder(tokenizer, added=True), end_id, kind), "staged")
-    free_shuffles(spark)
     # places: totals by task are as many as tasks; within a task by a window over its segments
     totals = staged.select("segment", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, v: a + v).alias("n"), F.shiftright("segment", 32).alias("task"))
     by_task = sorted((r["task"], r["n"]) for r in totals.groupBy("task").agg(F.sum("n").alias("n")).collect())
@@ -135,7 +138,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
     dealt = both.repartitionByRange("segment").sortWithinPartitions("segment", F.col("start").isNull())
 
     def settle(parts):
-        last, pack, unpack = None, zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        last, pack, unpack = None, zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         for part in parts:
             for r in range(part.num_rows):
                 row = {n: part.column(n)[r] for n in part.schema.names}
@@ -146,26 +149,49 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_
                 assert last is not None and last["segment"].as_py() == segment
                 owner_of = {x["digest"]: x["owner"] for x in last["found"].as_py() or []}
                 digests, sizes = row["digests"].as_py(), row["sizes"].as_py()
-                data, own, at = unpack.decompress(row["payload"].as_py()), [], 0
-                for d, n in zip(digests, sizes, strict=True):
-                    if owner_of.get(d, segment) == segment:
-                        own.append(data[4 * at : 4 * (at + n)])
-                    at += n
+                payload = row["payload"].as_py()
+                if any(owner_of.get(d, segment) != segment for d in digests):
+                    data, own, at = unpack.decompress(payload), [], 0
+                    for d, n in zip(digests, sizes, strict=True):
+                        if owner_of.get(d, segment) == segment:
+                            own.append(data[4 * at : 4 * (at + n)])
+                        at += n
+                    payload = pack.compress(b"".join(own))
                 one = lambda v, t: pa.array([v], pa.list_(t))
                 cols = {n: part.column(n).slice(r, 1) for n in names if n != "payload"}
-                cols |= {"payload": pa.array([pack.compress(b"".join(own))], pa.binary()), "start": pa.array([last["start"].as_py()], pa.int64())}
+                cols |= {"payload": pa.array([payload], pa.binary()), "start": pa.array([last["start"].as_py()], pa.int64())}
                 cols |= {"owners": one([owner_of.get(d, segment) for d in digests], pa.int64()), "shared": one([d in owner_of for d in digests], pa.bool_()), "root": pa.array([segment_root(digests, row["recipe"].as_py(), row["counts"].as_py(), row["tokens"].as_py())], pa.binary())}
                 yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     dealt.mapInArrow(settle, SEGMENTS.format(kind=kind)).write.option("compression", "zstd").parquet(f"{path}/segments")
-    roots = spark.read.parquet(f"{path}/segments").select(F.shiftright("segment", 32).alias("task"), "segment", "root", F.size("docs").alias("docs"))
-    manifest = roots.groupBy("task").agg(F.count("*").alias("segments"), F.sum("docs").alias("docs"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("segment", "root"))), lambda s: F.hex(s["root"]))), 256).alias("hash"))
-    parts = sorted((r["task"], r["segments"], r["docs"], r["hash"]) for r in manifest.collect())
-    n, whole = dict(by_task), hashlib.sha256("".join(p[3] for p in parts).encode()).hexdigest()
-    spark.createDataFrame([(*p, n[p[0]], whole) for p in parts], "task long, segments long, docs long, hash string, tokens long, root string").coalesce(1).write.parquet(f"{path}/manifest")
+    parts = sorted(tuple(r) for r in summary(spark, path).collect())
+    spark.createDataFrame([(*p, root_of(parts)) for p in parts], MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
     drop_path(spark, staged_path, info_path)
 
 
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each writing task: its segments, documents, tokens and the hash of its segments' roots, from the segments themselves."""
+    tokens = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, v: a + v)
+    rows = spark.read.parquet(f"{path}/segments").select(F.shiftright("segment", 32).alias("task"), "segment", "root", F.size("docs").alias("docs"), tokens.alias("tokens"))
+    hashed = F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("segment", "root"))), lambda s: F.hex(s["root"]))), 256)
+    return rows.groupBy("task").agg(F.count("*").alias("segments"), F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), hashed.alias("hash"))
+
+
+def root_of(parts: list[tuple]) -> str:
+    """The root of a store, over the sorted rows of its manifest."""
+    return hashlib.sha256("".join(f"{task},{segments},{docs},{tokens},{hashed};" for task, segments, docs, tokens, hashed in parts).encode()).hexdigest()
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """An error if the store isn't what its manifest says. Both have a row for each writing task."""
+    told = sorted(tuple(r) for r in spark.read.schema(MANIFEST).parquet(f"{path}/manifest").collect())
+    rows = [t[:-1] for t in told]
+    if any(t[-1] != root_of(rows) for t in told):
+        raise ValueError("the manifest isn't what was stored")
+    if rows != sorted(tuple(r) for r in summary(spark, path).collect()):
+        raise ValueError("the segments aren't those of the manifest")
+
+
 def opened(row: dict) -> dict[bytes, bytes]:
     """The chunks that a segment row owns, checked against their digests."""
     data, at, out = zstandard.ZstdDecompressor().decompress(row["payload"]), 0, {}
@@ -191,11 +217,12 @@ def rebuilt(row: dict):
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32 and, if asked for, ids: unsigned 32-bit little-endian) of every document, rebuilt from the files.
+    """(id, start, n_tokens, ids_crc32 and, if asked for, ids: unsigned 32-bit little-endian) of every document, rebuilt from the files; an error at once if they aren't those of the manifest.
 
     Documents whose chunks lie in their own segment are rebuilt where they are
     read; only those that refer to other segments' chunks meet them by a join.
     """
+    check_manifest(spark, path)
     segments = spark.read.parquet(f"{path}/segments")
     kind = dict(segments.dtypes)["docs"].removeprefix("array<").removesuffix(">")
     needs = ["segment", "docs", "tokens", "counts", "recipe", "digests", "sizes", "owners", "shared", "payload", "start", "root"]
@@ -250,7 +277,10 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     first = segments.mapInArrow(local, schema)
     parts = segments.mapInArrow(scattered, f"id {kind}, start long, n int, digest binary, own binary")
     lent = segments.mapInArrow(shared, "digest binary, chunk binary")
-    met = parts.where("own is null").drop("own").join(lent, "digest").select("id", "start", "n", "digest", "chunk").unionByName(parts.where("own is not null").withColumnRenamed("own", "chunk"))
+    # a chunk that very many recipes refer to is sent to them, the others are met by exchange
+    refs = segments.where(F.exists("owners", lambda o: o != F.col("segment"))).select(F.explode(F.transform("recipe", lambda i: F.get("digests", i))).alias("digest"))
+    hot = frequent(refs.groupBy("digest").agg(F.count("*").alias("n")), "digest", "n")
+    met = join_spread(parts.where("own is null").drop("own"), lent, "digest", hot).select("id", "start", "n", "digest", "chunk").unionByName(parts.where("own is not null").withColumnRenamed("own", "chunk"))
     rest = met.groupBy("id", "start").agg(F.collect_list(F.struct("n", "digest", "chunk")).alias("pieces")).mapInArrow(joined, schema)
     return first.unionByName(rest)
 
