@@ -15,11 +15,11 @@ import re
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the fitted model: labelled rows read to the driver for each language, characters taken of each, dictionary bytes, languages.
-ROWS_A_LANGUAGE, CHARS_A_ROW, DICTIONARY_BYTES, MOST_LANGUAGES = 400, 1500, 96 << 10, 200
+#: Bounds of the fitted model: labelled rows read to the driver for each language, dictionary bytes, languages. Rows of up to USUAL characters are taken before longer ones.
+ROWS_A_LANGUAGE, USUAL, DICTIONARY_BYTES, MOST_LANGUAGES = 200, 4000, 96 << 10, 200
 BLOCK = 1024
 #: Short matches carry the evidence, so four bytes match and the search looks at a few candidates.
 SEARCH = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 2, "min_match": 4, "target_length": 8, "strategy": zstandard.STRATEGY_GREEDY, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
@@ -34,21 +34,18 @@ def crc_mod(key: Column, n: int) -> Column:
 
 
 def labelled_sample(rows: DataFrame, label: str, key: list[str], per_label: int, most_labels: int, payload: list[Column]) -> list:
-    """At most per_label rows of each of the most_labels commonest labels, by the order of a hash of key; labels counted over all rows.
+    """At most per_label rows, of different keys, of each of the most_labels commonest labels, by the order of a hash of key; labels counted over all rows.
 
-    Rows are thinned by hash before they are sorted, so a label of any size costs one pass; the result is bounded by per_label * most_labels rows.
+    Keys are thinned by hash before anything is sorted and copies of a key fall together within tasks, so a label or a key of any size costs one pass; the result is bounded by per_label * most_labels rows.
     """
-    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
+    order = F.xxhash64(*key)
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"), F.approx_count_distinct(order).alias("keys")).orderBy(F.desc("n"), label).limit(most_labels).collect()
     if not counts:
         return []
-    spark = rows.sparkSession
-    share = spark.createDataFrame([(k, min(1.0, 1.5 * per_label / n)) for k, n in counts.items()], f"{label} {dict(rows.dtypes)[label]}, share double")
-    order = F.xxhash64(*key)
-    thin = rows.join(F.broadcast(share), label).withColumn("at", order).where((F.shiftrightunsigned("at", 11).cast("double") / 2.0**53) < F.col("share"))
-    got: dict = {}
-    for r in thin.orderBy("at", *key).limit(2 * per_label * len(counts)).select(label, *payload).collect():
-        got.setdefault(r[label], []).append(r)
-    return [r for k in sorted(got, key=str) for r in got[k][:per_label]]
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r[label], min(1.0, 1.5 * per_label / max(1, r["keys"])))))
+    thin = rows.select(label, order.alias("__at"), *payload).where((F.shiftrightunsigned("__at", 11).cast("double") / 2.0**53) < F.try_element_at(shares, F.col(label)))
+    once = thin.dropDuplicates([label, "__at"]).withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy("__at"))).where(F.col("__n") <= per_label)
+    return sorted(once.collect(), key=lambda r: (str(r[label]), r["__n"]))
 
 
 def plain(text: str) -> bytes:
@@ -67,14 +64,17 @@ class Dictionaries:
 
     @classmethod
     def fit(cls, rows: DataFrame, text: str = "text", lang: str = "lang") -> Dictionaries:
-        """rows: labelled rows; null labels and empty texts teach nothing."""
+        """rows: labelled rows; null labels and empty texts teach nothing. Whole texts of the sample are laid one after the other until a dictionary is full; one that is longer than that fills it alone."""
         rows = rows.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where("t <> ''")
         got: dict[str, bytearray] = {}
-        for r in labelled_sample(rows, "l", ["t"], ROWS_A_LANGUAGE, MOST_LANGUAGES, [F.substring("t", 1, CHARS_A_ROW).alias("t")]):
-            kept = got.setdefault(r["l"], bytearray())
-            if len(kept) < DICTIONARY_BYTES:
-                kept += plain(r["t"])
-        return cls({k: bytes(v[:DICTIONARY_BYTES]) for k, v in got.items()})
+        for some in (rows.where(F.length("t") <= USUAL), rows.where(F.length("t") > USUAL)):
+            per = max(1, DICTIONARY_BYTES // USUAL) if got else ROWS_A_LANGUAGE
+            for r in labelled_sample(some, "l", ["t"], per, MOST_LANGUAGES, [F.substring("t", 1, DICTIONARY_BYTES).alias("t")]):
+                kept = got.setdefault(r["l"], bytearray())
+                if len(kept) < DICTIONARY_BYTES:
+                    kept += plain(r["t"])
+        names = sorted(got)[:MOST_LANGUAGES]
+        return cls({k: bytes(got[k][:DICTIONARY_BYTES]) for k in names})
 
     def sizes(self, blocks: list[bytes]) -> np.ndarray:
         """Compressed bytes of blocks (rows) under each language (columns)."""
