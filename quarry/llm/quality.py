@@ -29,14 +29,12 @@ def windows(w: Column) -> Column:
 
 
 def repeated_words(w: Column) -> Column:
-    """Words of w that lie in a 3-word window found twice or more."""
-
-    def covered(found: Column) -> Column:
-        hit = lambda i: F.coalesce(F.get(found, i), F.lit(False))
-        return F.size(F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: hit(i) | hit(i - 1) | hit(i - 2)))
-
-    twice = lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1))))
-    return let(windows(w), lambda t: let(F.sort_array(t), lambda s: let(twice(s), lambda d: F.when(F.size(d) == 0, 0).otherwise(let(F.transform(t, lambda x: F.array_contains(d, x)), covered)))))
+    """Words of w that lie in a 3-word window found twice or more. Windows are sorted by hash, so equal ones are neighbours: a text of n words takes n log n steps, however much of it repeats."""
+    again = lambda s: F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) == F.get(s, i - 1))
+    placed = lambda t: F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    twice = lambda s: F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
+    words = lambda s: F.size(F.array_distinct(F.flatten(F.transform(twice(s), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
+    return let(windows(w), lambda t: F.when(F.size(t) < 2, 0).when(let(F.sort_array(t), again), let(placed(t), words)).otherwise(0))
 
 
 def line_key(line: Column) -> Column:
