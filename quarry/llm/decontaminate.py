@@ -7,8 +7,10 @@ item and a document, and the words around the hit are compared place by place.
 An alignment is an overlap if a window of WINDOW words (the whole item if it is
 shorter) agrees in at least 80 percent of its places.
 
-Training texts are read once; a Bloom filter of the items' seeds, of a fixed
-size, tells which documents can have hits, and only those go to the join.
+Training texts are read once; a Bloom filter of the items' seeds tells which
+documents can have hits, and only those go to the join. Its size follows the
+number of seeds up to MOST_FILTER_BITS, as it is sent to all workers; a benchmark
+of more seeds lets more documents through to the join, with the same result.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from quarry.llm import spans
 from quarry.llm.common import drop_path, written
 from quarry.llm.line_dedup import row_key
 
-#: Fixed masks: 1 keeps a word, 0 ignores it.
-MASKS = ("11011011", "110100111", "1011001101")
+#: Fixed masks: 1 keeps a word, 0 ignores it. Of a window of 12 words one of them fits whichever two are substituted.
+MASKS = ("11011011", "110100111", "1011001101", "1100110101")
 WINDOW, AGREE_PERCENT, LEAST_WORDS = 12, 80, 5
-FILTER_BITS = 1 << 24
+LEAST_FILTER_BITS, MOST_FILTER_BITS = 1 << 20, 1 << 28
+#: Kana and Han characters: words are not set apart there, so each is a word, if the benchmark has any.
+UNSPACED = "([\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])"
 
 
 def short_masks(n: int) -> list[str]:
@@ -49,11 +53,22 @@ def seeds(words: np.ndarray, own: np.ndarray, masks: list[str]):
         yield h[ok], ok
 
 
-def probes(h: np.ndarray) -> list[np.ndarray]:
-    return [((h >> np.uint64(s)) & np.uint64(FILTER_BITS - 1)).astype(np.int64) for s in (0, 20, 40)]
+def probes(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Three places of each seed in a filter of so many bits, a power of two."""
+    return [(spans.mix(h + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64) for k in range(3)]
 
 
-def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lit(known: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether the bits at places of a packed filter are set."""
+    return (known[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def spaced(text, unspaced: bool):
+    """text with Kana and Han characters set apart."""
+    return F.regexp_replace(text, UNSPACED, " $1 ") if unspaced else text
+
+
+def item_words(benchmark: DataFrame, id_col: str, text_col: str, unspaced: bool = False) -> DataFrame:
     """(item, n, words): the word hashes of each distinct item text; item is its smallest id. Items under LEAST_WORDS words aren't searched for."""
 
     def run(parts):
@@ -61,13 +76,14 @@ def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             h, own = spans.word_hashes(part.column("text"), apart=spans.PUNCT)
             yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(np.diff(own)), pa.array([h[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())], ["item", "n", "words"])
 
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(id_col).cast("long").alias("item"), spaced(F.col(text_col).cast("string"), unspaced).alias("text")).where("item is not null and text is not null")
     return rows.mapInArrow(run, "item long, n long, words binary").where(F.col("n") >= LEAST_WORDS).groupBy("n", "words").agg(F.min("item").alias("item")).select("item", "n", "words")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, of, item, start, words, agree): each document and item with an overlap: its first word in the document, its words and how many agree, of the best alignment. id and of as in line_dedup.row_key."""
-    items, items_path = written(item_words(benchmark, item_id, item_text), "items")
+    unspaced = benchmark.where(F.col(item_text).cast("string").rlike(UNSPACED)).limit(1).count() > 0
+    items, items_path = written(item_words(benchmark, item_id, item_text, unspaced), "items")
     # an item shorter than a window has masks of its length, for every substitution that leaves it an overlap
     short = sorted(r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
     own_masks = {n: short_masks(n) for n in short}
@@ -83,29 +99,33 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     item_seeds, seeds_path = written(items.mapInArrow(seed_items, "seed long, item long, at int"), "item-seeds")
 
+    size = LEAST_FILTER_BITS
+    n_seeds = item_seeds.count()
+    while size < min(16 * n_seeds, MOST_FILTER_BITS):
+        size *= 2
+
     def filters(parts):
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros(size, bool)
         for part in parts:
-            for p in probes(part.column("seed").to_numpy().view(np.uint64)):
+            for p in probes(part.column("seed").to_numpy().view(np.uint64), size):
                 bits[p] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
-    known = np.zeros(FILTER_BITS // 8, np.uint8)
+    known = np.zeros(size // 8, np.uint8)
     for r in item_seeds.select("seed").coalesce(4).mapInArrow(filters, "bits binary").toLocalIterator():
         known |= np.frombuffer(r["bits"], np.uint8)
     known = docs.sparkSession.sparkContext.broadcast(known)
 
     def probe(parts):
-        bits = np.unpackbits(known.value).view(bool)
         for part in parts:
             for i, j in spans.batches(part.column("text")):
                 x = part.slice(i, j - i)
                 h, own = spans.word_hashes(x.column("text"), apart=spans.PUNCT)
                 found, at = [], []
                 for s, p in seeds(h, own, masks):
-                    a, b, c = probes(s)
-                    hit = np.flatnonzero(bits[a])
-                    hit = hit[bits[b[hit]] & bits[c[hit]]]
+                    hit = np.arange(len(s))
+                    for k in range(3):  # few seeds get to the second place
+                        hit = hit[lit(known.value, (spans.mix(s[hit] + np.uint64(k)) & np.uint64(size - 1)).astype(np.int64))]
                     found.append(s[hit])
                     at.append(p[hit])
                 found, at = np.concatenate(found), np.concatenate(at)
@@ -118,7 +138,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                     ["id", "of", "words", "seeds", "at"],
                 )
 
-    rows = docs.select(*row_key(id_col, text_col), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(*row_key(id_col, text_col), spaced(F.col(text_col).cast("string"), unspaced).alias("text"))
     hits, hits_path = written(rows.mapInArrow(probe, "id long, of long, words binary, seeds array<long>, at array<int>"), "seed-hits")
     each = hits.select("id", "of", F.explode(F.arrays_zip("seeds", "at")).alias("h")).select("id", "of", F.col("h.seeds").alias("seed"), F.col("h.at").alias("pos"))
     lined = each.join(item_seeds, "seed").select("id", "of", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
@@ -150,7 +170,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with `contaminated` and `items` (ids of the items found, ascending; of equal item texts the smallest id).
 
-    Words are runs of letters and digits in lower case (A-Z). Every row stays, with
+    Words are runs of letters and digits in lower case (A-Z), and single Kana and Han
+    characters if an item has any. Every row stays, with
     its columns (own columns of those names, whatever their case, are replaced). A
     null or empty text has no overlap; rows of equal id and text agree; null ids
     are allowed. Items with a null id or text, or of under LEAST_WORDS words, are
