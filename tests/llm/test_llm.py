@@ -377,3 +377,202 @@ def test_marks_rule_out_no_link(spark):
     x, y = rows.toDF("a", "ma"), rows.toDF("b", "mb")
     close = {(r["a"], r["b"]) for r in x.join(y, x["a"] < y["b"]).where(near_dup.close(80)(F.col("ma"), F.col("mb"))).select("a", "b").collect()}
     assert links <= close and len(close) < len(sets) ** 2 / 4
+
+
+def test_store_by_document_and_manifest(spark, tmp_path):
+    """Ids of each document by its id; a lost segment file, and a manifest of another store, are seen."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tool = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_store(docs, f"{tmp_path}/s", path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["id"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in token_store.read_store(spark, f"{tmp_path}/s", with_ids=True).collect()}
+    assert got == {i: [*tool.encode(t or "", add_special_tokens=False).ids, 2] for i, t in docs_of(spark)}
+    token_store.write_store(docs.where("doc_id > 50"), f"{tmp_path}/other", path)
+    (tmp_path / "s" / "manifest").rename(tmp_path / "own")
+    (tmp_path / "other" / "manifest").rename(tmp_path / "s" / "manifest")
+    with pytest.raises(ValueError):
+        token_store.read_store(spark, f"{tmp_path}/s")
+    (tmp_path / "s" / "manifest").rename(tmp_path / "other" / "manifest")
+    (tmp_path / "own").rename(tmp_path / "s" / "manifest")
+    next((tmp_path / "s" / "segments").glob("part-*.parquet")).unlink()
+    with pytest.raises(ValueError):
+        token_store.read_store(spark, f"{tmp_path}/s")
+
+
+def test_quality_of_much_repetition(spark):
+    """One text that repeats its first half: as many words as brute force finds, in about linear time."""
+    rng = random.Random(4)
+    for n in (5, 2000):
+        half = [f"w{rng.randrange(9 * n)}" for _ in range(n)]
+        words = [*half, "middle", *half, "end"]
+        seen = {}
+        for i in range(len(words) - 2):
+            seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+        want = len({j for at in seen.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)})
+        docs = spark.createDataFrame([(1, " ".join(words), "s")], "doc_id long, text string, source string")
+        assert quality.quality(docs).first()["n_repeat_words"] == want
+
+
+def test_lines_fuzzy_row_goes(spark):
+    line = "the quick brown fox jumps over the lazy dog and runs far away from here into the dark green wood tonight"
+    rows = [(1, line), (2, line.replace("tonight", "tonite")), (3, None), (4, ""), (5, f"an opening line of its own kind\n{line}\nclosing words that nobody else has\n")]
+    out = {r["doc_id"]: (r["text"], r["n_lines_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: (line, 0), 2: ("", 1), 3: (None, 0), 4: ("", 0), 5: ("an opening line of its own kind\nclosing words that nobody else has\n", 1)}
+
+
+def test_lines_one_word_edited_by_length(spark):
+    """Recall of lines with one word substituted, by length class, and no line that shouldn't go."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    rows, of, least = [], {}, {5: 0.7, 8: 0.9, 15: 0.9, 25: 0.9, 50: 0.9, 100: 0.9, 200: 0.9}
+    for n in least:
+        for _ in range(40):
+            base = [rng.choice(words) for _ in range(n)]
+            other = list(base)
+            other[rng.randrange(n)] = rng.choice(words)
+            a, b = " ".join(base), " ".join(other)
+            if a != b and min(len(a), len(b)) >= line_dedup.LEAST_CHARS and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                of[len(rows) + 1] = n
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    gone = {r["id"] for r in line_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone <= set(of)
+    for n, share in least.items():
+        mine = [i for i, m in of.items() if m == n]
+        assert sum(i in gone for i in mine) >= share * len(mine), n
+
+
+def test_toxicity_of_long_texts_by_blocks(spark):
+    """Blocks of words and of bytes give what one pass gives."""
+    net, rng = toxicity.Network(), random.Random(6)
+    texts = pa.array([" ".join(f"w{rng.randrange(500)}" for _ in range(n)) for n in (0, 1, 2, 700, 3000)])
+    rows, own = toxicity.buckets(texts)
+    net.learn_languages(["w1 w2 w3", "w4 w5 w6"], ["a", "b"])
+    whole, lang = net.logits(rows, own), net.language(rows, own)
+    before = toxicity.BLOCK_WORDS, toxicity.BLOCK_BYTES
+    try:
+        toxicity.BLOCK_WORDS, toxicity.BLOCK_BYTES = 64, 100
+        assert np.allclose(net.logits(rows, own), whole, atol=1e-5) and (net.language(rows, own) == lang).all()
+        cut, _ = toxicity.buckets(texts.slice(4))
+        assert (cut == rows[own[4] :]).all()
+    finally:
+        toxicity.BLOCK_WORDS, toxicity.BLOCK_BYTES = before
+
+
+def test_sample_is_of_distinct_texts(spark):
+    """A text copied very often takes one place of its label, and the other labels keep theirs."""
+    rows = spark.range(5000).selectExpr("case when id < 4000 then 'a' when id < 4800 then concat('a', id) else concat('b', id) end as t", "case when id < 4800 then 'x' else 'y' end as l")
+    got = lang_id.labelled_sample(rows, "l", ["t"], 50, 5, [F.col("t")])
+    assert {k: sum(r["l"] == k for r in got) for k in ("x", "y")} == {"x": 50, "y": 50} and len({r["t"] for r in got}) == 100
+
+
+def test_counts_equal_the_library(spark):
+    """Words that pieces cover, against the unigram model of the tokenizers library with the same scores."""
+    from tokenizers import Tokenizer, models
+
+    scores = token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    chars = {p.decode() for p in scores if len(p.decode()) == 1}
+    tool = Tokenizer(models.Unigram([("<unk>", -100.0), *((p.decode(), s) for p, s in scores.items())], 0, False))
+    words = sorted({w for _, t in docs_of(spark) for w in (t or "").split() if set(w) <= chars and len(w) < 60})[:3000]
+    model = token_counts.Unigram(scores)
+    got = [n for _, n in model.counts(words)]
+    assert len(words) > 500 and got == [len(tool.encode(token_counts.MARK + w).ids) for w in words]
+
+
+def test_seeds_fit_any_two_substitutions():
+    for gone in itertools.combinations(range(12), 2):
+        assert any(all(m[j] == "0" or s + j not in gone for j in range(len(m))) for m in decontaminate.MASKS for s in range(13 - len(m)))
+
+
+def test_items_without_spaces(spark):
+    docs = spark.createDataFrame([(1, "これは長い文章の前の部分です。東京都は日本の首都であり世界最大の都市圏の一つである。後ろの部分"), (2, "全く別の文章で何も共通していないはずです")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "東京都は日本の首都であり世界最大の都市圏の一つである")], "item_id long, text string")
+    assert {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(docs, items).collect()} == {1: [7], 2: []}
+
+
+def test_hot_passage_stays_small():
+    """A passage in every document adds one document's anchors to its bucket for each batch."""
+    rng = np.random.default_rng(1)
+    passage = bytes(rng.integers(97, 123, 300).astype(np.uint8)).decode()
+    sizes = []
+    for n in (500, 2000):
+        own = [bytes(rng.integers(97, 123, 60).astype(np.uint8)).decode() for _ in range(n)]
+        part = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.arange(n)), pa.array([a + passage for a in own])], ["id", "of", "text"])
+
+        class Rows:
+            def mapInArrow(self, run, schema, part=part):
+                return list(run([part]))
+
+        found = substring_dedup.find_anchors(Rows(), 50, 16)
+        gram = [b for x in found for b, k, d in zip(*(x.column(c).to_pylist() for c in ("bucket", "kind", "data"))) if k == 0]
+        bulk = [len(d) for x in found for k, d in zip(*(x.column(c).to_pylist() for c in ("kind", "data"))) if k == 0]
+        assert gram
+        sizes.append(max(bulk) / n)
+    assert sizes[1] < 1.5 * sizes[0]
+
+
+def test_packing_by_document(spark):
+    """Each document's pieces, ids and starts, by its id, against the library's ids."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tool = Tokenizer.from_file(path)
+    got = {}
+    for r in packing.pack(spark.read.parquet(f"{DATA}/documents.parquet"), path, keep_ids=True).orderBy("doc_id", "piece").collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], np.frombuffer(bytes(r["ids"]), "<u4").tolist()))
+    for i, t in docs_of(spark):
+        ids = [*tool.encode(t or "", add_special_tokens=False).ids, 0]
+        assert got[i] == [(n, a, len(ids[a : a + 2048]), ids[a : a + 2048]) for n, a in enumerate(range(0, len(ids), 2048))]
+
+
+def test_matching_over_many_slices(spark):
+    """Slices of a few runs: every item is placed once, no sequence overflows or has holes, and few more sequences are used than the lengths add up to."""
+    rng = random.Random(8)
+    runs = [(packing.ITEM, rng.choice([rng.randrange(1, 65), rng.randrange(1, 12), 40]), t, 0, rng.randrange(1, 40), 0, 0, 0) for t in range(150)]
+    before = packing.SLICE_ROWS
+    packing.SLICE_ROWS = 15
+    try:
+        tables = packing.matched(spark.createDataFrame(runs, packing.STATE).coalesce(1), 64)
+        rows = [r for t in tables for r in t.where(F.col("kind") == packing.PLACED).collect()]
+    finally:
+        packing.SLICE_ROWS = before
+    seen, fill = {}, {}
+    for r in rows:
+        for j in range(r["count"]):
+            seen.setdefault((r["size"], r["a"]), []).append(r["first"] + j)
+            fill.setdefault(r["sequence"] + j // r["each"], []).append((r["offset"] + j % r["each"] * r["size"], r["size"]))
+    assert {k: sorted(v) for k, v in seen.items()} == {(n, t): list(range(c)) for _, n, t, _, c, *_ in runs}
+    for items in fill.values():
+        at = 0
+        for offset, length in sorted(items):
+            assert offset == at
+            at += length
+        assert at <= 64
+    total = sum(n * c for _, n, _, _, c, *_ in runs)
+    large = sum(c for _, n, _, _, c, *_ in runs if 2 * n > 64)
+    assert len(fill) <= 1.05 * max(-(-total // 64), large) + 1
+
+
+def test_claims_never_share_a_gap():
+    rng = random.Random(2)
+    for _ in range(300):
+        slices, low = [], 1
+        for p in range(rng.randrange(1, 8)):
+            high = low + rng.randrange(0, 9)
+            slices.append((p, rng.randrange(0, 9), rng.randrange(low, high + 1), rng.randrange(0, 9), rng.randrange(low, high + 1)))
+            low = high
+        out = packing.claims(slices)
+        for side, at in ((0, 1), (3, 4)):
+            for number in {c[side] for c in out}:
+                end = 0
+                for c in sorted((c for c in out if c[side] == number), key=lambda c: c[at]):
+                    assert c[at] == end
+                    end += c[at + 1]
+                assert end <= next(s[1 if side == 0 else 3] for s in slices if s[0] == number)
+        rooms = {s[0]: (s[2], s[4]) for s in slices}
+        assert all(c[0] < c[3] and c[2] <= c[5] * (rooms[c[3]][1] // rooms[c[0]][0]) for c in out)
