@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,3 +37,75 @@ def smart_resize(h: Column, w: Column, factor: int, least: int, most: int) -> tu
 
 def to_original(v: Column, scale: Column, limit: Column) -> Column:
     return F.greatest(F.least(F.bround(v / scale), limit), F.lit(0)).cast("long")
+
+
+def to_factor(v: Column, factor: int, how: str = "round") -> Column:
+    """v as a multiple of factor; halves go to the even multiple."""
+    return ({"round": F.bround, "floor": F.floor, "ceil": F.ceil}[how](v / factor) * factor).cast("long")
+
+
+def shrunk(h: Column, w: Column, factor: int, most: int) -> tuple[Column, Column]:
+    """Sides as multiples of factor, smaller if their area is over most, never below one factor."""
+    beta = F.when(h * w > most, F.sqrt(h * w / F.lit(float(most)))).otherwise(1.0)
+    return tuple(F.greatest(F.lit(factor), F.floor(x / beta / factor) * factor).cast("long") for x in (h, w))
+
+
+def budget(w: Column, h: Column, ratio: Column, most: int, usual: int = 448 * 448) -> Column:
+    """Pixels that an image may have: by its ratio if there is one, else the usual ones if it is larger than they."""
+    return F.when(ratio.isNotNull(), F.when(ratio == 1, F.lit(float(most))).otherwise(F.least(w * ratio * h * ratio, F.lit(float(most))))).when(w * h > usual, F.lit(float(usual))).otherwise(F.lit(float(most))).cast("long")
+
+
+def ratio_budget(w: Column, h: Column, ratio: Column, least: int = 13 * 13 * 28 * 28, most: int = 1024 * 1024) -> Column:
+    return F.greatest(F.least(w * h * ratio, F.lit(float(most))), F.lit(float(least))).cast("long")
+
+
+def box_to_original(box: list[Column], scale: list[Column], size: list[Column]) -> tuple[list[Column], Column]:
+    """Coordinates of a box in the original image, within its bounds, and whether anything is left of it."""
+    out = [to_original(v, scale[i % 2], size[i % 2]) for i, v in enumerate(box)]
+    return out, (out[0] < out[2]) & (out[1] < out[3])
+
+
+def box_to_overview(box: list[Column], scale: list[Column], size: list[Column]) -> list[Column]:
+    """Coordinates of an original box in the overview, at least one pixel wide and high."""
+    x1, y1 = (F.least(F.greatest(F.bround(box[i] * scale[i]), F.lit(0)), size[i] - 1).cast("long") for i in (0, 1))
+    x2, y2 = (F.least(F.greatest(F.bround(box[i + 2] * scale[i]), v + 1), size[i]).cast("long") for i, v in ((0, x1), (1, y1)))
+    return [x1, y1, x2, y2]
+
+
+def box_from_shares(box: list[Column], w: Column, h: Column) -> list[Column]:
+    """Absolute coordinates of a box given as shares of the sides, cut to whole pixels."""
+    return [(v * (w, h)[i % 2]).cast("long") for i, v in enumerate(box)]
+
+
+def boxes_to_original(turns: Column, scale: Column) -> Column:
+    """Boxes of all turns over their scale (1 if there is none), those with area."""
+    at = lambda i: F.coalesce(F.when(F.size(scale) >= 2, F.get(scale, F.lit(i))), F.lit(1.0))
+    out = F.transform(F.filter(F.flatten(turns), lambda b: F.size(b) >= 4), lambda b: F.array(*(F.get(b, F.lit(i)) / at(i % 2) for i in range(4))))
+    return F.filter(out, lambda b: (F.get(b, F.lit(0)) < F.get(b, F.lit(2))) & (F.get(b, F.lit(1)) < F.get(b, F.lit(3))))
+
+
+def bad_boxes(boxes: Column, scale: list[Column], size: list[Column]) -> Column:
+    """More than three boxes, two that overlap by over 0.6, or one over half the image or under four patches."""
+    four = lambda b: [F.get(b, F.lit(i)).cast("double") for i in range(4)]
+    overlap = F.exists(F.transform(boxes, lambda a, i: F.exists(F.slice(boxes, i + 2, F.size(boxes)), lambda b: iou(four(a), four(b)) > 0.6)), lambda x: x)
+
+    def area(b: Column) -> Column:
+        x1, y1, x2, y2 = (F.bround(v / scale[i % 2]) for i, v in enumerate(four(b)))
+        return (x2 - x1) * (y2 - y1)
+
+    odd = F.exists(boxes, lambda b: (area(b) > 0.5 * size[0] * size[1]) | (area(b) < 4 * 28 * 28))
+    return (F.size(boxes) > 3) | overlap | odd
+
+
+def curriculum(step: Column, start: int, end: int, warmup: int) -> Column:
+    """Tokens of a budget that goes from start down to end over the warmup steps; a token has 28 * 28 pixels."""
+    return F.bround(F.greatest(start + (end - start) * F.least(step / F.lit(float(warmup)), F.lit(1.0)), F.lit(float(end)))).cast("long")
+
+
+def learning_rate(step: Column, warmup: int, total: int, least: float = 0.0, kind: str = "cosine") -> Column:
+    """Share of the full rate: a linear rise, then a cosine down to least, or constant."""
+    rise = step / F.lit(float(max(1, warmup)))
+    if kind == "constant":
+        return F.least(rise, F.lit(1.0))
+    done = F.least((step - warmup) / F.lit(float(max(1, total - warmup))), F.lit(1.0))
+    return F.when(step < warmup, rise).otherwise(least + (1 - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * done)))

@@ -6,22 +6,111 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space that is cut off at the ends of texts.
+WHITE = " \t\n\r\x0b\x0c"
+#: What a thought, an answer or a call must not hold.
+BANNED = ("<tool_call>", "</tool_call>", "<box>", "</box>", "<th", "</th", "<|im_start|>")
+#: Ways to name a choice within a reply (the last place counts), and at its start.
+NAMED = (r"(?i)answer\s*is\s*:?\s*\(?([A-Z])\)?", r"(?i)the\s*answer\s*is\s*\(?([A-Z])\)?", r"(?i)answer\s*:\s*\(?([A-Z])\)?", r"(?i)choice\s*is\s*\(?([A-Z])\)?", r"(?i)option\s*is\s*\(?([A-Z])\)?", r"(?i)correct\s*option\s*is\s*\(?([A-Z])\)?")
+STARTS = (r"""^['"]?([A-Z])['"]?\.""", r"""^['"]?\(([A-Z])\)""", r"""^['"]?([A-Z])\)""", r"""^['"]?([A-Z])['"]?:""")
+STARTS_OF_JUDGE = (r"^([A-Z])\.", r"^\(([A-Z])\)", r"^([A-Z])\)")
+REGION, REGION_END = "<|vision_start|><|image_pad|>", "<|image_pad|><|vision_end|>"
+
+
+def stripped(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
 def last_answer(c: Column) -> Column:
-    """What the last <answer> block holds, trimmed; null without one."""
-    return F.trim(F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1)))
+    """What the last <answer> block holds, without white space at its ends; null without one."""
+    return stripped(F.try_element_at(F.regexp_extract_all(c, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(-1)))
+
+
+def first_answer(c: Column) -> Column:
+    """What the first <answer> block holds; null without one."""
+    return stripped(F.get(F.regexp_extract_all(c, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1)), F.lit(0)))
 
 
 def occurrences(c: Column, mark: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))) / len(mark)).cast("long")
 
 
+def after_thought(c: Column) -> Column:
+    return stripped(F.element_at(F.split(c, "</think>", -1), -1))
+
+
+def holds_banned(c: Column) -> Column:
+    out = F.lit(False)
+    for mark in BANNED:
+        out = out | F.contains(c, F.lit(mark))
+    return out
+
+
 def valid_message(c: Column) -> Column:
-    """One thought, then one answer or one tool call with nothing after it and no tag inside either."""
-    parts = F.split(c, "</think>", -1)
-    thought, rest = F.get(parts, F.lit(0)), F.trim(F.get(parts, F.lit(1)))
-    plain = ~thought.rlike("(?s)</?(answer|tool_call)>") & (occurrences(thought, "<think>") == 1)
-    block = rest.rlike(r"(?s)^<answer>((?!</?(answer|tool_call|think)>).)*</answer>$") | rest.rlike(r"(?s)^<tool_call>((?!</?(answer|tool_call|think)>).)*</tool_call>$")
-    return F.coalesce(c.startswith("<think>") & (F.size(parts) == 2) & plain & block, F.lit(False))
+    """A thought, then one answer or one tool call with nothing after it, and no banned tag inside either."""
+    s = stripped(c)
+    plain = F.replace(s, F.lit("<think>"), F.lit(""))
+    thought, rest = F.get(F.split(plain, "</think>", -1), F.lit(0)), F.get(F.split(plain, "</think>", -1), F.lit(1))
+
+    def block(tag: str) -> Column:
+        parts = F.split(F.replace(rest, F.lit(f"<{tag}>"), F.lit("")), f"</{tag}>", -1)
+        once = (occurrences(rest, f"<{tag}>") == 1) & (occurrences(rest, f"</{tag}>") == 1)
+        return once & (stripped(F.get(parts, F.lit(1))) == "") & ~holds_banned(F.get(parts, F.lit(0)))
+
+    kind = F.when(stripped(rest).startswith("<answer>"), block("answer")).when(stripped(rest).startswith("<tool_call>"), block("tool_call")).otherwise(F.lit(False))
+    return F.coalesce(s.startswith("<think>") & (occurrences(s, "</think>") == 1) & ~holds_banned(thought) & kind, F.lit(False))
+
+
+def history_fails(messages: Column) -> Column:
+    """Whether one of the assistant's messages, every other one of an array but the last of all, isn't valid."""
+    own = F.transform(messages, lambda m, i: F.when((i % 2 == 0) & (i < F.size(messages) - 1), ~valid_message(F.when(i == 0, m).otherwise(F.regexp_replace(m, r"^\n<\|im_start\|>assistant\n", "")))).otherwise(F.lit(False)))
+    return F.exists(own, lambda x: x)
+
+
+def focused_regions(c: Column) -> Column:
+    """Regions looked at; 0 if their starts and ends aren't as many."""
+    n = occurrences(c, REGION)
+    return F.when(n == occurrences(c, REGION_END), n).otherwise(F.lit(0).cast("long"))
+
+
+def tool_responses(c: Column) -> Column:
+    return occurrences(c, "<|im_start|>user\n<tool_response><|vision_start|><|image_pad|>")
+
+
+def turns_of(messages: Column) -> Column:
+    """Tries that a history shows: 0 if it is empty or of over ten messages, 5 at ten."""
+    n = F.size(messages)
+    return F.when((n > 10) | (n < 1), 0.0).when(n == 10, 5.0).otherwise((n - 1) / 2.0)
+
+
+def choice(pred: Column, options: Column, judge: bool = False) -> Column:
+    """The letter that a reply chooses: '' if it is empty; null if there is none, the judge then takes the reply itself."""
+    p = stripped(pred)
+    last = lambda pattern: F.try_element_at(F.regexp_extract_all(p, F.lit(pattern), F.lit(1)), F.lit(-1))
+    one = lambda pattern: F.nullif(F.regexp_extract(p, pattern, 1), F.lit(""))
+    at = F.array_position(options, p)
+    named = F.upper(F.coalesce(*(last(x) for x in NAMED), *(one(x) for x in (STARTS_OF_JUDGE if judge else STARTS)), one(r"\(([A-Z])\)\.?\s*$")))
+    own = F.when(at > 0, F.chr(at + 64))
+    return F.when(F.coalesce(pred, F.lit("")) == "", F.lit("")).when(p.rlike(r"^\p{L}$"), F.upper(p)).otherwise(F.coalesce(named, own, *([p] if judge else [])))
+
+
+def is_choice(question: Column, options: Column) -> Column:
+    return (question == "Recognize the question and options in the image and answer it.") | (F.coalesce(F.size(options), F.lit(0)) > 0)
+
+
+def exact_match(pred: Column, answers: Column) -> Column:
+    return F.array_contains(F.transform(answers, lambda a: F.lower(stripped(a))), F.lower(stripped(pred)))
+
+
+def main_score(pred: Column, answers: Column) -> Column:
+    """score, format_reward and num_focused_regions of a recorded reply, by exact match; zeros if its messages don't come in pairs."""
+    messages = F.split(pred, r"<\|im_end\|>", -1)
+    paired = (F.size(messages) % 2 == 0) & (F.element_at(messages, -1) == "")
+    answer, regions = F.coalesce(last_answer(after_thought(pred)), F.lit("")), focused_regions(pred)
+    right = (F.length(answer) > 0) & (F.length(answer) <= 200) & (regions <= 15) & exact_match(answer, answers)
+    fails = history_fails(messages) | (F.length(answer) == 0) | (F.length(answer) > 200)
+    one = lambda c: F.when(paired & c, 1.0).otherwise(0.0)
+    return F.struct(one(right).alias("score"), one(~fails).alias("format_reward"), F.when(paired, regions).otherwise(F.lit(0).cast("long")).alias("num_focused_regions"))
 
 
 def normalised(c: Column) -> Column:
@@ -39,9 +128,156 @@ def token_f1(pred: Column, truth: Column) -> Column:
 
 
 def gsm8k_strict(c: Column) -> Column:
-    """The number after the last ####, without commas and $; null without one."""
-    found = F.try_element_at(F.regexp_extract_all(c, F.lit(r"#### (\-?[0-9\.\,]+)"), F.lit(1)), F.lit(-1))
-    return F.translate(found, ",$", "")
+    """The number after the first ####, without commas and $; null without one."""
+    return F.translate(F.get(F.regexp_extract_all(c, F.lit(r"#### (\-?[0-9\.\,]+)"), F.lit(1)), F.lit(0)), ",$", "")
+
+
+def gsm8k_flexible(c: Column) -> Column:
+    """The last number of a text that isn't a lone point, else its first; null without one."""
+    found = F.regexp_extract_all(c, F.lit(r"(\-?[0-9\.\,]+)"), F.lit(1))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda x: ~x.isin("", ".")), F.lit(-1)), F.get(found, F.lit(0)))
+
+
+def gsm8k_score(got: Column, truth: Column, format_score: float = 0.0, score: float = 1.0) -> Column:
+    return F.when(got.isNull(), 0.0).when(got == truth, score).otherwise(format_score)
+
+
+def yes_no(c: Column) -> Column:
+    return F.when(c == "True", "yes").when(c == "False", "no").otherwise(c)
+
+
+def last_boxed(c: Column) -> Column:
+    r"""The last \boxed or, without one, \fbox with its balanced braces; null if they don't close. '\boxed ' goes on to the next $."""
+    from_last = lambda mark: F.when(F.contains(c, F.lit(mark)), F.concat(F.lit(mark), F.element_at(F.split(c, "\\Q" + mark + "\\E", -1), -1)))
+    tail = F.coalesce(from_last("\\boxed"), from_last("\\fbox"))
+    first = F.struct(F.lit(0).alias("open"), F.lit(0).alias("i"), F.lit(0).alias("end"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = a["open"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        return F.struct(now.alias("open"), (a["i"] + 1).alias("i"), F.when((a["end"] == 0) & (x == "}") & (now == 0), a["i"] + 1).otherwise(a["end"]).alias("end"))
+
+    end = F.aggregate(F.split(tail, ""), first, step)["end"]
+    spaced = F.concat(F.lit("\\boxed "), F.get(F.split(F.element_at(F.split(c, r"\\boxed ", -1), -1), r"\$", -1), F.lit(0)))
+    return F.when(F.contains(c, F.lit("\\boxed ")), spaced).when(end > 0, F.substring(tail, F.lit(1), end))
+
+
+def unboxed(c: Column) -> Column:
+    """What a box of last_boxed holds."""
+    return F.when(c.startswith("\\boxed "), F.substr(c, F.lit(8))).when(c.startswith("\\boxed{") & c.endswith("}"), F.substring(c, F.lit(8), F.length(c) - 8))
+
+
+#: Replaced in this order.
+MATH_CUTS = (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""))
+
+
+def math_plain(c: Column) -> Column:
+    """An answer in one form: fractions and roots with braces, no units, percent signs, degrees and spaces."""
+    for old, new in MATH_CUTS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = F.get(F.split(c, r"\\text\{ ", -1), F.lit(0))
+    for old, new in (("\\%", ""), (" .", " 0."), ("{.", "{0.")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = F.when(c.startswith("."), F.concat(F.lit("0"), c)).otherwise(c)
+    sides = F.split(c, "=", -1)
+    c = F.when((F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2), F.get(sides, F.lit(1))).otherwise(c)
+    c = F.replace(F.regexp_replace(c, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
+    c = F.regexp_replace(F.regexp_replace(c, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+    c = F.when(c == "0.5", F.lit("\\frac{1}{2}")).otherwise(c)
+    return F.regexp_replace(c, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
+
+
+def math_score(reply: Column, truth: Column) -> Column:
+    return F.when(math_plain(unboxed(last_boxed(reply))) == math_plain(truth), 1.0).otherwise(0.0)
+
+
+def strict_box(reply: Column, truth: Column) -> Column:
+    """1 if the box in the last 100 characters holds the truth, else -1."""
+    return F.when(unboxed(last_boxed(F.right(reply, F.lit(100)))) == truth, 1).otherwise(-1)
+
+
+def named_answer(reply: Column) -> Column:
+    """The last 'Answer: ...' line of the last 300 characters, else [INVALID]."""
+    return F.coalesce(F.try_element_at(F.regexp_extract_all(F.right(reply, F.lit(300)), F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1)), F.lit(-1)), F.lit("[INVALID]"))
+
+
+def same_number(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
+    """Equal as texts, or as numbers within a tolerance, a percentage counting as its hundredth or as it stands."""
+    x, y = (F.try_to_number(F.translate(v, ",%$ ", ""), F.lit("S999999999.999999")).cast("double") for v in (a, b))
+    near = lambda p, q: F.abs(p - q) <= tolerance * F.greatest(F.abs(q), F.lit(1.0))
+    return F.coalesce((stripped(a) == stripped(b)) | near(x, y) | near(x / 100, y) | near(x, y / 100), F.lit(False))
+
+
+def geometry_format(c: Column) -> Column:
+    return F.when(c.rlike(r"(?s)^<think>.*</think>.*\\boxed\{.*\}.*$"), 1.0).otherwise(0.0)
+
+
+def retrieval_fails(c: Column) -> Column:
+    """Format errors of a retrieval reply: tags not paired, a speaker's name, not one answer, or one that is long or holds tags."""
+    p = F.concat(F.lit("<think>"), c)
+    marks = ("<|begin_of_documents|>\n", "<|end_of_documents|>\n", "<|begin_of_query|>", "<|end_of_query|>", "<|begin_of_documents|>", "<|end_of_documents|>", "<|begin_of_documents|>\n(1)")
+    counts = [occurrences(p, m) for m in marks]
+    answer = retrieval_answer(p)
+    fails = (F.greatest(*counts) != F.least(*counts)) | F.contains(p, F.lit("Assistant:")) | F.contains(p, F.lit("assistant:")) | (occurrences(p, "<think>") != occurrences(p, "</think>"))
+    fails = fails | (occurrences(p, "<answer>") != 1) | (occurrences(p, "</answer>") != 1) | F.contains(answer, F.lit("begin_of_query")) | F.contains(answer, F.lit("begin_of_documents"))
+    return fails | (F.size(F.filter(F.split(answer, r"\s+"), lambda w: w != "")) > 10)
+
+
+def retrieval_answer(p: Column) -> Column:
+    return stripped(F.get(F.split(F.element_at(F.split(p, "<answer>", -1), -1), "</answer>", -1), F.lit(0)))
+
+
+def verdict(c: Column) -> Column:
+    """1 if a judge's text after 'Judgement:' has a 1, else 0."""
+    return F.when(F.contains(F.substring_index(c, "Judgement:", -1), F.lit("1")) & F.contains(c, F.lit("Judgement:")), 1).otherwise(0)
+
+
+def question_part(c: Column) -> Column:
+    """The question before its options, which 'Options:' or 'choices:' names, with a question mark."""
+    q = stripped(F.get(F.split(c, r"(?i)(?:options|choices)\s*:", 2), F.lit(0)))
+    return F.when(q.rlike(r"[?.!]$"), q).otherwise(F.concat(q, F.lit("?")))
+
+
+def option_parts(c: Column) -> Column:
+    """The options of a question: (A) lines, else A: parts, else lines; empty without a mark."""
+    rest = F.get(F.split(c, r"(?i)(?:options|choices)\s*:", 2), F.lit(1))
+    lettered = F.regexp_extract_all(rest, F.lit(r"\([A-Z]\)\s*([^\n]+)"), F.lit(1))
+    listed = F.regexp_extract_all(rest, F.lit(r"[A-Z]:\s*([^,\n]+)"), F.lit(1))
+    plain = F.split(stripped(rest), "\n", -1)
+    some = F.when(F.size(lettered) > 0, lettered).when(F.size(listed) > 0, listed).otherwise(plain)
+    return F.when(rest.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(some, stripped), lambda x: x != ""))
+
+
+def with_choices(question: Column, options: Column) -> Column:
+    """question and ' choices: A: x, B: y'."""
+    listed = F.array_join(F.transform(options, lambda x, i: F.concat(F.chr(i.cast("long") + 65), F.lit(": "), x)), ", ")
+    return F.when(F.size(options) > 0, F.concat(question, F.lit(" choices: "), listed)).otherwise(question)
+
+
+def question_and_options(question: Column, options: Column) -> Column:
+    lines = F.array_join(F.transform(options, lambda x, i: F.concat(F.chr(i.cast("long") + 65), F.lit(". "), x)), "\n")
+    return F.concat(F.lit("Question: "), question, F.lit("\nOptions: \n"), lines)
+
+
+def segments(c: Column) -> Column:
+    """A prompt cut at <image> and <video>, as structs of type and text; empty texts are left out."""
+    parts = F.filter(F.split(c, r"(?=<image>)|(?<=<image>)|(?=<video>)|(?<=<video>)"), lambda x: x != "")
+    return F.transform(parts, lambda x: F.struct(F.when(x == "<image>", "image").when(x == "<video>", "video").otherwise("text").alias("type"), F.when(~x.isin("<image>", "<video>"), x).alias("text")))
+
+
+def hellaswag(c: Column) -> Column:
+    return F.replace(F.regexp_replace(F.replace(stripped(c), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
+
+
+def sequence_truth(first: Column, step: Column, count: Column) -> Column:
+    """The next `count` members of an arithmetic sequence, as text."""
+    return F.when(count < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: (first + i * step).cast("string")), ","))
+
+
+def prefix_reward(reply: Column, truth: Column) -> Column:
+    """Share of the truth's characters, and one for the end, that the reply has right from the start on."""
+    same = F.transform(F.sequence(F.lit(1), F.greatest(F.length(truth), F.lit(1))), lambda i: F.left(reply, i) == F.left(truth, i))
+    n = F.when(F.length(truth) == 0, 0).otherwise(F.size(F.filter(same, lambda x: x)))
+    return (n + F.when(reply == truth, 1).otherwise(0)) / (F.length(truth) + 1)
 
 
 def overlong_penalty(length: Column, most: int, buffer: int, factor: float) -> Column:

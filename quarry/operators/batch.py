@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint, in the folder that the session names in spark.checkpoint.dir: its rows and partitions don't change any more, even if an executor is lost."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint(eager=True)
+
+
 def with_row_id(df: DataFrame, *key: str) -> DataFrame:
-    """row_id 0.. in the order of key. Ranks are taken within range partitions and shifted by the counts of those before, so no task sees all rows."""
+    """row_id 0.. in the order of key. The range-sorted rows are settled first, as the bounds of a range exchange are sampled anew each time it runs; a row's place in its partition is then shifted by the counts of those before, so no task sees all rows."""
     spark = df.sparkSession
-    parts = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__p", F.spark_partition_id())
-    ranked = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*key)))
+    at = F.monotonically_increasing_id()
+    parts = settled(df.repartitionByRange(*key).sortWithinPartitions(*key)).withColumn("__p", F.shiftright(at, 33)).withColumn("__r", at.bitwiseAND(F.lit((1 << 33) - 1)))
     counts = sorted((r["__p"], r["count"]) for r in parts.groupBy("__p").count().collect())
-    base, at = [], 0
+    base, first = [], 0
     for p, n in counts:
-        base.append((p, at))
-        at += n
-    offsets = spark.createDataFrame(base, "__p int, __base long")
-    return ranked.join(F.broadcast(offsets), "__p").withColumn("row_id", F.col("__base") + F.col("__r") - 1).drop("__p", "__r", "__base")
+        base.append((p, first))
+        first += n
+    offsets = spark.createDataFrame(base, "__p long, __base long")
+    return parts.join(F.broadcast(offsets), "__p").withColumn("row_id", F.col("__base") + F.col("__r")).drop("__p", "__r", "__base")
 
 
 def take(df: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1, n: int | None = None) -> DataFrame:
@@ -68,8 +78,9 @@ def union_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     bad = F.col("__in").isNull() | F.col("__own").isNull()
     for c in shared:
         bad = bad | ~F.col(c).eqNullSafe(F.col(f"__{c}"))
-    checked = F.when(bad, F.raise_error(F.lit("rows or shared columns differ"))).otherwise(F.col("row_id"))
-    return both.withColumn("row_id", checked.cast("long")).drop("__in", "__own", *(f"__{c}" for c in shared))
+    # a filter can't be left out, whichever columns are asked for
+    right = F.when(bad, F.raise_error(F.lit("rows or shared columns differ")).cast("boolean")).otherwise(F.lit(True))
+    return both.where(right).drop("__in", "__own", *(f"__{c}" for c in shared))
 
 
 def first_wins(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -89,3 +100,64 @@ def snake(df: DataFrame, group: str, size: str, key: str, bins: int) -> DataFram
     r = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(size), key)) - 1
     turn, at = F.floor(r / bins) % 2, r % bins
     return df.withColumn("bin", F.when(turn == 0, at).otherwise(bins - 1 - at).cast("long"))
+
+
+def pop(df: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """The columns names with row_id, and df without them; a missing column is an error."""
+    return df.select("row_id", *names), df.drop(*names)
+
+
+def rename(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
+    if len(old) != len(new) or not set(old) <= set(df.columns):
+        raise ValueError("as many new names as old ones, all of them columns")
+    return df.withColumnsRenamed(dict(zip(old, new, strict=True)))
+
+
+def unpad(df: DataFrame, pad: int, n: int | None = None) -> DataFrame:
+    n = df.count() if n is None else n
+    return df.where(F.col("row_id") < n - pad)
+
+
+def fold(df: DataFrame, groups: int, n: int | None = None) -> DataFrame:
+    """A row for each of groups equal parts, with its rows as an array in order; bounded by the size of a part."""
+    out = chunk(df, groups, n)
+    rows = F.array_sort(F.collect_list(F.struct("row_id", *(c for c in df.columns if c != "row_id"))))
+    return out.groupBy(F.col("chunk_id").alias("row_id")).agg(rows.alias("rows"))
+
+
+def unfold(df: DataFrame, size: int) -> DataFrame:
+    """fold() undone: size is the rows of a part."""
+    at = df.select(F.col("row_id").alias("__g"), F.posexplode("rows").alias("__i", "r"))
+    inner = [f.name for f in df.schema["rows"].dataType.elementType.fields if f.name != "row_id"]
+    return at.select((F.col("__g") * size + F.col("__i")).cast("long").alias("row_id"), *(F.col(f"r.{c}").alias(c) for c in inner))
+
+
+def minibatches(df: DataFrame, size: int, epochs: int, n: int | None = None) -> DataFrame:
+    """epoch and mini_batch_id of each row in each epoch; an error if rows don't make whole batches."""
+    n = df.count() if n is None else n
+    if n % size:
+        raise ValueError(f"{n} rows don't make whole batches of {size}")
+    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("mini_batch_id", F.floor(F.col("row_id") / size).cast("long"))
+
+
+def row_range(df: DataFrame, start: int, end: int = -1, n: int | None = None) -> DataFrame:
+    """Rows [start, end); -1: to the end, more than there are: all. A start beyond the rows, or an end not after it, is an error."""
+    n = df.count() if n is None else n
+    end = n if end == -1 else min(end, n)
+    if not 0 <= start < n or end <= start:
+        raise ValueError(f"no rows from {start} to {end} of {n}")
+    return df.where((F.col("row_id") >= start) & (F.col("row_id") < end))
+
+
+def seeded(key: Column, seed: int) -> Column:
+    """The place of a row in a shuffled order, the same in any engine."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")).cast("binary"))
+
+
+def batches_until(df: DataFrame, step: str, group: str, enough: int) -> DataFrame:
+    """Rows of the steps, in order, until `enough` different groups are there; what a step brings is counted before groups are joined, so windows run over steps only."""
+    first = df.groupBy(group).agg(F.min(step).alias(step))
+    per = first.groupBy(step).agg(F.count("*").alias("n"))
+    steps = df.select(step).distinct().join(per, step, "left").select(step, F.coalesce("n", F.lit(0)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(F.broadcast(steps.withColumn("__before", before).where(F.col("__before") < enough).select(step)), step, "left_semi")

@@ -6,20 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Steps of a block in discounted(): rate**BLOCK stays well within a double's range.
+BLOCK = 512
+
+
 def suffix_sum(value: Column, traj: str = "traj_id", pos: str = "pos") -> Column:
-    return F.sum(value).over(Window.partitionBy(traj).orderBy(pos).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    """Sum from a token to the end. In descending order the frame only grows, so a trajectory takes one pass."""
+    return F.sum(value).over(Window.partitionBy(traj).orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def discounted(value: Column, steps: Column, rate: float, traj: str = "traj_id", pos: str = "pos") -> Column:
-    """sum over k >= t of value_k * rate**(c_k - c_t), c the running count of steps before a token.
+def discounted(df: DataFrame, value: Column, steps: Column, rate: float, name: str, traj: str = "traj_id", pos: str = "pos") -> DataFrame:
+    """df with name: the sum over k >= t of value_k * rate**(c_k - c_t), c the running count of steps (0 or 1 a token) before a token.
 
-    Exact while rate**steps stays within a double's range (13,000 steps at 0.95); for rate 1 it is a plain suffix sum.
+    Sums run within blocks of BLOCK steps, where powers can't underflow; what lies
+    after a block comes in through the blocks' totals, one for each BLOCK steps of a trajectory.
     """
     if rate == 1.0:
-        return suffix_sum(value, traj, pos)
+        return df.withColumn(name, suffix_sum(value, traj, pos))
     w = Window.partitionBy(traj).orderBy(pos)
     before = F.coalesce(F.sum(steps).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return suffix_sum(value * F.pow(F.lit(rate), before), traj, pos) / F.pow(F.lit(rate), before)
+    own = df.withColumn("__v", value).withColumn("__c", before).withColumn("__b", F.floor(F.col("__c") / BLOCK)).withColumn("__r", F.pow(F.lit(rate), F.col("__c") - F.col("__b") * BLOCK))
+    part = F.col("__v") * F.col("__r")
+    totals = own.groupBy(traj, "__b").agg(F.sum(part).alias("s")).groupBy(traj).agg(F.sort_array(F.collect_list(F.struct(F.col("__b").alias("b"), "s")), asc=False).alias("__t"))
+    # after block b: its successor's total and, discounted by a block, what lies after that
+    none = F.array().cast("array<struct<b:bigint,after:double,next:double>>")
+    step = lambda a, x: F.concat(a, F.array(F.struct(x["b"].alias("b"), F.coalesce(F.get(a, F.size(a) - 1)["next"], F.lit(0.0)).alias("after"), (x["s"] + rate**BLOCK * F.coalesce(F.get(a, F.size(a) - 1)["next"], F.lit(0.0))).alias("next"))))
+    afters = totals.select(traj, F.explode(F.aggregate("__t", none, step)).alias("x")).select(traj, F.col("x.b").alias("__b"), F.col("x.after").alias("__after"))
+    local = F.sum(part).over(Window.partitionBy(traj, "__b").orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.col("__r")
+    both = own.withColumn("__l", local).join(afters, [traj, "__b"])
+    return both.withColumn(name, F.col("__l") + F.pow(F.lit(rate), (F.col("__b") + 1) * BLOCK - F.col("__c")) * F.col("__after")).drop("__v", "__c", "__b", "__r", "__l", "__after")
 
 
 def whiten(df: DataFrame, value: str, mask: str, batch: list[str] | None = None, eps: float = 1e-8) -> DataFrame:
@@ -36,12 +51,12 @@ def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
 
     A masked-off token neither adds a difference nor takes a step: the next value and the running advantage pass over it. Returns are discounted sums of rewards, not advantage plus value.
     """
-    w = Window.partitionBy("traj_id").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    after = F.coalesce(F.first(F.when(F.col("mask") > 0, F.col("value")), ignorenulls=True).over(w), F.lit(0.0))
-    delta = F.when(F.col("mask") > 0, F.col("reward") + gamma * after - F.col("value")).otherwise(0.0)
-    gain = F.when(F.col("mask") > 0, F.col("reward")).otherwise(0.0)
-    out = df.withColumn("__d", delta)
-    return out.withColumn("advantage", discounted(F.col("__d"), F.col("mask"), gamma * lam)).withColumn("return", discounted(gain, F.col("mask"), gamma)).drop("__d")
+    w = Window.partitionBy("traj_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col("mask") > 0
+    after = F.coalesce(F.last(F.when(on, F.col("value")), ignorenulls=True).over(w), F.lit(0.0))
+    out = df.withColumn("__d", F.when(on, F.col("reward") + gamma * after - F.col("value")).otherwise(0.0))
+    out = discounted(out, F.col("__d"), F.col("mask"), gamma * lam, "advantage").drop("__d")
+    return discounted(out, F.when(on, F.col("reward")).otherwise(0.0), F.col("mask"), gamma, "return")
 
 
 def until_eos(token: Column, eos: Column, traj: str = "traj_id", pos: str = "pos") -> Column:

@@ -57,7 +57,7 @@ COUNTED = "c as (select *, coalesce(sum(mask) over (partition by traj_id order b
 @query(f"with {TOKENS_SQL}, {COUNTED.format(src='tokens')}, t as (select traj_id, pos, mask, {DISCOUNT.format(v='reward', r=0.95)} as ret from c), m as (select avg(ret) as m, var_samp(ret) as v from t where mask > 0) select traj_id, pos, round((ret - m) / sqrt(v + 1e-8) * mask, 6) as advantage from t, m")
 def g4_reinforce_returns(spark, d) -> DataFrame:
     t = tokens(spark, d)
-    out = t.withColumn("advantage", scans.discounted(F.col("reward"), F.col("mask"), 0.95))
+    out = scans.discounted(t, F.col("reward"), F.col("mask"), 0.95, "advantage")
     return scans.whiten(out.select("traj_id", "pos", "mask", "advantage"), "advantage", "mask").select("traj_id", "pos", r6(F.col("advantage") * F.col("mask")).alias("advantage"))
 
 
@@ -222,19 +222,6 @@ def o6_snake_balance(spark, d) -> DataFrame:
 
 # Texts
 
-TAGGED = "t as (select conv_id, turn, '<think>' || role || '</think><answer> ' || substr(text, 1, 40) || ' </answer>' || case when turn % 3 = 0 then ' more' else '' end as c, text from conversations)"
-
-
-def tagged(spark, d) -> DataFrame:
-    c = F.concat(F.lit("<think>"), "role", F.lit("</think><answer> "), F.substring("text", 1, 40), F.lit(" </answer>"), F.when(F.col("turn") % 3 == 0, " more").otherwise(""))
-    return table(spark, d, "conversations").select("conv_id", "turn", c.alias("c"), "text")
-
-
-@query(f"with {TAGGED} select conv_id, turn, trim(regexp_extract(c, '(?s)<answer>(.*?)</answer>', 1)) as answer, c like '%</answer>' as valid, length(text) - length(replace(text, 'the', '')) as the_chars from t")
-def t1_extract_and_validate(spark, d) -> DataFrame:
-    return tagged(spark, d).select("conv_id", "turn", text.last_answer(F.col("c")).alias("answer"), text.valid_message(F.col("c")).alias("valid"), (3 * text.occurrences(F.col("text"), "the")).alias("the_chars"))
-
-
 NORM = "regexp_replace(lower(replace({x}, '_', ' ')), '[!-/:-@\\[-`{{-~]', ' ', 'g')"
 
 
@@ -265,12 +252,6 @@ def t41_overlong_penalty(spark, d) -> DataFrame:
     return kept.select("traj_id", r6(text.overlong_penalty(F.col("n"), 10, 4, 1.0)).alias("penalty"))
 
 
-@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, props like '%\"k\"%' as ok from events")
-def n1_parse_tool_call(spark, d) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), F.contains("props", F.lit('"k"')).alias("ok"))
-
-
 # Geometry
 
 BOX = "b as (select p_partkey, p_size * 1.0 as x1, p_partkey % 37 * 1.0 as y1, p_size + 20.0 as x2, p_partkey % 37 + 30.0 as y2, p_partkey % 41 * 1.0 as u1, p_size % 19 * 1.0 as v1, p_partkey % 41 + 25.0 as u2, p_size % 19 + 15.0 as v2 from part)"

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import batches, catalog, evaluation, texts  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
