@@ -158,9 +158,10 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
     only at buckets whose other members still lie in several components: those
     outside a bucket's largest component become centres, each against the members
     of other components. Marks are compared before anything else of a pair is
-    read. A round compares about `spend` marks a member at most: if more are
-    left, a share of the centres chosen by hash is taken, the smallest of each
-    bucket with it. A bucket with many comparisons is dealt over many tasks. It
+    read. A round compares about `spend` marks a member at most, and the first two
+    about one: a few centres join most of a large group, so that pairs within it
+    need no test. If more are left, a share of the centres chosen by hash is taken,
+    the smallest of each bucket with it. A bucket with many comparisons is dealt over many tasks. It
     ends when every pair in a bucket is tested or within one component: no link
     that a bucket could show is lost.
     """
@@ -193,7 +194,7 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
         star = star.join(mark.select(F.col("id").alias(side), F.col("mark").alias(f"mark_{side}")), side)
     links = confirmed(star.where(close(F.col("mark_a"), F.col("mark_b"))).select("a", "b"))
     comp, comp_path = joined_components(None, links if also is None else links.unionByName(also), what)
-    left = held.where("id <> centre").select("bucket", "id").distinct()
+    left, rounds = held.where("id <> centre").select("bucket", "id").distinct(), 0
     while True:
         named, named_path = written(left.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), what + "-named")
         per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
@@ -206,8 +207,9 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
         if not todo["n"]:
             drop_path(spark, *old)
             return comp
-        if todo["pairs"] > spend * volume:
-            share = int(spend * volume / todo["pairs"] * 2**30)
+        most, rounds = volume * (min(spend, 1) if rounds < 2 else spend), rounds + 1
+        if todo["pairs"] > most:
+            share = int(most / todo["pairs"] * 2**30)
             least = outside.groupBy("bucket").agg(F.min("id").alias("least"))
             outside = outside.join(least, "bucket").where((F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id"), F.lit(2**30)) < share))
         centres, path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own"), "total").join(mark.select(F.col("id").alias("centre"), F.col("mark").alias("own_mark")), "centre"), what + "-centres")
