@@ -106,7 +106,7 @@ def a27_masked_statistics(spark, d) -> DataFrame:
     return tokens(spark, d).agg(r6(F.sum(r * m)).alias("total"), r6(F.sum(r * m) / (F.sum(m) + 1e-8)).alias("mean"), r6(F.var_samp(F.when(m > 0, r))).alias("variance"))
 
 
-@query(f"with {TOKENS_SQL}, s as (select uid, traj_id, sum(reward * mask) / nullif(sum(mask), 0) as m from tokens group by 1, 2), g as (select *, sum(m) over (partition by uid) as total, count(*) over (partition by uid) as n from s), r as (select traj_id, pos, case when mask > 0 and n > 1 then reward * n / (n - 1) - total / (n - 1) when mask > 0 then reward else 0 end as r from tokens join g using (uid, traj_id)) select traj_id, pos, round(sum(coalesce(r, 0)) over (partition by traj_id order by pos desc), 6) as ret from r")
+@query(f"with {TOKENS_SQL}, s as (select uid, traj_id, sum(reward * mask) / nullif(sum(mask), 0) as m from tokens group by 1, 2), g as (select *, sum(m) over (partition by uid) as total, count(*) over (partition by uid) as n from s), r as (select traj_id, pos, case when mask > 0 and n > 1 then reward * n / (n - 1) - total / (n - 1) when mask > 0 then reward else 0 end as r from tokens join g using (uid, traj_id)) select traj_id, pos, round(sum(coalesce(r, 0)) over (partition by traj_id order by pos desc), 6) + 0.0 as ret from r")
 def g7_token_rloo(spark, d) -> DataFrame:
     t = tokens(spark, d)
     on, w = F.col("mask") > 0, Window.partitionBy("uid")
