@@ -141,7 +141,7 @@ def joined_components(known: DataFrame | None, links: DataFrame, what: str) -> t
     return written(all_.join(merged.select(F.col("id").alias("old"), "component"), "old", "left").select("id", F.coalesce("component", "old").alias("component")), what)
 
 
-def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256, turns: int = 1, spent: tuple[str, ...] = ()) -> DataFrame:
+def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256, turns: int = 1, spent: tuple[str, ...] = (), careful: int = 0) -> DataFrame:
     """(id, component) under the links that are accepted among ids sharing a bucket, without emitting all pairs.
 
     members: (bucket, id), ids may be in many buckets; they are dealt out in `turns`
@@ -158,8 +158,8 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
     only at buckets whose other members still lie in several components: those
     outside a bucket's largest component become centres, each against the members
     of other components. Marks are compared before anything else of a pair is
-    read. A round compares about `spend` marks a member at most, and the first two
-    about one: a few centres join most of a large group, so that pairs within it
+    read. A round compares about `spend` marks a member at most, and the first
+    `careful` ones about one: a few centres join most of a large group, so that pairs within it
     need no test. If more are left, a share of the centres chosen by hash is taken,
     the smallest of each bucket with it. A bucket with many comparisons is dealt over many tasks. It
     ends when every pair in a bucket is tested or within one component: no link
@@ -207,7 +207,7 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
         if not todo["n"]:
             drop_path(spark, *old)
             return comp
-        most, rounds = volume * (min(spend, 1) if rounds < 2 else spend), rounds + 1
+        most, rounds = volume * (min(spend, 1) if rounds < careful else spend), rounds + 1
         if todo["pairs"] > most:
             share = int(most / todo["pairs"] * 2**30)
             least = outside.groupBy("bucket").agg(F.min("id").alias("least"))
