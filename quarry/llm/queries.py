@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from quarry.llm import decontaminate, lang_id, licenses, line_dedup, near_dup, packing, quality, resample, substring_dedup, token_counts, token_store, toxicity
+from quarry.llm import decontaminate, lang_id, licenses, line_dedup, near_dup, packing, periodic_runs, quality, resample, substring_dedup, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "op12_importance_resampling": resample.op12_importance_resampling,
     "op13_license_scan": licenses.op13_license_scan,
     "pipeline": corpus_pipeline.run,
