@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,3 +47,29 @@ def call_status(c: Column, name: str = "focus") -> Column:
 
 def as_list(c: Column) -> Column:
     return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(F.array(c))
+
+
+#: What the check of arguments says.
+NOT_AN_OBJECT, MISSING, WRONG_TYPE, NOT_LISTED, FINE = "Arguments must be a dictionary", "Missing required parameter: {}", "Parameter {} has incorrect type, should be {}", "Parameter {} has invalid value, should be one of: {}", "Parameters valid"
+#: What schema_of_variant says of values of a JSON schema's type; truth values are numbers too.
+TYPES = {"string": "STRING", "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*|BOOLEAN", "integer": r"BIGINT|DECIMAL\(\d+,0\)|BOOLEAN", "boolean": "BOOLEAN", "array": "ARRAY.*", "object": "(OBJECT|STRUCT).*"}
+
+
+def argument_fault(c: Column, schema: dict) -> Column:
+    """What is wrong with arguments written as JSON, by a schema with required names, types and listed values: required names first, then the arguments in the order in which they stand."""
+    value = F.try_parse_json(c)
+    at = lambda name: F.try_variant_get(value, f'$["{name}"]', "variant")
+    keys = F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    missing = [F.when(~F.array_contains(keys, name), MISSING.format(name)) for name in schema.get("required", [])]
+
+    def check(name: str, rule: dict) -> Column:
+        tests = []
+        if kind := TYPES.get(rule.get("type")):
+            tests.append(F.when(~F.schema_of_variant(at(name)).rlike(f"^({kind})$"), WRONG_TYPE.format(name, rule["type"])))
+        if "enum" in rule:
+            tests.append(F.when(~F.to_json(at(name)).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in rule["enum"]]), NOT_LISTED.format(name, ", ".join(map(str, rule["enum"])))))
+        return F.coalesce(*tests, F.lit(None).cast("string"))
+
+    found = [F.when(F.array_contains(keys, name), F.struct(F.array_position(keys, name).alias("at"), check(name, rule).alias("fault"))) for name, rule in schema.get("properties", {}).items()]
+    wrong = F.array_min(F.filter(F.array(*found), lambda x: x["fault"].isNotNull()))["fault"] if found else F.lit(None).cast("string")
+    return F.when(~F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|STRUCT)"), F.lit(False)), NOT_AN_OBJECT).otherwise(F.coalesce(*missing, wrong, F.lit(FINE)))

@@ -109,3 +109,11 @@ def learning_rate(step: Column, warmup: int, total: int, least: float = 0.0, kin
         return F.least(rise, F.lit(1.0))
     done = F.least((step - warmup) / F.lit(float(max(1, total - warmup))), F.lit(1.0))
     return F.when(step < warmup, rise).otherwise(least + (1 - least) * 0.5 * (1 + F.cos(F.lit(math.pi) * done)))
+
+
+def constrained(w: Column, h: Column, most: Column, factor: int = 28) -> Column:
+    """(width, height, scale_x, scale_y) of an image shrunk to an area of most pixels, its sides multiples of factor; smaller ones stay as they are."""
+    near = lambda x: F.greatest(F.lit(factor), F.bround(x / factor) * factor)
+    w0, h0, beta = near(w), near(h), F.sqrt(h * w / most)
+    side = lambda x, x0: F.when(w * h <= most, x).when(h0 * w0 <= most, x0).otherwise(F.greatest(F.lit(factor), F.floor((x / beta).cast("long") / factor) * factor)).cast("long")
+    return F.struct(side(w, w0).alias("width"), side(h, h0).alias("height"), (side(w, w0) / w).alias("scale_x"), (side(h, h0) / h).alias("scale_y"))

@@ -232,19 +232,19 @@ def verdict(c: Column) -> Column:
 
 
 def question_part(c: Column) -> Column:
-    """The question before its options, which 'Options:' or 'choices:' names, with a question mark."""
-    q = stripped(F.get(F.split(c, r"(?i)(?:options|choices)\s*:", 2), F.lit(0)))
-    return F.when(q.rlike(r"[?.!]$"), q).otherwise(F.concat(q, F.lit("?")))
+    """The question before its options, which 'Options:' or 'choices:' names, with a question mark if it ends without one or a full stop."""
+    q = stripped(F.get(F.split(c, r"(?i)(?:options|choices):", 2), F.lit(0)))
+    return F.when((q == "") | q.rlike(r"[?.]$"), q).otherwise(F.concat(q, F.lit("?")))
 
 
 def option_parts(c: Column) -> Column:
     """The options of a question: (A) lines, else A: parts, else lines; empty without a mark."""
-    rest = F.get(F.split(c, r"(?i)(?:options|choices)\s*:", 2), F.lit(1))
+    rest = F.get(F.split(c, r"(?i)(?:options|choices):", 2), F.lit(1))
     lettered = F.regexp_extract_all(rest, F.lit(r"\([A-Z]\)\s*([^\n]+)"), F.lit(1))
     listed = F.regexp_extract_all(rest, F.lit(r"[A-Z]:\s*([^,\n]+)"), F.lit(1))
-    plain = F.split(stripped(rest), "\n", -1)
-    some = F.when(F.size(lettered) > 0, lettered).when(F.size(listed) > 0, listed).otherwise(plain)
-    return F.when(rest.isNull(), F.array().cast("array<string>")).otherwise(F.filter(F.transform(some, stripped), lambda x: x != ""))
+    plain = F.filter(F.transform(F.split(stripped(rest), "\n", -1), stripped), lambda x: x != "")
+    some = F.when(F.size(lettered) > 0, F.transform(lettered, stripped)).when(F.size(listed) > 0, F.transform(listed, stripped)).otherwise(plain)
+    return F.when(rest.isNull(), F.array().cast("array<string>")).otherwise(some)
 
 
 def with_choices(question: Column, options: Column) -> Column:
@@ -290,3 +290,46 @@ def boxes(c: Column) -> Column:
     raw = F.regexp_extract_all(c, F.lit(rf"<box>\[{n},{n},{n},{n}\]</box>"), F.lit(0))
     four = F.transform(raw, lambda b: F.transform(F.split(F.regexp_replace(b, r"</?box>|[\[\]\s]", ""), ","), lambda v: v.cast("double")))
     return F.filter(four, lambda b: (F.get(b, F.lit(0)) < F.get(b, F.lit(2))) & (F.get(b, F.lit(1)) < F.get(b, F.lit(3))))
+
+
+def by_label(labels: Column, texts: Column) -> Column:
+    """Texts in the order of their labels; of a label's texts the last."""
+    both = F.arrays_zip(labels.alias("label"), texts.alias("text"))
+    return F.transform(F.array_sort(F.array_distinct(labels)), lambda k: F.element_at(F.filter(both, lambda x: x["label"] == k), -1)["text"])
+
+
+def labelled_options(c: Column) -> Column:
+    """(question, options) of a question with its options: after 'Options:' or 'choices:' as (A) lines, A: parts or lines, else inline as A. B); options are null if there are none, and in the order of their letters."""
+    s = stripped(F.replace(F.coalesce(c, F.lit("")), F.lit("<image>"), F.lit("")))
+    cut = F.split(s, r"(?i)(?:options:|choices:)", 2)
+    rest = stripped(F.get(cut, F.lit(1)))
+    all_ = lambda pattern, group: F.regexp_extract_all(rest, F.lit(pattern), F.lit(group))
+    lettered, listed = r"\(([A-Z])\)\s*([^\n]+)", r"([A-Z])\s*:\s*([^\n,]+(?:\n|,|$))"
+    lines = F.filter(F.transform(F.split(rest, "\n", -1), stripped), lambda x: x != "")
+    trimmed = F.transform(all_(listed, 2), lambda x: stripped(F.rtrim(x, F.lit(",\n "))))
+    after = F.when(F.size(all_(lettered, 1)) > 0, by_label(all_(lettered, 1), F.transform(all_(lettered, 2), stripped))).when(F.size(all_(listed, 1)) > 0, by_label(all_(listed, 1), trimmed)).when(F.size(lines) > 0, lines)
+    # a private character before and after each inline label
+    parts = F.split(F.regexp_replace(s, r"(?<![A-Z0-9])([A-E])\s*[.):]\s*", "\ue000$1\ue001"), "\ue000", -1)
+    inner = F.slice(parts, 2, F.size(parts))
+    inline = by_label(F.transform(inner, lambda x: F.left(x, F.lit(1))), F.transform(inner, lambda x: stripped(F.substr(x, F.lit(3)))))
+    marked, many = F.size(cut) > 1, F.size(parts) > 2
+    question = F.when(marked, stripped(F.get(cut, F.lit(0)))).when(many, stripped(F.get(parts, F.lit(0)))).otherwise(s)
+    return F.struct(question.alias("question"), F.when(marked, after).when(many, inline).alias("options"))
+
+
+def choice_letter(c: Column) -> Column:
+    """The first letter from A to E that stands alone; null without one."""
+    return F.nullif(F.regexp_extract(c, r"(?<![\p{L}\p{N}_])([A-E])(?![\p{L}\p{N}_])", 1), F.lit(""))
+
+
+def boxed_part(c: Column) -> Column:
+    """What stands between the first 'oxed{' and the brace after it; null without one."""
+    return F.get(F.split(F.get(F.split(c, r"oxed\{", -1), F.lit(1)), r"\}", -1), F.lit(0))
+
+
+def chosen_from(c: Column) -> Column:
+    """(question, options) of a question that must name its options after 'choices:', as A: parts; null if it doesn't, or has no question."""
+    cut = F.split(c, r"(?i)choices:", 2)
+    question = F.btrim(F.get(cut, F.lit(0)), F.lit(" ?\n"))
+    options = F.transform(F.regexp_extract_all(stripped(F.get(cut, F.lit(1))), F.lit(r"[A-Z]:\s*([^\n,]+(?:\n|,|$))"), F.lit(1)), lambda x: stripped(F.rtrim(x, F.lit(",\n "))))
+    return F.when((F.size(cut) > 1) & (question != ""), F.struct(F.concat(question, F.lit("?")).alias("question"), F.when(F.size(options) > 0, options).alias("options")))
