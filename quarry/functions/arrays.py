@@ -73,3 +73,47 @@ def argument_fault(c: Column, schema: dict) -> Column:
     found = [F.when(F.array_contains(keys, name), F.struct(F.array_position(keys, name).alias("at"), check(name, rule).alias("fault"))) for name, rule in schema.get("properties", {}).items()]
     wrong = F.array_min(F.filter(F.array(*found), lambda x: x["fault"].isNotNull()))["fault"] if found else F.lit(None).cast("string")
     return F.when(~F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|STRUCT)"), F.lit(False)), NOT_AN_OBJECT).otherwise(F.coalesce(*missing, wrong, F.lit(FINE)))
+
+
+def _shares(logits: Column) -> Column:
+    top = F.array_max(logits)
+    powers = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(powers, lambda x: x / total)
+
+
+def entropy(logits: Column) -> Column:
+    """Of the distribution that logits (doubles) give: log of the sum of powers less the mean logit; null without any."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    mean = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top) * x) / total
+    return F.when(F.size(logits) > 0, top + F.log(total) - mean)
+
+
+def top_k(logits: Column, k: int) -> Column:
+    """logits below the k-th largest are minus infinity; ties with it stay."""
+    least = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
+    return F.transform(logits, lambda x: F.when(x < least, F.lit(float("-inf"))).otherwise(x))
+
+
+def top_p(logits: Column, p: float) -> Column:
+    """logits are minus infinity but for the largest ones that reach a share of p between them; ties with the smallest of them stay, and at least one does."""
+    order = F.sort_array(logits, asc=False)
+    both = F.arrays_zip(order.alias("x"), _shares(order).alias("share"))
+    start = F.struct(F.lit(0.0).alias("mass"), F.lit(None).cast("double").alias("least"))
+    found = F.aggregate(both, start, lambda s, v: F.when(s["mass"] < p, F.struct((s["mass"] + v["share"]).alias("mass"), v["x"].alias("least"))).otherwise(s))
+    return F.transform(logits, lambda x: F.when(x < found["least"], F.lit(float("-inf"))).otherwise(x))
+
+
+def reachable(board: Column, size: int) -> Column:
+    """Whether a step-by-step way leads from S to G on a board, an array of size strings of S, G, F and H, past the H."""
+    cells = F.split(F.array_join(board, ""), "", size * size)
+    n = size * size
+
+    def step(reach: Column, _: Column) -> Column:
+        # a zero for every neighbour beyond the board
+        near = lambda i: F.get(reach, i) | ((i % size > 0) & F.coalesce(F.get(reach, i - 1), F.lit(False))) | ((i % size < size - 1) & F.coalesce(F.get(reach, i + 1), F.lit(False))) | F.coalesce(F.get(reach, i - size), F.lit(False)) | F.coalesce(F.get(reach, i + size), F.lit(False))
+        return F.transform(cells, lambda c, i: (c != "H") & near(i))
+
+    reach = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.transform(cells, lambda c: c == "S"), step)
+    return F.exists(F.arrays_zip(cells.alias("cell"), reach.alias("near")), lambda x: (x["cell"] == "G") & x["near"])

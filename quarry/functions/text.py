@@ -333,3 +333,19 @@ def chosen_from(c: Column) -> Column:
     question = F.btrim(F.get(cut, F.lit(0)), F.lit(" ?\n"))
     options = F.transform(F.regexp_extract_all(stripped(F.get(cut, F.lit(1))), F.lit(r"[A-Z]:\s*([^\n,]+(?:\n|,|$))"), F.lit(1)), lambda x: stripped(F.rtrim(x, F.lit(",\n "))))
     return F.when((F.size(cut) > 1) & (question != ""), F.struct(F.concat(question, F.lit("?")).alias("question"), F.when(F.size(options) > 0, options).alias("options")))
+
+
+def rewritten_in_thoughts(c: Column, old: Column, new: Column) -> Column:
+    """c with each box of old (an array of arrays of whole numbers) written as the one at its place in new, in <think> blocks only, with brackets or without."""
+    spaced = lambda b, sep: F.array_join(b.cast("array<string>"), sep)
+    pairs = F.arrays_zip(old.alias("old"), new.alias("new"))
+
+    def one(t: Column, p: Column) -> Column:
+        pattern, text = spaced(p["old"], r"(?U)\s*,\s*"), spaced(p["new"], ", ")
+        bare = F.regexp_replace(F.regexp_replace(t, F.concat(F.lit(r"(?U)\[\s*"), pattern, F.lit(r"\s*\]")), F.concat(F.lit("["), text, F.lit("]"))), pattern, text)
+        return F.when(F.size(p["old"]) > 0, bare).otherwise(t)
+
+    inner = F.regexp_extract_all(c, F.lit(r"(?s)<think>(.*?)</think>"), F.lit(1))
+    outer = F.split(c, r"(?s)<think>.*?</think>", -1)
+    done = F.transform(inner, lambda x: F.concat(F.lit("<think>"), F.aggregate(pairs, x, one), F.lit("</think>")))
+    return F.array_join(F.flatten(F.transform(outer, lambda x, i: F.when(i < F.size(inner), F.array(x, F.get(done, i))).otherwise(F.array(x)))), "")

@@ -65,3 +65,56 @@ def conversation_faults(turns: DataFrame, boxes: DataFrame, conv: str = "conv_id
     fault = F.when(F.col("n_turns") < 3, F.struct(F.lit(None).cast("long").alias("at"), F.lit("fewer than 3 turns").alias("reason"))).when(F.col("first").isNotNull(), F.struct("first.at", "first.reason"))
     of_boxes = F.when(F.col("more").isNotNull(), F.struct(F.lit(None).cast("long").alias("at"), F.when(F.col("more") != 0, "another number of boxes").otherwise("other boxes").alias("reason")))
     return turns_of.join(differ, "conv", "left").withColumn("fault", F.coalesce(fault, of_boxes)).select(F.col("conv").alias(conv), "n_turns", "fault.at", "fault.reason")
+
+
+def trajectory_verdicts(attempts: DataFrame, sample: str = "sample", attempt: str = "attempt", role: str = "assistant") -> DataFrame:
+    """(sample, attempt, good, reason) of every attempt, by the first rule that fits.
+
+    attempts: sample, attempt, correct (1 or not), turns (array of role, content), bad
+    (whether its boxes are). An attempt must be right, its turns well formed and its
+    boxes fair. A right one that stands alone is good. Where another right attempt
+    needed one turn only, an attempt is good if it called no tool. What other attempts
+    did is summed by sample and joined back.
+    """
+    said = F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: F.btrim(t["content"], F.lit(" \t\n\r\x0b\x0c")))
+    after = lambda m: F.btrim(F.element_at(F.split(F.element_at(F.split(m, "<think>", -1), -1), "</think>", -1), -1), F.lit(" \t\n\r\x0b\x0c"))
+    thought = lambda m: m.startswith("<think>") & ~m.endswith("</think>") & (F.size(F.split(F.element_at(F.split(m, "<think>", -1), -1), "</think>", -1)) == 2)
+    block = lambda x, tag: x.startswith(f"<{tag}>") & x.endswith(f"</{tag}>")
+    formed = F.forall(said, lambda m: thought(m) & (block(after(m), "answer") | block(after(m), "tool_call")))
+    seen = attempts.select(F.col(sample), F.col(attempt), (F.coalesce("correct", F.lit(0)) == 1).alias("right"), formed.alias("formed"), F.exists(said, lambda m: block(after(m), "tool_call")).alias("called"), F.size(said).alias("n"), F.coalesce("bad", F.lit(False)).alias("bad"))
+    short = F.col("right") & (F.col("n") < 2)
+    of = seen.groupBy(sample).agg(F.count_if("right").alias("n_right"), F.count_if(short).alias("n_short"))
+    both = seen.join(of, sample)
+    others = F.col("n_short") - F.when(short, 1).otherwise(0)
+    verdict = lambda good, reason: F.struct(good.alias("good"), F.lit(reason).alias("reason"))
+    yes, no = F.lit(True), F.lit(False)
+    found = F.when(~F.col("right"), verdict(no, "non_correct_sample")).when(~F.col("formed"), verdict(no, "wrong_format")).when(F.col("bad"), verdict(no, "bad_bboxes")).when(F.col("n_right") == 1, verdict(yes, "only_correct_trajectory")).when(others > 0, verdict(~F.col("called"), "other correct trajectory no focus")).otherwise(verdict(yes, "good_trajectory"))
+    return both.withColumn("verdict", found).select(sample, attempt, "verdict.good", "verdict.reason")
+
+
+GROUNDING = "struct<bbox_2d:array<double>,source:string>"
+
+
+def cold_start(turns: DataFrame, sizes: DataFrame, conv: str = "conv_id", pos: str = "turn", role: str = "role", text: str = "text", most_short: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(conv, reason) of all conversations, reason null for those kept, and the kept ones' turns with groundings made tool calls.
+
+    sizes: (conv, width, height) of the image. A conversation goes if it has most_short
+    turns or fewer, if a model's turn holds neither a grounding nor an answer, if a
+    grounding isn't JSON with a source, or if one is about what an earlier one showed:
+    the first of these. Shares of the sides become whole pixels, cut off.
+    """
+    ground = F.regexp_extract(F.col(text), r"(?s)<grounding>(.*?)</grounding>", 1)
+    read = F.from_json(ground, GROUNDING)
+    has = lambda tag: F.contains(F.col(text), F.lit(f"<{tag}>")) & F.contains(F.col(text), F.lit(f"</{tag}>"))
+    ours = F.col(role) == "gpt"
+    faults = turns.groupBy(conv).agg(
+        F.count("*").alias("n"), F.max(ours & ~has("grounding") & ~has("answer")).alias("format"), F.max(ours & has("grounding") & read["source"].isNull()).alias("grounding"), F.max(ours & has("grounding") & F.contains(read["source"], F.lit("observation_"))).alias("second")
+    )
+    reason = F.when(F.col("n") <= most_short, "length").when(F.col("format"), "format").when(F.col("grounding"), "grounding").when(F.col("second"), "second-order grounding")
+    judged = faults.select(conv, reason.alias("reason"))
+    kept = turns.join(judged.where("reason is null").select(conv), conv, "left_semi").join(sizes, conv)
+    pixels = F.transform(read["bbox_2d"], lambda v, i: (v * F.when(i % 2 == 0, F.col("width")).otherwise(F.col("height"))).cast("long"))
+    call = F.concat(F.lit('<tool_call>\n{"name": "focus", "arguments": {"bboxes": [['), F.array_join(pixels.cast("array<string>"), ", "), F.lit("]]}}\n</tool_call>"))
+    thought = F.regexp_extract(F.col(text), r"(?s)<think>(.*?)</think>", 1)
+    out = F.when(ours & has("grounding"), F.concat(F.lit("<think>"), thought, F.lit("</think>\n"), call)).otherwise(F.col(text))
+    return judged, kept.select(conv, pos, role, out.alias(text))

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import arrays
+from quarry.functions import arrays, text
 from quarry.operators import conversations
 from quarry.plans.catalog import query
 from quarry.tables import table
@@ -64,3 +64,93 @@ def fault_sql(schema: dict) -> str:
 @query(f"with a as (select event_id, {ARGUMENTS} as j from events) select event_id, {fault_sql(SCHEMA)} as fault from a")
 def n8_argument_faults(spark, d) -> DataFrame:
     return table(spark, d, "events").selectExpr("event_id", f"{ARGUMENTS} as j").select("event_id", arrays.argument_fault(F.col("j"), SCHEMA).alias("fault"))
+
+
+TURN_TEXT = """case (conv_id * 3 + turn) % 7 when 0 then '<think>' || text || '</think><answer>' || role || '</answer>' when 1 then ' <think>' || role || '</think> <tool_call>' || text || '</tool_call> ' when 2 then text when 3 then '<think>' || text || '</think>' when 4 then '<think>a</think> b</think><answer>c</answer>' when 5 then '<think><think>' || text || '</think><answer>' || role || '</answer>' else '<think>x</think><answer></answer>' end"""
+
+
+@query(f"""with t as (select conv_id // 3 as sample, conv_id % 3 as attempt, role, trim({TURN_TEXT}, ' ' || chr(9) || chr(10) || chr(13)) as m from conversations),
+ p as (select *, string_split(m, '<think>')[-1] as r from t), q as (select *, trim(string_split(r, '</think>')[-1], ' ' || chr(9) || chr(10) || chr(13)) as a, len(string_split(r, '</think>')) as parts from p),
+ s as (select sample, attempt, bool_and(starts_with(m, '<think>') and not ends_with(m, '</think>') and parts = 2 and (starts_with(a, '<answer>') and ends_with(a, '</answer>') or starts_with(a, '<tool_call>') and ends_with(a, '</tool_call>'))) filter (where role = 'assistant') as formed, coalesce(bool_or(starts_with(a, '<tool_call>') and ends_with(a, '</tool_call>')) filter (where role = 'assistant'), false) as called, count(*) filter (where role = 'assistant') as n from q group by 1, 2),
+ g as (select *, (sample + attempt) % 4 > 0 as correct, sample % 9 = 5 as bad from s), w as (select *, count(*) filter (where correct) over (partition by sample) as n_right, count(*) filter (where correct and n < 2) over (partition by sample) - case when correct and n < 2 then 1 else 0 end as others from g)
+ select sample, attempt, case when not correct or not coalesce(formed, true) or bad then false when n_right = 1 then true when others > 0 then not called else true end as good,
+ case when not correct then 'non_correct_sample' when not coalesce(formed, true) then 'wrong_format' when bad then 'bad_bboxes' when n_right = 1 then 'only_correct_trajectory' when others > 0 then 'other correct trajectory no focus' else 'good_trajectory' end as reason from w""")
+def m19_trajectory_verdicts(spark, d) -> DataFrame:
+    """Three conversations are the attempts at a sample."""
+    turns = table(spark, d, "conversations").selectExpr("conv_id div 3 as sample", "conv_id % 3 as attempt", f"struct(turn, role, {TURN_TEXT} as content) as t")
+    attempts = turns.groupBy("sample", "attempt").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    return conversations.trajectory_verdicts(attempts.withColumn("correct", F.when((F.col("sample") + F.col("attempt")) % 4 > 0, 1).otherwise(0)).withColumn("bad", F.col("sample") % 9 == 5))
+
+
+COLD = """case when turn % 2 = 0 then text when (conv_id + turn) % 9 = 0 then '<think>' || text || '</think>' when (conv_id + turn) % 5 = 0 then '<think>t</think><answer>' || text || '</answer>' when (conv_id * 7 + turn) % 11 = 0 then '<think>' || text || '</think><grounding>' || role || '</grounding>'
+ else '<think>' || text || '</think> <grounding>{"bbox_2d": [0.' || conv_id || ', 0.25, 0.75, 0.5], "source": "' || case when conv_id % 6 = 0 then 'observation_1' else 'original_image' end || '"}</grounding>' end"""
+COLD_SQL = f"""with t as (select conv_id, turn, case when turn % 2 = 1 then 'gpt' else 'human' end as role, {COLD} as text from conversations), g as (select *, contains(text, '<grounding>') and contains(text, '</grounding>') as has, regexp_extract(text, '(?s)<grounding>(.*?)</grounding>', 1) as j from t),
+ p as (select *, case when has and json_valid(j) then j end as js from g), f as (select conv_id, case when count(*) <= 3 then 'length' when bool_or(role = 'gpt' and not has and not (contains(text, '<answer>') and contains(text, '</answer>'))) then 'format' when bool_or(role = 'gpt' and has and json_extract_string(js, '$.source') is null) then 'grounding' when bool_or(role = 'gpt' and has and contains(json_extract_string(js, '$.source'), 'observation_')) then 'second-order grounding' end as reason from p group by 1)"""
+
+
+@query(f"{COLD_SQL} select conv_id, reason from f")
+def c13_cold_start_faults(spark, d) -> DataFrame:
+    return cold(spark, d)[0]
+
+
+@query(f"""{COLD_SQL}, b as (select p.*, json_extract(js, '$.bbox_2d')::double[] as b, 100 + conv_id % 1000 as w, 200 + conv_id % 77 as h from p join f using (conv_id) where reason is null) select conv_id, turn, role,
+ md5(case when role = 'gpt' and has then '<think>' || regexp_extract(text, '(?s)<think>(.*?)</think>', 1) || '</think>' || chr(10) || '<tool_call>' || chr(10) || '{{"name": "focus", "arguments": {{"bboxes": [[' || trunc(b[1] * w)::bigint || ', ' || trunc(b[2] * h)::bigint || ', ' || trunc(b[3] * w)::bigint || ', ' || trunc(b[4] * h)::bigint || ']]}}}}' || chr(10) || '</tool_call>' else text end) as said from b""")
+def c13_cold_start_turns(spark, d) -> DataFrame:
+    return cold(spark, d)[1].select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("said"))
+
+
+def cold(spark, d) -> tuple[DataFrame, DataFrame]:
+    turns = table(spark, d, "conversations").selectExpr("conv_id", "turn", "case when turn % 2 = 1 then 'gpt' else 'human' end as role", f"{COLD} as text")
+    sizes = table(spark, d, "conversations").select("conv_id").distinct().select("conv_id", (100 + F.col("conv_id") % 1000).alias("width"), (200 + F.col("conv_id") % 77).alias("height"))
+    return conversations.cold_start(turns, sizes)
+
+
+THOUGHTS = "'[' || turn || ', 3, ' || conv_id || ', 40] <think>' || text || ' [ ' || turn || ' ,3,  ' || conv_id || ',40 ] and ' || turn || ', 9,' || conv_id || ' , 40 or (' || turn || ',3,' || conv_id || ',40)</think>' || text || '<think>' || turn || ',9,' || conv_id || ',40 [' || turn || ',9,' || conv_id || ',40]</think><tool_call>[[' || turn || ', 3, ' || conv_id || ', 40]]</tool_call><think>' || text"
+
+
+def _rewritten(x: str, pairs) -> str:
+    for old, new in pairs:
+        p = " || '\\s*,\\s*' || ".join(old)
+        t = " || ', ' || ".join(new)
+        x = f"regexp_replace(regexp_replace({x}, '\\[\\s*' || {p} || '\\s*\\]', '[' || {t} || ']', 'g'), {p}, {t}, 'g')"
+    return x
+
+
+BOX_PAIRS = [(("turn", "'3'", "conv_id", "'40'"), ("turn * 2", "'7'", "(conv_id + 5)", "'44'")), (("turn", "'9'", "conv_id", "'40'"), ("'1'", "'2'", "'3'", "conv_id"))]
+
+
+@query(f"with t as (select conv_id, turn, {THOUGHTS} as c from conversations), p as (select *, regexp_extract_all(c, '(?s)<think>(.*?)</think>', 1) as inner_, string_split_regex(c, '(?s)<think>.*?</think>') as outer_ from t) select conv_id, turn, md5(array_to_string(list_transform(outer_, lambda x, i: x || case when i <= len(inner_) then '<think>' || {_rewritten('inner_[i]', BOX_PAIRS)} || '</think>' else '' end), '')) as said from p")
+def t55_coordinates_in_thoughts(spark, d) -> DataFrame:
+    t, c = F.col("turn"), F.col("conv_id")
+    box = lambda *v: F.array(*(F.lit(x).cast("long") if isinstance(x, int) else x for x in v))
+    old, new = F.array(box(t, 3, c, 40), box(t, 9, c, 40)), F.array(box(t * 2, 7, c + 5, 44), box(1, 2, 3, c))
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{THOUGHTS} as c")
+    return rows.select("conv_id", "turn", F.md5(text.rewritten_in_thoughts(F.col("c"), old, new).cast("binary")).alias("said"))
+
+
+BOARD = "left(md5(o_orderkey || ''), 16)"
+
+
+@query(f"""with recursive b as (select o_orderkey, list_transform(range(16), lambda i: case when i = 0 then 'S' when i = 15 then 'G' when substr({BOARD}, i::int + 1, 1) < '6' then 'H' else 'F' end) as cells from orders),
+ r as (select o_orderkey, cells, 0 as at from b union select o_orderkey, cells, n from (select o_orderkey, cells, unnest([case when at % 4 > 0 then at - 1 end, case when at % 4 < 3 then at + 1 end, at - 4, at + 4]) as n from r) where n between 0 and 15 and cells[n + 1] <> 'H')
+ select o_orderkey, bool_or(at = 15) as way from r group by 1""")
+def m23_grid_validity(spark, d) -> DataFrame:
+    """Boards of four by four, from the digits of a hash."""
+    cell = lambda i: "S" if i == 0 else "G" if i == 15 else None
+    cells = [F.lit(cell(i)) if cell(i) else F.when(F.substring("h", i + 1, 1) < "6", "H").otherwise("F") for i in range(16)]
+    rows = table(spark, d, "orders").select("o_orderkey", F.left(F.md5(F.col("o_orderkey").cast("string").cast("binary")), F.lit(16)).alias("h"))
+    return rows.select("o_orderkey", arrays.reachable(F.array(*(F.concat(*cells[i : i + 4]) for i in range(0, 16, 4))), 4).alias("way"))
+
+
+LOGITS = "list_transform(embedding, lambda x: x::double * 8)"
+MASS = "list_transform(o, lambda x: exp(x - o[1]))"
+
+
+@query(f"""with e as (select vec_id, {LOGITS} as l from embeddings), s as (select *, list_reverse_sort(l) as o from e), m as (select *, {MASS} as w, list_sum({MASS}) as z from s),
+ c as (select *, list_transform(range(1, len(o) + 1), lambda i: coalesce(list_sum(w[1:i - 1]), 0) / z < 0.7) as inside from m)
+ select vec_id, round(o[1] + ln(z) - list_sum(list_transform(o, lambda x: exp(x - o[1]) * x)) / z, 6) as entropy, len(list_filter(l, lambda x: x >= o[5])) as in_top_k, len(list_filter(l, lambda x: x >= o[len(list_filter(inside, lambda b: b))])) as in_top_p from c""")
+def g24_o11_entropy_and_filters(spark, d) -> DataFrame:
+    """Embeddings as logits: entropy, and how many stay with the five largest and with a share of 0.7."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 8).alias("l"))
+    left = lambda x: F.size(F.filter(x, lambda v: v > float("-inf"))).cast("long")
+    return rows.select("vec_id", F.round(arrays.entropy(F.col("l")), 6).alias("entropy"), left(arrays.top_k(F.col("l"), 5)).alias("in_top_k"), left(arrays.top_p(F.col("l"), 0.7)).alias("in_top_p"))
