@@ -75,34 +75,38 @@ def argument_fault(c: Column, schema: dict) -> Column:
     return F.when(~F.coalesce(F.schema_of_variant(value).rlike("^(OBJECT|STRUCT)"), F.lit(False)), NOT_AN_OBJECT).otherwise(F.coalesce(*missing, wrong, F.lit(FINE)))
 
 
-def _shares(logits: Column) -> Column:
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+def bound(value: Column, body) -> Column:
+    """body(value), where value is worked out once however often body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+
+
+def _powers(logits: Column, body) -> Column:
+    """body(powers of logits over the largest, that largest one), each worked out once."""
+    return bound(F.array_max(logits), lambda top: bound(F.transform(logits, lambda x: F.exp(x - top)), lambda powers: body(powers, top)))
 
 
 def entropy(logits: Column) -> Column:
     """Of the distribution that logits (doubles) give: log of the sum of powers less the mean logit; null without any."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    mean = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top) * x) / total
-    return F.when(F.size(logits) > 0, top + F.log(total) - mean)
+    weighted = lambda powers: _total(F.zip_with(powers, logits, lambda p, x: p * x))
+    return F.when(F.size(logits) > 0, _powers(logits, lambda powers, top: bound(_total(powers), lambda z: top + F.log(z) - weighted(powers) / z)))
 
 
 def top_k(logits: Column, k: int) -> Column:
     """logits below the k-th largest are minus infinity; ties with it stay."""
     least = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
-    return F.transform(logits, lambda x: F.when(x < least, F.lit(float("-inf"))).otherwise(x))
+    return bound(least, lambda m: F.transform(logits, lambda x: F.when(x < m, F.lit(float("-inf"))).otherwise(x)))
 
 
 def top_p(logits: Column, p: float) -> Column:
     """logits are minus infinity but for the largest ones that reach a share of p between them; ties with the smallest of them stay, and at least one does."""
-    order = F.sort_array(logits, asc=False)
-    both = F.arrays_zip(order.alias("x"), _shares(order).alias("share"))
     start = F.struct(F.lit(0.0).alias("mass"), F.lit(None).cast("double").alias("least"))
-    found = F.aggregate(both, start, lambda s, v: F.when(s["mass"] < p, F.struct((s["mass"] + v["share"]).alias("mass"), v["x"].alias("least"))).otherwise(s))
-    return F.transform(logits, lambda x: F.when(x < found["least"], F.lit(float("-inf"))).otherwise(x))
+    add = lambda s, v, z: F.when(s["mass"] < p, F.struct((s["mass"] + v["power"] / z).alias("mass"), v["x"].alias("least"))).otherwise(s)
+    least = lambda order: _powers(order, lambda powers, _: bound(_total(powers), lambda z: F.aggregate(F.arrays_zip(order.alias("x"), powers.alias("power")), start, lambda s, v: add(s, v, z))["least"]))
+    return bound(bound(F.sort_array(logits, asc=False), least), lambda m: F.transform(logits, lambda x: F.when(x < m, F.lit(float("-inf"))).otherwise(x)))
 
 
 def reachable(board: Column, size: int) -> Column:

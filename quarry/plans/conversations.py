@@ -132,8 +132,8 @@ BOARD = "left(md5(o_orderkey || ''), 16)"
 
 
 @query(f"""with recursive b as (select o_orderkey, list_transform(range(16), lambda i: case when i = 0 then 'S' when i = 15 then 'G' when substr({BOARD}, i::int + 1, 1) < '6' then 'H' else 'F' end) as cells from orders),
- r as (select o_orderkey, cells, 0 as at from b union select o_orderkey, cells, n from (select o_orderkey, cells, unnest([case when at % 4 > 0 then at - 1 end, case when at % 4 < 3 then at + 1 end, at - 4, at + 4]) as n from r) where n between 0 and 15 and cells[n + 1] <> 'H')
- select o_orderkey, bool_or(at = 15) as way from r group by 1""")
+ r as (select o_orderkey, cells, 0 as place from b union select o_orderkey, cells, n from (select o_orderkey, cells, unnest([case when place % 4 > 0 then place - 1 end, case when place % 4 < 3 then place + 1 end, place - 4, place + 4]) as n from r) where n between 0 and 15 and cells[n + 1] <> 'H')
+ select o_orderkey, bool_or(place = 15) as way from r group by 1""")
 def m23_grid_validity(spark, d) -> DataFrame:
     """Boards of four by four, from the digits of a hash."""
     cell = lambda i: "S" if i == 0 else "G" if i == 15 else None
