@@ -141,7 +141,7 @@ def joined_components(known: DataFrame | None, links: DataFrame, what: str) -> t
     return written(all_.join(merged.select(F.col("id").alias("old"), "component"), "old", "left").select("id", F.coalesce("component", "old").alias("component")), what)
 
 
-def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256, turns: int = 1, spent: tuple[str, ...] = (), careful: int = 0) -> DataFrame:
+def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256, turns: int = 1, spent: tuple[str, ...] = (), careful: int = 0, home=None) -> DataFrame:
     """(id, component) under the links that are accepted among ids sharing a bucket, without emitting all pairs.
 
     members: (bucket, id), ids may be in many buckets; they are dealt out in `turns`
@@ -163,7 +163,9 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
     need no test. If more are left, a share of the centres chosen by hash is taken,
     the smallest of each bucket with it. A bucket with many comparisons is dealt over many tasks. It
     ends when every pair in a bucket is tested or within one component: no link
-    that a bucket could show is lost.
+    that a bucket could show is lost. home: gets the marks of two ids and returns one
+    of the buckets that they share, so that later rounds compare them there only:
+    members of different components are compared in each bucket that has both.
     """
     spark, tables, old = members.sparkSession, [], []
     for turn in range(turns):
@@ -219,7 +221,10 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
         others = open_.select("bucket", "id", "component").join(mark, "id").join(work, "bucket").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
         # a fixed number of partitions: few bytes stand for much work here, and would be put together in one task
         dealt, others = (x.repartition(wide(spark, 32), "bucket", "deal") for x in (dealt.drop("deals"), others))
-        pairs = dealt.hint("merge").join(others, ["bucket", "deal"]).where((F.col("own") != F.col("component")) & close(F.col("own_mark"), F.col("mark"))).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
+        apart = F.col("own") != F.col("component")
+        if home is not None:
+            apart = apart & (home(F.col("own_mark"), F.col("mark")) == F.col("bucket"))
+        pairs = dealt.hint("merge").join(others, ["bucket", "deal"]).where(apart & close(F.col("own_mark"), F.col("mark"))).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         newer, new_path_ = joined_components(comp, confirmed(pairs), what)
         drop_path(spark, comp_path)
         comp, comp_path = newer, new_path_

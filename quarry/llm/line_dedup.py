@@ -81,13 +81,23 @@ def sketches(lines: DataFrame) -> DataFrame:
     return counted.select("key", "n", sketch(0).alias("k0"), sketch(1).alias("k1"), by_words.alias("by_words"), F.when(by_words, coded(F.col("line"))).otherwise(F.col("line")).alias("shape"))
 
 
+def fewest(mark, kind: int) -> Column:
+    """The hashes of a line of which any two make a block."""
+    short, longer = AMONG[kind]
+    return F.slice(mark[f"k{kind}"], 1, F.when(mark["n"] <= 64, short).otherwise(longer))
+
+
+def home(a: Column, b: Column) -> Column:
+    """Of the blocks that two lines share, that of the smallest hashes of the first kind."""
+    first = lambda kind, else_: bound(F.array_intersect(fewest(a, kind), fewest(b, kind)), lambda s: F.when(F.size(s) > 1, F.xxhash64(F.lit(kind), F.get(s, F.lit(1)), F.get(s, F.lit(0)))).otherwise(else_))
+    return first(0, first(1, F.lit(None).cast("long")))
+
+
 def blocks(found: DataFrame) -> DataFrame:
     """(bucket, id): each line in its blocks."""
 
     def pairs(kind: int) -> Column:
-        short, longer = AMONG[kind]
-        few = F.slice(f"k{kind}", 1, F.when(F.col("n") <= 64, short).otherwise(longer))
-        twos = bound(few, lambda s: F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, 1, i), lambda y: F.xxhash64(F.lit(kind), x, y)))))
+        twos = bound(fewest(found, kind), lambda s: F.flatten(F.transform(s, lambda x, i: F.transform(F.slice(s, 1, i), lambda y: F.xxhash64(F.lit(kind), x, y)))))
         return F.coalesce(twos, F.array().cast("array<long>"))
 
     return found.select(F.explode(F.concat(*(pairs(k) for k in AMONG))).alias("bucket"), F.col("key").alias("id"))
@@ -163,7 +173,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return confirm
 
     members, members_path = written(blocks(found), "line-blocks")
-    groups = star_components(members, marks, close, prepare, "lines", turns=TURNS, spent=(found_path, members_path), careful=2)
+    groups = star_components(members, marks, close, prepare, "lines", turns=TURNS, spent=(found_path, members_path), careful=2, home=home)
     grouped = per.join(groups.withColumnRenamed("id", "key"), "key", "left").where("component is not null or n > 1").select("key", "occ", F.coalesce("component", "key").alias("component"))
     heads = grouped.groupBy("component").agg(F.min("occ").alias("head"))
     judged, judged_path = written(grouped.join(heads, "component").select("key", "head"), "line-heads")
