@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.functions.arrays import bound
 
 #: White space that is cut off at the ends of texts.
 WHITE = " \t\n\r\x0b\x0c"
@@ -102,15 +103,23 @@ def exact_match(pred: Column, answers: Column) -> Column:
     return F.array_contains(F.transform(answers, lambda a: F.lower(stripped(a))), F.lower(stripped(pred)))
 
 
-def main_score(pred: Column, answers: Column) -> Column:
-    """score, format_reward and num_focused_regions of a recorded reply, by exact match; zeros if its messages don't come in pairs."""
+def main_score(pred: Column, answers: Column, options: Column | None = None) -> Column:
+    """score, acc_reward, format_reward and num_focused_regions of a recorded reply; zeros if its messages don't come in pairs.
+
+    A question with options is right if the letters of the answer and of the first of
+    answers agree, any other by exact match.
+    """
     messages = F.split(pred, r"<\|im_end\|>", -1)
     paired = (F.size(messages) % 2 == 0) & (F.element_at(messages, -1) == "")
     answer, regions = F.coalesce(last_answer(after_thought(pred)), F.lit("")), focused_regions(pred)
-    right = (F.length(answer) > 0) & (F.length(answer) <= 200) & (regions <= 15) & exact_match(answer, answers)
+    same = exact_match(answer, answers)
+    if options is not None:
+        letters = F.coalesce(choice(answer, options) == choice(F.get(answers, F.lit(0)), options), F.lit(False))
+        same = F.when(F.size(options) > 0, letters).otherwise(same)
+    right = (F.length(answer) > 0) & (F.length(answer) <= 200) & (regions <= 15) & same
     fails = history_fails(messages) | (F.length(answer) == 0) | (F.length(answer) > 200)
     one = lambda c: F.when(paired & c, 1.0).otherwise(0.0)
-    return F.struct(one(right).alias("score"), one(~fails).alias("format_reward"), F.when(paired, regions).otherwise(F.lit(0).cast("long")).alias("num_focused_regions"))
+    return F.struct(one(right).alias("score"), one(right).alias("acc_reward"), one(~fails).alias("format_reward"), F.when(paired, regions).otherwise(F.lit(0).cast("long")).alias("num_focused_regions"))
 
 
 def normalised(c: Column) -> Column:
@@ -120,11 +129,16 @@ def normalised(c: Column) -> Column:
 
 
 def token_f1(pred: Column, truth: Column) -> Column:
-    """Harmonic mean of precision and recall of normalised words, repeats counted; 0 when none is shared."""
-    p, t = (F.filter(F.split(normalised(x), " "), lambda w: w != "") for x in (pred, truth))
-    many = lambda a, w: F.size(F.filter(a, lambda x: x == w))
-    same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(many(p, w), many(t, w)))
-    return F.when(same == 0, 0.0).otherwise(2.0 * same / (F.size(p) + F.size(t)))
+    """Harmonic mean of precision and recall of normalised words, repeats counted; 0 when none is shared. True and False are yes and no, and a yes, no or noanswer is right as a whole or not at all."""
+
+    def score(x: Column) -> Column:
+        p, t = (F.filter(F.split(x[c], " "), lambda w: w != "") for c in ("p", "t"))
+        many = lambda a, w: F.size(F.filter(a, lambda v: v == w))
+        same = F.aggregate(F.array_distinct(p), F.lit(0), lambda n, w: n + F.least(many(p, w), many(t, w)))
+        whole = (x["p"].isin("yes", "no", "noanswer") | x["t"].isin("yes", "no", "noanswer")) & (x["p"] != x["t"])
+        return F.when(whole, 0.0).otherwise(bound(same, lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(p) + F.size(t)))))
+
+    return bound(F.struct(normalised(yes_no(pred)).alias("p"), normalised(yes_no(truth)).alias("t")), score)
 
 
 def gsm8k_strict(c: Column) -> Column:
@@ -149,21 +163,20 @@ def yes_no(c: Column) -> Column:
 def last_boxed(c: Column) -> Column:
     r"""The last \boxed or, without one, \fbox with its balanced braces; null if they don't close. '\boxed ' goes on to the next $."""
     from_last = lambda mark: F.when(F.contains(c, F.lit(mark)), F.concat(F.lit(mark), F.element_at(F.split(c, "\\Q" + mark + "\\E", -1), -1)))
-    tail = F.coalesce(from_last("\\boxed"), from_last("\\fbox"))
     first = F.struct(F.lit(0).alias("open"), F.lit(0).alias("i"), F.lit(0).alias("end"))
 
     def step(a: Column, x: Column) -> Column:
         now = a["open"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
         return F.struct(now.alias("open"), (a["i"] + 1).alias("i"), F.when((a["end"] == 0) & (x == "}") & (now == 0), a["i"] + 1).otherwise(a["end"]).alias("end"))
 
-    end = F.aggregate(F.split(tail, ""), first, step)["end"]
     spaced = F.concat(F.lit("\\boxed "), F.get(F.split(F.element_at(F.split(c, r"\\boxed ", -1), -1), r"\$", -1), F.lit(0)))
-    return F.when(F.contains(c, F.lit("\\boxed ")), spaced).when(end > 0, F.substring(tail, F.lit(1), end))
+    closed = bound(F.coalesce(from_last("\\boxed"), from_last("\\fbox")), lambda tail: bound(F.aggregate(F.split(tail, ""), first, step)["end"], lambda end: F.when(end > 0, F.substring(tail, F.lit(1), end))))
+    return F.when(F.contains(c, F.lit("\\boxed ")), spaced).otherwise(closed)
 
 
 def unboxed(c: Column) -> Column:
     """What a box of last_boxed holds."""
-    return F.when(c.startswith("\\boxed "), F.substr(c, F.lit(8))).when(c.startswith("\\boxed{") & c.endswith("}"), F.substring(c, F.lit(8), F.length(c) - 8))
+    return bound(c, lambda b: F.when(b.startswith("\\boxed "), F.substr(b, F.lit(8))).when(b.startswith("\\boxed{") & b.endswith("}"), F.substring(b, F.lit(8), F.length(b) - 8)))
 
 
 #: Replaced in this order.
@@ -177,15 +190,39 @@ def math_plain(c: Column) -> Column:
     c = F.get(F.split(c, r"\\text\{ ", -1), F.lit(0))
     for old, new in (("\\%", ""), (" .", " 0."), ("{.", "{0.")):
         c = F.replace(c, F.lit(old), F.lit(new))
-    c = F.when(c.startswith("."), F.concat(F.lit("0"), c)).otherwise(c)
-    sides = F.split(c, "=", -1)
-    c = F.when((F.size(sides) == 2) & (F.length(F.get(sides, F.lit(0))) <= 2), F.get(sides, F.lit(1))).otherwise(c)
+    c = bound(c, lambda x: F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x))
+    side = lambda v: F.when((F.size(v["s"]) == 2) & (F.length(F.get(v["s"], F.lit(0))) <= 2), F.get(v["s"], F.lit(1))).otherwise(v["x"])
+    c = bound(c, lambda x: bound(F.struct(x.alias("x"), F.split(x, "=", -1).alias("s")), side))
     c = F.replace(F.regexp_replace(c, r"\\sqrt([^{])", r"\\sqrt{$1}"), F.lit(" "), F.lit(""))
     c = F.regexp_replace(F.regexp_replace(c, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    c = F.when(c == "0.5", F.lit("\\frac{1}{2}")).otherwise(c)
+    c = bound(c, lambda x: F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x))
     return F.regexp_replace(c, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
 
 
+#: What a final answer loses, in this order: replacements, then removals.
+FINAL_CUTS = (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"))
+FINAL_REMOVED = ("square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots")
+#: Patterns and what takes their place, in this order.
+FINAL_FORMS = ((r"(.*?)(\$)(.*?)(\$)(.*)", "\\$", 3, "\\$"), (r"(\\text\{)(.*?)(\})", "", 2, ""), (r"(\\textbf\{)(.*?)(\})", "", 2, ""), (r"(\\overline\{)(.*?)(\})", "", 2, ""), (r"(\\boxed\{)(.*)(\})", "", 2, ""))
+
+
+def final_answer(c: Column) -> Column:
+    """A quantitative answer in one form: what follows the last =, without units and spaces, fractions and roots with braces, whole numbers without commas."""
+    c = F.element_at(F.split(c, "=", -1), -1)
+    for old, new in (*FINAL_CUTS, *((x, "") for x in FINAL_REMOVED)):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    for pattern, left, group, right in FINAL_FORMS:
+        c = F.regexp_replace(c, "(?d)" + pattern, f"{left}${group}{right}")
+    c = F.regexp_replace(F.regexp_replace(c, r"(?d)(frac)([^{])(.)", r"frac{$2}{$3}"), r"(sqrt)([^{])", r"sqrt{$2}")
+    c = F.replace(c, F.lit("$"), F.lit(""))
+    return stripped(bound(c, lambda x: F.when(x.rlike(r"^[\p{Nd},]*\p{Nd}[\p{Nd},]*$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x)))
+
+
+def final_score(reply: Column, truth: Column) -> Column:
+    """score (1 or -1), acc and pred: the last 'Answer: ...' line of the reply's last 300 characters, in one form, against the truth in the same form."""
+    return bound(final_answer(named_answer(reply)), lambda pred: bound(pred == final_answer(truth), lambda ok: F.struct(F.when(ok, 1.0).otherwise(-1.0).alias("score"), ok.alias("acc"), pred.alias("pred"))))
+
+
 def math_score(reply: Column, truth: Column) -> Column:
     return F.when(math_plain(unboxed(last_boxed(reply))) == math_plain(truth), 1.0).otherwise(0.0)
 
@@ -200,11 +237,57 @@ def named_answer(reply: Column) -> Column:
     return F.coalesce(F.try_element_at(F.regexp_extract_all(F.right(reply, F.lit(300)), F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1)), F.lit(-1)), F.lit("[INVALID]"))
 
 
-def same_number(a: Column, b: Column, tolerance: float = 1e-4) -> Column:
-    """Equal as texts, or as numbers within a tolerance, a percentage counting as its hundredth or as it stands."""
-    x, y = (F.try_to_number(F.translate(v, ",%$ ", ""), F.lit("S999999999.999999")).cast("double") for v in (a, b))
-    near = lambda p, q: F.abs(p - q) <= tolerance * F.greatest(F.abs(q), F.lit(1.0))
-    return F.coalesce((stripped(a) == stripped(b)) | near(x, y) | near(x / 100, y) | near(x, y / 100), F.lit(False))
+def plain_number(c: Column) -> Column:
+    """A number written with commas or not, as a double; null for anything else."""
+    t = stripped(F.when(F.contains(c, F.lit("{,}")), F.replace(c, F.lit("{,}"), F.lit(""))).otherwise(F.replace(c, F.lit(","), F.lit(""))))
+    return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.cast("double"))
+
+
+def _without_unit(c: Column) -> Column:
+    """c without a leading $ or a closing percent sign, a number of another base without its base."""
+    number = F.try_element_at(F.split(c, "_", -1), F.lit(1))
+    return F.when(c.rlike(r"^\$[0-9]+(\.[0-9]+)?"), F.substr(c, F.lit(2))).when(c.rlike(r"^[0-9]+(\.[0-9]+)?\\?%$"), F.translate(c, "\\%", "")).when(F.contains(c, F.lit("_")) & plain_number(number).isNotNull(), plain_number(number).cast("long").cast("string")).otherwise(c)
+
+
+def same_number(a: Column, b: Column, tolerance: float = 1e-4, percentage: bool = True) -> Column:
+    """Equal as texts, or as numbers within a share of the larger; b may also be given in hundredths or hundredfold."""
+
+    def same(v: Column) -> Column:
+        p, q = plain_number(v["x"]), plain_number(v["y"])
+        near = lambda q: F.abs(p - q) <= tolerance * F.greatest(F.abs(p), F.abs(q))
+        close = near(q) | near(q / 100) | near(q * 100) if percentage else near(q)
+        spaceless = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+        return (F.lower(stripped(v["x"])) == F.lower(stripped(v["y"]))) | (spaceless(v["x"]) == spaceless(v["y"])) | F.coalesce(close, F.lit(False))
+
+    return F.coalesce(bound(F.struct(_without_unit(a).alias("x"), _without_unit(b).alias("y")), same), F.lit(False))
+
+
+#: Names of intervals with their brackets.
+INTERVALS = {r"^Interval\((.*)\)$": "[$1]", r"^Interval\.Ropen\((.*)\)$": "[$1)", r"^Interval\.Lopen\((.*)\)$": "($1]", r"^Interval\.open\((.*)\)$": "($1)"}
+
+
+def math_equal(a: Column, b: Column, tolerance: float = 1e-4, percentage: bool = True) -> Column:
+    """Whether an answer is a truth: as a text or number (same_number), without brackets, or part by part of an interval, tuple or list. Expressions aren't worked out."""
+    one = lambda x, y: same_number(x, y, tolerance, percentage)
+    r = stripped(_without_unit(a))
+    for pattern, form in INTERVALS.items():
+        r = F.regexp_replace(r, pattern, form)
+
+    def judged(v: Column) -> Column:
+        r, s = v["r"], v["s"]
+        opens = lambda c: F.left(c, F.lit(1))
+        closes = lambda c: F.right(c, F.lit(1))
+        both = ((opens(r) == "[") & (closes(r) == "]") & (opens(s) != "(")) | ((opens(r) == "(") & (closes(r) == ")") & (opens(s) != "["))
+        bare = lambda c: F.translate(F.when(both, F.btrim(c, F.lit("[]()"))).otherwise(c), "{}()", "")
+        parts = lambda c: F.split(c, ",", -1)
+        inner = lambda c: F.substr(c, F.lit(2), F.length(c) - 2)
+        every = lambda x, y: (F.size(x) == F.size(y)) & F.forall(F.zip_with(x, y, lambda p, q: F.coalesce(one(p, q), F.lit(False))), lambda ok: ok)
+        framed = opens(r).isin("(", "[") & closes(r).isin(")", "]") & (opens(r) == opens(s)) & (closes(r) == closes(s)) & (F.length(r) > 1) & (F.length(s) > 1)
+        listed = F.contains(r, F.lit(",")) & F.contains(s, F.lit(","))
+        return (bare(r) == bare(s)) | (framed & every(parts(inner(r)), parts(inner(s)))) | (listed & every(F.transform(parts(r), stripped), F.transform(parts(s), stripped)))
+
+    numbers = plain_number(_without_unit(a)).isNotNull() & plain_number(_without_unit(b)).isNotNull()
+    return F.coalesce(F.when(one(a, b), F.lit(True)).when(numbers | (_without_unit(a) == ""), F.lit(False)).otherwise(bound(F.struct(r.alias("r"), stripped(_without_unit(b)).alias("s")), judged)), F.lit(False))
 
 
 def geometry_format(c: Column) -> Column:
@@ -226,6 +309,11 @@ def retrieval_answer(p: Column) -> Column:
     return stripped(F.get(F.split(F.element_at(F.split(p, "<answer>", -1), -1), "</answer>", -1), F.lit(0)))
 
 
+def retrieval_score(c: Column, truth: Column) -> Column:
+    """Twice the answer's F1, one more with documents in the reply and one less without, one less for a format error."""
+    return F.when(retrieval_fails(c), -1.0).otherwise(0.0) + F.when(F.contains(c, F.lit("<|begin_of_documents|>\n(1)")), 1.0).otherwise(-1.0) + 2.0 * token_f1(retrieval_answer(c), truth)
+
+
 def verdict(c: Column) -> Column:
     """1 if a judge's text after 'Judgement:' has a 1, else 0."""
     return F.when(F.contains(F.substring_index(c, "Judgement:", -1), F.lit("1")) & F.contains(c, F.lit("Judgement:")), 1).otherwise(0)

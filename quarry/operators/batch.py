@@ -30,6 +30,20 @@ def with_row_id(df: DataFrame, *key: str) -> DataFrame:
     return parts.join(F.broadcast(offsets), "__p").withColumn("row_id", F.col("__base") + F.col("__r")).drop("__p", "__r", "__base")
 
 
+def running_sum(df: DataFrame, value: Column, name: str, *key: str) -> DataFrame:
+    """df with name: the sum of value up to and with a row, in the order of key. Range-sorted rows are settled, summed within their partitions, and shifted by what the partitions before hold: no task sees all rows."""
+    spark = df.sparkSession
+    parts = settled(df.withColumn("__v", value).repartitionByRange(*key).sortWithinPartitions(*key)).withColumn("__p", F.spark_partition_id())
+    totals = sorted((r["__p"], r["s"]) for r in parts.groupBy("__p").agg(F.sum("__v").alias("s")).collect())
+    base, before = [], 0.0
+    for p, s in totals:
+        base.append((p, float(before)))
+        before += s or 0
+    offsets = spark.createDataFrame(base, "__p int, __base double")
+    within = F.sum("__v").over(Window.partitionBy("__p").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return parts.withColumn("__s", within).join(F.broadcast(offsets), "__p").withColumn(name, F.col("__base") + F.col("__s")).drop("__p", "__v", "__s", "__base")
+
+
 def take(df: DataFrame, start: int | None = None, stop: int | None = None, step: int = 1, n: int | None = None) -> DataFrame:
     """Rows start:stop:step as Python slices them, renumbered in that order."""
     n = df.count() if n is None else n
@@ -155,9 +169,8 @@ def seeded(key: Column, seed: int) -> Column:
 
 
 def batches_until(df: DataFrame, step: str, group: str, enough: int) -> DataFrame:
-    """Rows of the steps, in order, until `enough` different groups are there; what a step brings is counted before groups are joined, so windows run over steps only."""
+    """Rows of the steps, in order, until `enough` different groups are there. What a step brings is counted before groups are joined; the step at which there are enough is one number, found in running sums over the steps."""
     first = df.groupBy(group).agg(F.min(step).alias(step))
     per = first.groupBy(step).agg(F.count("*").alias("n"))
-    steps = df.select(step).distinct().join(per, step, "left").select(step, F.coalesce("n", F.lit(0)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(F.broadcast(steps.withColumn("__before", before).where(F.col("__before") < enough).select(step)), step, "left_semi")
+    last = running_sum(per, F.col("n"), "upto", step).where(F.col("upto") >= enough).agg(F.min(step)).first()[0]
+    return df if last is None else df.where(F.col(step) <= F.lit(last))

@@ -70,3 +70,42 @@ def kl_penalty(kind: str, logp: Column, ref: Column) -> Column:
     if kind == "low_var_kl":
         return F.greatest(F.least(F.exp(-d) + d - 1, F.lit(10.0)), F.lit(-10.0))
     return {"kl": d, "abs": F.abs(d), "mse": 0.5 * d * d}[kind]
+
+
+#: Ratios are kept in ten-thousandths: rounding to four decimals at each step changes nothing then.
+UNIT = 10_000
+FAR = 2**60
+
+
+def in_units(value: float) -> int:
+    units = round(value * UNIT)
+    if abs(units - value * UNIT) > 1e-6:
+        raise ValueError(f"{value} has more than four decimals")
+    return units
+
+
+def ratio_curriculum(df: DataFrame, run: str = "run", step: str = "step", passed: str = "pass_rate", start: float = 0.2, least: float = 0.2, most: float = 0.2, alpha: float = 0.02) -> DataFrame:
+    """(run, step, ratio) after each step: down by alpha after a pass rate over a half, else up, and within least and most.
+
+    A null pass rate counts as none passed. A step's move and clamp is a function of the
+    ratio, x to min(max(x + a, l), u), and so are several one after the other: blocks of
+    BLOCK steps are composed for themselves, then a run's blocks in order (a row holds a
+    number a block), then each block is unrolled from its own start.
+    """
+    first, low, high, move = (in_units(v) for v in (start, least, most, alpha))
+    clamp = lambda c: F.greatest(F.lit(low), F.least(F.lit(high), c))
+    number = lambda v: F.lit(v).cast("long")
+    moved = F.when(F.coalesce(F.col(passed), F.lit(0.0)) > 0.5, number(-move)).otherwise(number(move))
+    each = df.select(F.col(run), F.col(step), F.floor(F.col(step) / BLOCK).alias("__block"), moved.alias("__move"))
+    blocks = each.groupBy(run, "__block").agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("step"), F.col("__move").alias("move")))).alias("__steps"))
+    same = F.struct(number(0).alias("a"), number(-FAR).alias("l"), number(FAR).alias("u"))
+    then = lambda s, a, l, u: F.struct((s["a"] + a).alias("a"), F.greatest(l, F.least(u, s["l"] + a)).alias("l"), F.greatest(l, F.least(u, s["u"] + a)).alias("u"))  # noqa: E731, E741
+    composed = blocks.withColumn("__f", F.aggregate("__steps", same, lambda s, x: then(s, x["move"], number(low), number(high))))
+    ordered = composed.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("__block", "__f"))).alias("__fs"))
+    seed = F.struct(number(first).alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    applied = lambda x, f: F.least(f["u"], F.greatest(f["l"], x + f["a"]))
+    starts = ordered.select(run, F.explode(F.arrays_zip(F.col("__fs.__block").alias("__block"), F.aggregate("__fs", seed, lambda s, x: F.struct(applied(s["at"], x["__f"]).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"].alias("__start"))).alias("__at"))
+    begun = composed.join(starts.select(run, "__at.__block", "__at.__start"), [run, "__block"])
+    unrolled = F.aggregate("__steps", F.struct(F.col("__start").alias("at"), F.array().cast("array<bigint>").alias("all")), lambda s, x: F.struct(clamp(s["at"] + x["move"]).alias("at"), F.concat(s["all"], F.array(clamp(s["at"] + x["move"]))).alias("all")))["all"]
+    rows = begun.select(run, F.explode(F.arrays_zip(F.col("__steps.step").alias("step"), unrolled.alias("units"))).alias("__x"))
+    return rows.select(run, F.col("__x.step").alias(step), (F.col("__x.units") / F.lit(float(UNIT))).alias("ratio"))

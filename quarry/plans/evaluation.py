@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import geometry
-from quarry.operators import groups, scans
+from quarry.operators import batch, groups, scans
 from quarry.plans.catalog import query, r6
 from quarry.tables import SCORES_SQL, TOKENS_SQL, scores, table, tokens
 
@@ -138,12 +138,12 @@ def g18_g19_penalised_rewards(spark, d) -> DataFrame:
     return k.agg(r6(F.avg("m")).alias("kl"), r6(F.avg("s")).alias("score"), r6(F.avg("p")).alias("plain"))
 
 
-@query("with recursive e as (select row_number() over (order by event_id) as i, value from events), s as (select 0::bigint as i, 0.2::double as beta union all select e.i, round(s.beta * (1 + greatest(least(e.value / 50 - 1, 0.2), -0.2) * 8 / 1000), 12) from s join e on e.i = s.i + 1 where e.i <= 60) select i as step, round(beta, 6) as beta from s where i > 0")
+@query("select row_number() over (order by event_id) as step, round(ln(0.2) + sum(ln(1 + greatest(least(value / 50 - 1, 0.2), -0.2) * 8 / 1000)) over (order by event_id), 6) as log_beta from events")
 def g20_adaptive_coefficient(spark, d) -> DataFrame:
-    """The coefficient after each of the first 60 steps: each multiplies it, so products are running sums of logarithms."""
-    e = table(spark, d, "events").orderBy("event_id").limit(60).withColumn("step", F.row_number().over(Window.orderBy("event_id")).cast("long"))
+    """The coefficient after each step, as its logarithm: each step multiplies it, so products are running sums of logarithms."""
     factor = 1 + F.greatest(F.least(F.col("value") / 50 - 1, F.lit(0.2)), F.lit(-0.2)) * 8 / 1000
-    return e.select("step", r6(0.2 * F.exp(F.sum(F.log(factor)).over(Window.orderBy("step")))).alias("beta"))
+    e = batch.with_row_id(table(spark, d, "events").select("event_id", "value"), "event_id")
+    return batch.running_sum(e, F.log(factor), "upto", "row_id").select((F.col("row_id") + 1).alias("step"), r6(F.log(F.lit(0.2)) + F.col("upto")).alias("log_beta"))
 
 
 POLICY = "(select *, exp(value / 10 - kl) as ratio, reward - 25 as adv from tokens)"
@@ -189,6 +189,11 @@ def o10_retrieval(spark, d) -> DataFrame:
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     c = dot(F.col("v"), F.col("embedding")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("embedding"), F.col("embedding")))
-    s = e.join(F.broadcast(q), F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(c, 9).alias("c"))
-    best = s.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "vec_id"))), 1, 3).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("i", "x")).select("query_id", "x.vec_id", (F.col("i") + 1).cast("long").alias("place"))
+    # blocks of about 1000 queries meet slices of the rows; of each task's rows three a query are left before they are sorted
+    blocks, slices = max(1, -(-q.count() // 1000)), 16
+    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    asked = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), spread("slice", slices))
+    rows = e.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), spread("block", blocks))
+    s = rows.join(asked, ["block", "slice"]).where("query_id <> vec_id").select("query_id", "vec_id", F.round(c, 9).alias("c"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
+    return s.withColumn("place", place.cast("long")).where("place <= 3").select("query_id", "vec_id", "place")

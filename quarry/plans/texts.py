@@ -82,7 +82,7 @@ def t8_history_fails(spark, d) -> DataFrame:
 @query(f"with {REPLY}, a as (select *, {strip('text')} as answer, turn % 5 <> 4 as paired, {many('c', START)} as s, {many('c', text.REGION_END)} as e from p), b as (select *, case when s = e then s else 0 end as regions, lower(answer) = lower({strip('case when conv_id % 3 = 0 then text else ' + chr(39) + 'other' + chr(39) + ' end')}) as same, not {valid('m1')} or not {valid(chr(39) + '<think>u</think><answer>' + chr(39) + ' || text || ' + chr(39) + '</answer>' + chr(39))} as bad from a) select conv_id, turn, case when paired and length(answer) between 1 and 200 and regions <= 15 and same then 1.0 else 0.0 end as score, case when paired and not bad and length(answer) between 1 and 200 then 1.0 else 0.0 end as format_reward, case when paired then regions else 0 end as num_focused_regions from b")
 def t12_main_score(spark, d) -> DataFrame:
     truth = F.array(F.when(F.col("conv_id") % 3 == 0, F.col("text")).otherwise("other"))
-    return replies(spark, d).select("conv_id", "turn", text.main_score(F.col("c"), truth).alias("s")).select("conv_id", "turn", "s.*")
+    return replies(spark, d).select("conv_id", "turn", text.main_score(F.col("c"), truth).alias("s")).select("conv_id", "turn", "s.score", "s.format_reward", "s.num_focused_regions")
 
 
 PICKS = ("b", "The answer is: (C)", "answer is A, no: answer is (D)", "Choice is B", "so option is c", "B. foo", "(C) bar", "D) x", '"A": y', "foo (B).", "opt2", "nothing of that kind", "")
@@ -220,3 +220,78 @@ def n6_n9_n12_n15_arrays(spark, d) -> DataFrame:
     mask = F.array(F.lit(0), F.lit(0), F.lit(0), F.lit(1))
     told = lambda c, name: F.array_join(c.cast("array<string>"), ",").alias(name)
     return table(spark, d, "orders").select("o_orderkey", told(arrays.padded(a, 4, z), "right_pad"), told(arrays.padded(a, 4, z, left=True), "left_pad"), told(arrays.unpadded(arrays.padded(a, 4, z, left=True), mask), "stripped"), told(arrays.fitted(a, 1, z, truncation="right"), "cut"), arrays.nested_sum(F.array(a, F.array(F.lit(2).cast("long")))).alias("total"), told(arrays.as_list(F.col("o_orderstatus")), "listed"))
+
+
+@query(f"with {PICKED}, q as (select *, p_partkey // 13 % 5 as k from p), t as (select *, case when k < 4 then (['B', 'C', 'opt4', 'D'])[k + 1] else p_partkey % 13 || '' end as truth, case when k < 4 then {letter(text.STARTS)}) end end as picked from q) select p_partkey, case when length(c) > 0 and k < 4 then coalesce(picked = case truth when 'opt4' then 'D' else truth end, false)::int::double else (length(c) > 0 and lower(c) = lower(truth))::int::double end as acc_reward, case when length(c) > 0 then 1.0 else 0.0 end as format_reward from t")
+def t12_score_with_options(spark, d) -> DataFrame:
+    """Replies with a letter for an answer, to questions with options and a fifth without."""
+    k, r = F.floor(F.col("p_partkey") / 13) % 5, (F.col("p_partkey") % 13).cast("int")
+    c = F.element_at(F.array(*map(F.lit, PICKS)), r + 1)
+    truth = F.when(k < 4, F.get(F.array(*map(F.lit, ("B", "C", "opt4", "D"))), k.cast("int"))).otherwise(r.cast("string"))
+    options = F.when(k < 4, F.array(*(F.lit(f"opt{i}") for i in range(1, 5)))).otherwise(F.array().cast("array<string>"))
+    reply = F.concat(F.lit("<think>t</think><answer>"), c, F.lit("</answer><|im_end|>"))
+    rows = table(spark, d, "part").select("p_partkey", text.main_score(reply, F.array(truth), options).alias("s"))
+    return rows.select("p_partkey", "s.acc_reward", "s.format_reward")
+
+
+TOLD = "case p_partkey % 7 when 0 then 'True' when 1 then 'no' when 2 then 'No, wait' when 3 then p_name when 4 then 'The ' || p_name || '! ' || p_name when 5 then 'noanswer' else p_type || ' an ' || p_brand end"
+TRUE = "case p_partkey % 5 when 0 then 'yes' when 1 then 'No.' when 2 then p_name || ' a_' || p_brand when 3 then 'False' else p_type end"
+
+
+def f1_sql(p: str, t: str) -> str:
+    """SQL of the F1 of two texts, as tables w (normalised) and f1 over a table with both."""
+    mapped = lambda c: f"case {c} when 'True' then 'yes' when 'False' then 'no' else {c} end"
+    clean = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower(replace({mapped(c)}, '_', ' ')), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"""w as (select *, {clean(p)} as pn, {clean(t)} as tn from src), l as (select *, list_filter(string_split(pn, ' '), lambda x: x <> '') as pl, list_filter(string_split(tn, ' '), lambda x: x <> '') as tl from w),
+ m as (select *, coalesce(list_sum(list_transform(list_distinct(pl), lambda x: least(len(list_filter(pl, lambda y: y = x)), len(list_filter(tl, lambda y: y = x))))), 0) as n from l),
+ f1 as (select *, case when (pn in ('yes', 'no', 'noanswer') or tn in ('yes', 'no', 'noanswer')) and pn <> tn then 0.0 when n = 0 then 0.0 else 2.0 * n / (len(pl) + len(tl)) end as f from m)"""
+
+
+@query(f"with src as (select p_partkey, {TOLD} as told, {TRUE} as truth from part), {f1_sql('told', 'truth')} select p_partkey, round(f, 6) as f1 from f1")
+def t18_f1_of_answers(spark, d) -> DataFrame:
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{TOLD} as told", f"{TRUE} as truth")
+    return rows.select("p_partkey", F.round(text.token_f1(F.col("told"), F.col("truth")), 6).alias("f1"))
+
+
+@query(f"with src as (select p_partkey, {TOLD} as told, {TRUE} as truth from part), {f1_sql('told', 'truth')} select p_partkey, round(2 * f + case when p_partkey % 3 = 0 then 1 else -1 end + case when p_partkey % 4 = 1 or len(list_filter(string_split_regex(trim(told), '\\s+'), lambda x: x <> '')) > 10 then -1 else 0 end, 6) as score from f1")
+def t19_retrieval_scores(spark, d) -> DataFrame:
+    """Twice the F1, one more with documents and one less without, one less for a format error (here a second answer)."""
+    rows = table(spark, d, "part").selectExpr("p_partkey", f"{TOLD} as told", f"{TRUE} as truth")
+    docs = F.when(F.col("p_partkey") % 3 == 0, "<|begin_of_query|>q<|end_of_query|><|begin_of_documents|>\n(1) x<|end_of_documents|>\n").otherwise("")
+    c = F.concat(F.lit("t</think>"), docs, F.when(F.col("p_partkey") % 4 == 1, "<answer>no</answer>").otherwise(""), F.lit("<answer> "), "told", F.lit(" </answer>"))
+    return rows.select("p_partkey", F.round(text.retrieval_score(c, F.col("truth")), 6).alias("score"))
+
+
+PAIRS = """case o_orderkey % 14 when 0 then o_custkey || 'e3' when 1 then o_custkey || ',000' when 2 then '$' || o_custkey when 3 then '[' || o_custkey || ', 2.0]' when 4 then '(' || o_custkey || ',2)' when 5 then 'Interval.open(1, ' || o_custkey || ')' when 6 then o_custkey || '_2' when 7 then 'x+' || o_custkey when 8 then '1234567' || o_custkey || '1' when 9 then '0' when 10 then o_custkey || '%' when 11 then o_orderstatus || ', ' || o_custkey when 12 then '' else '{' || o_custkey || '}' end"""
+TRUTHS = """case o_orderkey % 14 when 0 then o_custkey || '000' when 1 then (o_custkey * 1000 + o_orderkey % 2) || '.0' when 2 then (o_custkey + o_orderkey % 3) || '' when 3 then '[' || o_custkey || '.0,' || (1 + o_orderkey % 4) || ']' when 4 then '[' || o_custkey || ',2]' when 5 then '(1,' || o_custkey || '.00)' when 6 then o_custkey || '' when 7 then 'x + ' || o_custkey when 8 then '1234567' || o_custkey || (1 + o_orderkey % 5) || '.0' when 9 then '0.00005' when 10 then (o_custkey + o_orderkey % 2) / 100 || '' when 11 then lower(o_orderstatus) || ',' || o_custkey || '.0' when 12 then '0' else o_custkey || '' end"""
+
+
+@query(f"""with s as (select o_orderkey, o_orderkey % 14 as k, o_custkey as n, {TRUTHS} as truth from orders) select o_orderkey, case k when 0 then true when 1 then abs(n * 1000 - truth::double) <= 1e-4 * truth::double or false when 2 then n = truth::bigint or abs(n - truth::double) <= 1e-4 * truth::double or abs(n - truth::double * 100) <= 1e-4 * greatest(n, truth::double * 100) or abs(n - truth::double / 100) <= 1e-4 * n when 3 then o_orderkey % 4 = 1 when 4 then false
+ when 5 then true when 6 then true when 7 then true when 8 then abs(('1234567' || n || '1')::double - truth::double) <= 1e-4 * truth::double when 9 then false when 10 then abs(n - truth::double) <= 1e-4 * n or abs(n - truth::double * 100) <= 1e-4 * greatest(n, truth::double * 100) or abs(n - truth::double / 100) <= 1e-4 * n when 11 then true when 12 then false else true end as same from s""")
+def t32_math_equal(spark, d) -> DataFrame:
+    rows = table(spark, d, "orders").selectExpr("o_orderkey", f"{PAIRS} as told", f"{TRUTHS} as truth")
+    return rows.select("o_orderkey", text.math_equal(F.col("told"), F.col("truth")).alias("same"))
+
+
+FINAL = r"""case o_orderkey % 9 when 0 then 'x = ' || o_custkey || ',000 dollars' when 1 then '$\frac' || (o_custkey % 10) || '2$ and more' when 2 then '\boxed{\text{' || o_orderstatus || '}} degrees' when 3 then 'an ' || o_custkey || '\sqrt3' when 4 then '\textbf{' || o_orderpriority || '} km' when 5 then 'a ' || o_custkey || ' .$' when 6 then '1{,}' || o_custkey || '^\circ' when 7 then ',' || o_custkey || ',' else o_orderpriority end"""
+MEANT = r"""case o_orderkey % 9 when 0 then o_custkey || '000' when 1 then '\frac{' || (o_custkey % 10) || '}{' || (1 + o_orderkey % 2) || '}' when 2 then o_orderstatus when 3 then o_custkey || '\sqrt{3}' when 4 then o_orderpriority || '  ' when 5 then (o_custkey + o_orderkey % 2) || '' when 6 then '1' || o_custkey when 7 then o_custkey || ' meters' else lower(o_orderpriority) end"""
+REPLIED = f"o_orderpriority || {NL} || 'Answer: no' || {NL} || case when o_orderkey % 11 = 0 then 'none' else 'ANSWER :' || {FINAL} end"
+
+
+def final_sql(c: str) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", f"' || {NL} || '") + "'"
+    x = f"string_split({c}, '=')[-1]"
+    for old, new in (*text.FINAL_CUTS, *((x, "") for x in text.FINAL_REMOVED)):
+        x = f"replace({x}, {quoted(old)}, {quoted(new)})"
+    for pattern, left, group, right in text.FINAL_FORMS:
+        x = f"regexp_replace({x}, {quoted(pattern)}, '{left.replace(chr(92), '')}\\{group}{right.replace(chr(92), '')}', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(frac)([^{{])(.)', 'frac{{\\2}}{{\\3}}', 'g'), '(sqrt)([^{{])', 'sqrt{{\\2}}', 'g')"
+    x = f"replace({x}, '$', '')"
+    return f"(list_transform([{x}], lambda v: trim(case when regexp_matches(v, '^[0-9,]*[0-9][0-9,]*$') then replace(v, ',', '') else v end)))[1]"
+
+
+@query(f"with r as (select o_orderkey, right({REPLIED}, 300) as c, {MEANT} as truth from orders), p as (select *, coalesce(regexp_extract_all(c, '(?i)Answer\\s*:\\s*([^\\n]+)', 1)[-1], '[INVALID]') as a from r), n as (select o_orderkey, {final_sql('a')} as pred, {final_sql('truth')} as want from p) select o_orderkey, case when pred = want then 1.0 else -1.0 end as score, pred = want as acc, pred from n")
+def t26_t29_final_answers(spark, d) -> DataFrame:
+    twice = lambda e: e.replace("\\", "\\\\")
+    rows = table(spark, d, "orders").selectExpr("o_orderkey", f"{twice(REPLIED)} as c", f"{twice(MEANT)} as truth")
+    return rows.select("o_orderkey", text.final_score(F.col("c"), F.col("truth")).alias("s")).select("o_orderkey", "s.score", "s.acc", "s.pred")

@@ -67,6 +67,31 @@ def write_capped(df: DataFrame, path: str, file_bytes: int, row_bytes: int) -> N
     df.write.option("maxRecordsPerFile", max(1, file_bytes // max(1, row_bytes))).parquet(path)
 
 
+def sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the Parquet files of a folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return [(r["path"], r["length"]) for r in files.select("path", "length").collect()]
+
+
+def write_measured(df: DataFrame, path: str, file_bytes: int, rows: int, shrink: float = 0.7, tries: int = 40) -> list[str]:
+    """df as Parquet files of file_bytes at most, below path; returns the folders that hold it, which are read together.
+
+    Files are written with so many rows, then measured; the rows of those over the cap
+    are written again with `shrink` times as many rows a file, and so on, until none is
+    over it or a file has one row. Files within the cap are written once.
+    """
+    spark, kept, todo, where = df.sparkSession, [], df, 0
+    while True:
+        out = f"{path}/try={where}"
+        todo.write.option("maxRecordsPerFile", max(1, rows)).parquet(out)
+        over = [p for p, n in sizes(spark, out) if n > file_bytes]
+        if not over or rows <= 1 or where == tries:
+            return [*kept, out]
+        fine = [p for p, n in sizes(spark, out) if n <= file_bytes]
+        kept += fine
+        todo, rows, where = spark.read.schema(df.schema).parquet(*over), int(rows * shrink), where + 1
+
+
 def write_back(df: DataFrame, path: str, kind: str = "json") -> str:
     """df beside what it may have been read from: a new folder below path, which is returned; readers take the newest."""
     out = f"{path}/{uuid.uuid4().hex}"
