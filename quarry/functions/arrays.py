@@ -121,3 +121,14 @@ def reachable(board: Column, size: int) -> Column:
 
     reach = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.transform(cells, lambda c: c == "S"), step)
     return F.exists(F.arrays_zip(cells.alias("cell"), reach.alias("near")), lambda x: (x["cell"] == "G") & x["near"])
+
+
+def union_maps(a: Column, b: Column) -> Column:
+    """Both maps' entries; a key with different values fails."""
+    differ = F.exists(F.map_keys(a), lambda k: F.map_contains_key(b, k) & ~F.element_at(a, k).eqNullSafe(F.element_at(b, k)))
+    return F.when(differ, F.raise_error(F.lit("a key has two values")).cast("map<string,bigint>")).otherwise(F.map_concat(a, F.map_filter(b, lambda k, _: ~F.map_contains_key(a, k))))
+
+
+def merged_inputs(a: Column, b: Column) -> Column:
+    """Maps of arrays key by key, a's members before b's."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(F.concat(x, y)))

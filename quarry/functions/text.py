@@ -437,3 +437,33 @@ def rewritten_in_thoughts(c: Column, old: Column, new: Column) -> Column:
     outer = F.split(c, r"(?s)<think>.*?</think>", -1)
     done = F.transform(inner, lambda x: F.concat(F.lit("<think>"), F.aggregate(pairs, x, one), F.lit("</think>")))
     return F.array_join(F.flatten(F.transform(outer, lambda x, i: F.when(i < F.size(inner), F.array(x, F.get(done, i))).otherwise(F.array(x)))), "")
+
+
+def between_marks(c: Column, start: str, end: str) -> Column:
+    """All that stands between the marks, which are taken literally."""
+    return F.regexp_extract_all(c, F.lit(f"(?s)\\Q{start}\\E(.*?)\\Q{end}\\E"), F.lit(1))
+
+
+def passages(contents: Column) -> Column:
+    """Passages, a title and a text under it each, as one numbered reference."""
+    title = lambda x: F.substring_index(x, "\n", 1)
+    one = lambda x, i: F.concat(F.lit("Doc "), (i + 1).cast("string"), F.lit("(Title: "), title(x), F.lit(") "), F.substr(x, F.length(title(x)) + 2), F.lit("\n"))
+    return F.array_join(F.transform(contents, one), "")
+
+
+def matches_exactly(reply: Column, truth: Column) -> Column:
+    """1 if the answer after the last thought is the truth, whatever its case and ASCII punctuation."""
+    plain = lambda x: F.regexp_replace(F.lower(x), r"[!-/:-@\[-`{-~]", "")
+    return F.when(plain(retrieval_answer(after_thought(reply))) == plain(truth), 1.0).otherwise(0.0)
+
+
+def first_score(pred: Column, answers: Column, fails: Column) -> Column:
+    """The earlier score: accuracy and format, and one more for a right reply with a tool call that didn't fail. A short reply without answer tags is its own answer; one of 200 characters or more is neither right nor well formed."""
+    found = last_answer(pred)
+    answer = F.coalesce(found, pred)
+    short = F.length(answer) < 200
+    right = found.isNotNull() & short & exact_match(answer, answers)
+    tool = F.contains(pred, F.lit("<tool_call>")) & F.contains(pred, F.lit("</tool_call>")) & ~F.contains(pred, F.lit("\n<|im_start|>user\nError: "))
+    one = lambda c: F.when(c, 1.0).otherwise(0.0)
+    parts = F.struct(one(tool).alias("tool_reward"), one(right).alias("acc_reward"), one(~fails & short).alias("format_reward"))
+    return bound(parts, lambda p: F.struct((p["acc_reward"] + p["format_reward"] + p["acc_reward"] * p["tool_reward"]).alias("score"), p["tool_reward"], p["acc_reward"], p["format_reward"]))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import shared
+
 
 def settled(df: DataFrame) -> DataFrame:
     """df as a checkpoint, in the folder that the session names in spark.checkpoint.dir: its rows and partitions don't change any more, even if an executor is lost."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
+        context.setCheckpointDir(shared.root(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -118,3 +118,10 @@ def cold_start(turns: DataFrame, sizes: DataFrame, conv: str = "conv_id", pos: s
     thought = F.regexp_extract(F.col(text), r"(?s)<think>(.*?)</think>", 1)
     out = F.when(ours & has("grounding"), F.concat(F.lit("<think>"), thought, F.lit("</think>\n"), call)).otherwise(F.col(text))
     return judged, kept.select(conv, pos, role, out.alias(text))
+
+
+def tags_and_images(turns: DataFrame, images: DataFrame, conv: str = "conv_id", role: str = "role", text: str = "text", others: str = "gpt", tag: str = "<image>") -> DataFrame:
+    """(conv, found, wanted, agrees): how often the tag stands in a conversation's turns but those of the role others, against (conv, wanted), the number of its images; none where it has no row there."""
+    found = turns.groupBy(conv).agg(F.sum(F.when(F.col(role) != others, occurrences(F.col(text), tag)).otherwise(0)).alias("found"))
+    both = found.join(images.select(conv, F.col("wanted").cast("long").alias("wanted")), conv, "left").withColumn("wanted", F.coalesce("wanted", F.lit(0).cast("long")))
+    return both.withColumn("agrees", F.col("found") == F.col("wanted"))

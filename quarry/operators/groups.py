@@ -54,3 +54,33 @@ def preference_accuracy(df: DataFrame, group: str, score: str, acc: str) -> Data
     weight = (F.col(acc) - F.col("a2")) * F.col("n") * F.col("n2")
     got = pairs.groupBy(group).agg(F.sum(F.when(F.col(score) > F.col("s2"), weight).otherwise(0.0)).alias("hit"), F.sum(weight).alias("all"))
     return df.select(group).distinct().join(got, group, "left").select(group, F.coalesce(F.try_divide("hit", "all"), F.lit(0.5)).alias("accuracy"))
+
+
+def tool_bonus(df: DataFrame, group: str, acc: str, calls: str, few: float = 0.26) -> DataFrame:
+    """df with tool_bonus, which depends on the group: where few are right, calls are rewarded by their share of the most; else few calls are, between the least and the most of those that are right. Without a right one all get it, else only the right ones. Summed by group and joined back."""
+    right = F.col(acc) > 0
+    of = df.groupBy(group).agg(F.avg(acc).alias("__rate"), F.max(calls).alias("__most"), F.coalesce(F.max(F.when(right, F.col(calls))), F.lit(0)).alias("__high"), F.coalesce(F.min(F.when(right, F.col(calls))), F.lit(100)).alias("__low"), F.sum(acc).alias("__right"))
+    explore = 2 * F.col(calls) / F.greatest(F.lit(1), F.col("__most"))
+    thrift = (F.greatest("__high", F.lit(0)) - F.col(calls)) / (F.greatest("__high", F.lit(0)) - F.least("__low", F.lit(100)) + 1e-6)
+    bonus = F.when(F.col("__rate") < few, explore).otherwise(thrift)
+    both = df.join(of, group)
+    return both.withColumn("tool_bonus", F.when(F.col("__right") == 0, bonus).otherwise(bonus * F.col(acc))).drop("__rate", "__most", "__high", "__low", "__right")
+
+
+def preference_losses(df: DataFrame, group: str, score: str, acc: str, beta: float) -> DataFrame:
+    """df with ce (cross entropy of the score's sigmoid against acc), detached (against the mean score of the others of its group that are worse, for a wrong row better), by_score and by_acc (its weight as the best of its group by either).
+
+    Means of the better and worse are running sums by acc, less a row's equals: no pairs.
+    """
+    to_here = Window.partitionBy(group).orderBy(acc).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal, whole = Window.partitionBy(group, acc), Window.partitionBy(group)
+    q, good = F.col(score) * beta, F.col(acc) > 0
+    at_most = {f: f(score).over(to_here) for f in (F.sum, F.count)}
+    below = {f: at_most[f] - f(score).over(equal) for f in at_most}
+    above = {f: f(score).over(whole) - at_most[f] for f in at_most}
+    other = F.coalesce(F.when(good, F.try_divide(below[F.sum], below[F.count])).otherwise(F.try_divide(above[F.sum], above[F.count])), F.lit(0.0)) * beta
+    softplus = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+    n = F.count("*").over(whole)
+    best = lambda c: n * F.pow(F.cume_dist().over(Window.partitionBy(group).orderBy(c)), n - 1)
+    ce = F.col(acc) * softplus(-q) + (1 - F.col(acc)) * softplus(q)
+    return df.select("*", ce.alias("ce"), softplus(-(q - other) * F.when(good, 1.0).otherwise(-1.0)).alias("detached"), best(score).alias("by_score"), best(acc).alias("by_acc"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry import shared
+
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A folder that all executors see: below spark.checkpoint.dir, or one of ours where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(named or 'file://' + tempfile.gettempdir()).rstrip('/')}/quarry-{what}-{uuid.uuid4().hex}"
+    """A folder that all executors see, below the session's shared one."""
+    return f"{shared.root(spark)}/quarry-{what}-{uuid.uuid4().hex}"
 
 
 def parquet_files(spark: SparkSession, paths: list[str], schema: str | None = None, keys: list[str] | None = None) -> DataFrame:
