@@ -154,6 +154,18 @@ def minibatches(df: DataFrame, size: int, epochs: int, n: int | None = None) ->
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("mini_batch_id", F.floor(F.col("row_id") / size).cast("long"))
 
 
+def shuffled_minibatches(df: DataFrame, key: str, size: int, epochs: int, seed: int) -> DataFrame:
+    """epoch, place and mini_batch_id of each row in each epoch, every epoch in an order of its own: the same seed gives the same batches. An error if rows don't make whole batches."""
+    out = None
+    for epoch in range(epochs):
+        placed = with_row_id(df.withColumn("__at", seeded(F.col(key), seed + epoch)), "__at", key).drop("__at")
+        if epoch == 0 and placed.count() % size:
+            raise ValueError(f"rows don't make whole batches of {size}")
+        one = placed.select(F.lit(epoch).alias("epoch"), F.col("row_id").alias("place"), F.floor(F.col("row_id") / size).cast("long").alias("mini_batch_id"), *df.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def row_range(df: DataFrame, start: int, end: int = -1, n: int | None = None) -> DataFrame:
     """Rows [start, end); -1: to the end, more than there are: all. A start beyond the rows, or an end not after it, is an error."""
     n = df.count() if n is None else n

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from quarry.plans import batches, catalog, conversations, conversion, evaluation, plugins, texts, training  # noqa: F401
+from quarry.plans import batches, catalog, conversations, conversion, evaluation, plugins, samples, texts, training  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
