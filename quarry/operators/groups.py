@@ -43,16 +43,26 @@ def best_of(df: DataFrame, group: str, value: str, k: int, order: str) -> DataFr
     return rows.groupBy(group).agg(F.sum(F.col(value) * F.col("up")).alias("best"), F.sum(F.col(value) * F.col("down")).alias("worst"))
 
 
-def preference_accuracy(df: DataFrame, group: str, score: str, acc: str) -> DataFrame:
+def preference_accuracy(df: DataFrame, group: str, score: str, acc: str, order: str | None = None) -> DataFrame:
     """(group, accuracy): pairs of a group weighted by their difference in acc; right when score differs the same way; 0.5 when acc is equal all over.
 
-    Within a group, rows of one acc value meet only sums of the other values' ranks, so no pairs of rows are made: for each acc value the rows below a score are counted by windows.
+    Of two equal scores the pair is right if the worse row comes first in `order`, and
+    never without an order. A difference in acc is the sum of the steps between its
+    levels, so at each level rows above it count the rows below that stand before them in
+    the order of scores: rows times levels less one (one for right and wrong), no pairs.
     """
-    a = df.groupBy(group, score, acc).agg(F.count("*").alias("n"))
-    b = a.select(group, F.col(score).alias("s2"), F.col(acc).alias("a2"), F.col("n").alias("n2"))
-    pairs = a.join(b, group).where(F.col(acc) > F.col("a2"))
-    weight = (F.col(acc) - F.col("a2")) * F.col("n") * F.col("n2")
-    got = pairs.groupBy(group).agg(F.sum(F.when(F.col(score) > F.col("s2"), weight).otherwise(0.0)).alias("hit"), F.sum(weight).alias("all"))
+    levels = df.where(F.col(acc).isNotNull()).select(group, F.col(acc).cast("double").alias("__t")).distinct()
+    steps = levels.withColumn("__gap", F.lead("__t").over(Window.partitionBy(group).orderBy("__t")) - F.col("__t")).where("__gap is not null")
+    at = df.select(group, score, F.col(acc).alias("__acc"), *([order] if order else [])).join(steps, group)
+    below = F.when(F.col("__acc") <= F.col("__t"), 1).otherwise(0)
+    own = Window.partitionBy(group, "__t")
+    if order:
+        before = F.coalesce(F.sum(below).over(own.orderBy(score, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        before = F.sum(below).over(own.orderBy(score).rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum(below).over(Window.partitionBy(group, "__t", score))
+    counted = at.withColumn("__below", below).withColumn("__before", before)
+    per = counted.groupBy(group, "__t").agg(F.max("__gap").alias("gap"), F.sum(F.when(F.col("__below") == 0, F.col("__before")).otherwise(0)).alias("hit"), (F.sum("__below") * F.sum(1 - F.col("__below"))).alias("pairs"))
+    got = per.groupBy(group).agg(F.sum(F.col("gap") * F.col("hit")).alias("hit"), F.sum(F.col("gap") * F.col("pairs")).alias("all"))
     return df.select(group).distinct().join(got, group, "left").select(group, F.coalesce(F.try_divide("hit", "all"), F.lit(0.5)).alias("accuracy"))
 
 

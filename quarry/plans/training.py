@@ -148,3 +148,10 @@ def k13_files_not_kept(spark, d) -> DataFrame:
 @query("select lang, count(*) as n, sum(n_chars)::bigint as chars from documents where n_chars > 100 group by 1")
 def s16_sql_over_files(spark, d) -> DataFrame:
     return spark.sql("select lang, count(*) as n, sum(n_chars) as chars from parquet.`" + f"{d}/documents.parquet" + "` where n_chars > 100 group by 1")
+
+
+@query(f"with {TRIES}, i as (select *, row_number() over (partition by uid order by traj_id) as i from t), p as (select a.uid, abs(a.acc - b.acc) as w, ((a.calls > b.calls) = (a.acc > b.acc))::int as hit from i a join i b on a.uid = b.uid and a.i < b.i), u as (select uid, case when sum(w) = 0 then 0.5 else sum(hit * w) * 1.0 / sum(w) end as accuracy from p group by 1), all_ as (select coalesce(accuracy, 0.5) as accuracy from (select distinct uid from t) left join u using (uid)) select round(avg(accuracy), 6) as accuracy, count(*) as prompts from all_")
+def a22_mean_preference_accuracy(spark, d) -> DataFrame:
+    """Mean over prompts; scores tie often here, and the earlier of two equal ones should be the worse."""
+    out = groups.preference_accuracy(tries(spark, d), "uid", "calls", "acc", "traj_id")
+    return out.agg(r6(F.avg("accuracy")).alias("accuracy"), F.count("*").alias("prompts"))
