@@ -164,7 +164,7 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
     the smallest of each bucket with it. A bucket with many comparisons is dealt over many tasks. It
     ends when every pair in a bucket is tested or within one component: no link
     that a bucket could show is lost. home: gets the marks of two ids and returns one
-    of the buckets that they share, so that later rounds compare them there only:
+    of the buckets that they share, so that rounds after the careful ones compare them there only:
     members of different components are compared in each bucket that has both.
     """
     spark, tables, old = members.sparkSession, [], []
@@ -222,7 +222,7 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
         # a fixed number of partitions: few bytes stand for much work here, and would be put together in one task
         dealt, others = (x.repartition(wide(spark, 32), "bucket", "deal") for x in (dealt.drop("deals"), others))
         apart = F.col("own") != F.col("component")
-        if home is not None:
+        if home is not None and rounds > careful:
             apart = apart & (home(F.col("own_mark"), F.col("mark")) == F.col("bucket"))
         pairs = dealt.hint("merge").join(others, ["bucket", "deal"]).where(apart & close(F.col("own_mark"), F.col("mark"))).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
         newer, new_path_ = joined_components(comp, confirmed(pairs), what)

@@ -88,9 +88,9 @@ def fewest(mark, kind: int) -> Column:
 
 
 def home(a: Column, b: Column) -> Column:
-    """Of the blocks that two lines share, that of the smallest hashes of the first kind."""
+    """Of the blocks that two lines share, that of the smallest hashes of the first kind; null where lengths rule a link out."""
     first = lambda kind, else_: bound(F.array_intersect(fewest(a, kind), fewest(b, kind)), lambda s: F.when(F.size(s) > 1, F.xxhash64(F.lit(kind), F.get(s, F.lit(1)), F.get(s, F.lit(0)))).otherwise(else_))
-    return first(0, first(1, F.lit(None).cast("long")))
+    return F.when(F.abs(a["n"] - b["n"]) <= most_edits(a["n"], b["n"]), first(0, first(1, F.lit(None).cast("long"))))
 
 
 def blocks(found: DataFrame) -> DataFrame:
