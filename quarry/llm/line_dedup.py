@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import drop_path, frequent, join_spread, star_components, written
 
-#: Shorter lines (normalised characters) repeat by chance and stay.
+#: Shorter lines (normalised characters) are compared exactly only.
 LEAST_CHARS = 20
 LEAST_SIMILARITY = 0.8
 #: Characters of a gram; hashes that a sketch keeps.
@@ -71,7 +71,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, of, pos, key, line) of the lines that take part; of names the text of the row, line is normalised: letters and digits in lower case, single spaces."""
     plain = F.regexp_replace(F.lower(F.col(text_col).cast("string")), r"[^\p{L}\p{N}\n]++", " ")
     cut = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(plain, "\n", -1)).alias("pos", "line"))
-    return cut.withColumn("line", F.trim("line")).where(F.length("line") >= LEAST_CHARS).select("id", "of", "pos", F.xxhash64("line").alias("key"), "line")
+    return cut.withColumn("line", F.trim("line")).where(F.col("line") != "").select("id", "of", "pos", F.xxhash64("line").alias("key"), "line")
 
 
 def sketches(lines: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per, per_path = written(each.groupBy("key").agg(F.min("occ").alias("occ"), F.count("*").alias("n")), "line-keys")
     hot = frequent(per, "key", "n")
     made = [path, per_path]
-    few = lines.select("key", "line")
+    few = lines.where(F.length("line") >= LEAST_CHARS).select("key", "line")
     if hot:  # lines of very many occurrences take part once
         among = F.col("key").isin(hot)
         few = few.where(~among).unionByName(few.where(among).dropDuplicates(["key"]))
@@ -186,8 +186,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with fuzzy repeats of lines taken out of the text column, and n_lines_removed.
 
     Every row stays, with all its columns (an own column n_lines_removed, whatever
-    its case, is replaced). Lines shorter than LEAST_CHARS after normalisation,
-    blank ones too, stay. A null text stays null, an empty one empty. Rows of one
+    its case, is replaced). Of lines shorter than LEAST_CHARS after normalisation only
+    exact repeats go; lines without a letter or digit stay. A null text stays null, an empty one empty. Rows of one
     id are one document: the same line at the same place stays in each; null ids
     are one document that comes last. Of equal lines the smallest (id, place) stays.
     An empty table stays empty.

@@ -243,7 +243,7 @@ def test_lines(spark, awkward, empty):
     line = "the quick brown fox jumps over the lazy dog and runs far away from here into the dark green wood tonight"
     rows = [(1, f"{line}\nshort"), (2, f"intro of its own, long enough\n{line.upper()}!\nshort"), (3, line.replace("tonight", "tonite")), (4, "something else entirely different from the others " * 3)]
     out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "intro of its own, long enough\nshort" and out[4]["text"] == rows[3][1]
+    assert out[1]["text"] == rows[0][1] and out[2]["text"] == "intro of its own, long enough" and out[4]["text"] == rows[3][1]
     got = line_dedup.dedup_lines(awkward)
     assert got.count() == awkward.count() and line_dedup.dedup_lines(empty).count() == 0
     assert all(r["text"] is None for r in got.where("n_chars is null").collect())
