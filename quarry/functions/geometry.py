@@ -117,3 +117,8 @@ def constrained(w: Column, h: Column, most: Column, factor: int = 28) -> Column:
     w0, h0, beta = near(w), near(h), F.sqrt(h * w / most)
     side = lambda x, x0: F.when(w * h <= most, x).when(h0 * w0 <= most, x0).otherwise(F.greatest(F.lit(factor), F.floor((x / beta).cast("long") / factor) * factor)).cast("long")
     return F.struct(side(w, w0).alias("width"), side(h, h0).alias("height"), (side(w, w0) / w).alias("scale_x"), (side(h, h0) / h).alias("scale_y"))
+
+
+def clipped(v: Column, least: Column, most: Column) -> Column:
+    """v within bounds that are columns too; where they cross, the lower one holds."""
+    return F.greatest(F.least(v, most), least)

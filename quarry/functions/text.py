@@ -467,3 +467,42 @@ def first_score(pred: Column, answers: Column, fails: Column) -> Column:
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
     parts = F.struct(one(tool).alias("tool_reward"), one(right).alias("acc_reward"), one(~fails & short).alias("format_reward"))
     return bound(parts, lambda p: F.struct((p["acc_reward"] + p["format_reward"] + p["acc_reward"] * p["tool_reward"]).alias("score"), p["tool_reward"], p["acc_reward"], p["format_reward"]))
+
+
+#: Words after which, before which, and again after which an answer stands.
+ANSWER_AFTER = ("answer:", "answer is", "answers are")
+ANSWER_BEFORE = ("is answer", "is the answer", "are answers", "are the answers")
+VALUE_AFTER = ("be ", "is ", "are ", "=", ": ", "get ", "be\n", "is\n", "are\n", ":\n", "get\n")
+
+
+def box_content(c: Column) -> Column:
+    r"""What the last \boxed or, without one, \fbox holds between its first brace and the one that closes it; null if none does."""
+    first = F.struct(F.lit(0).alias("open"), F.lit(0).alias("i"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+
+    def step(a: Column, x: Column) -> Column:
+        now = a["open"] + F.when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        left = F.when((a["left"] == 0) & (x == "{"), a["i"] + 1).otherwise(a["left"])
+        return F.struct(now.alias("open"), (a["i"] + 1).alias("i"), left.alias("left"), F.when((a["right"] == 0) & (x == "}") & (now == 0), a["i"] + 1).otherwise(a["right"]).alias("right"))
+
+    found = F.coalesce(*(F.when(F.contains(c, F.lit(f"\\{mark}")), F.regexp_extract(c, rf"(?s)^.*\\{mark}(.*)\z", 1)) for mark in ("boxed", "fbox")))
+    return bound(found, lambda t: bound(F.aggregate(F.split(t, ""), first, step), lambda a: F.when((a["left"] > 0) & (a["right"] > 0), stripped(F.substring(t, a["left"] + 1, a["right"] - a["left"] - 1)))))
+
+
+def located_answer(c: Column) -> Column:
+    """(matched, answer): what words like 'answer is' and 'is the answer', a box, a full stop and words like 'is' or '=' leave of a reply; matched only with a digit in it."""
+    after = lambda x, mark: F.regexp_extract(x, rf"(?is)^.*\Q{mark}\E(.*)\z", 1)
+    before = lambda x, mark: F.regexp_extract(x, rf"(?is)^(.*)\Q{mark}\E", 1)
+    state = F.struct(F.lit(False).alias("m"), c.alias("c"))
+
+    def cut(mark: str, part):
+        there = lambda s: F.contains(F.lower(s["c"]), F.lit(mark))
+        return lambda s: F.struct((s["m"] | there(s)).alias("m"), F.when(there(s), stripped(part(s["c"], mark))).otherwise(s["c"]).alias("c"))
+
+    for marks, part in ((ANSWER_AFTER, after), (ANSWER_BEFORE, before)):
+        for mark in marks:
+            state = bound(state, cut(mark, part))
+    state = bound(state, lambda s: bound(box_content(s["c"]), lambda b: F.struct((s["m"] | (F.length(b) > 0) & b.isNotNull()).alias("m"), F.when(F.length(b) > 0, b).otherwise(s["c"]).alias("c"))))
+    state = bound(state, lambda s: F.struct(s["m"].alias("m"), F.when(F.contains(s["c"], F.lit(". ")), stripped(before(s["c"], ". "))).otherwise(s["c"]).alias("c")))
+    for mark in VALUE_AFTER:
+        state = bound(state, cut(mark, after))
+    return bound(state, lambda s: F.struct((s["m"] & s["c"].rlike(r"\p{Nd}")).alias("matched"), s["c"].alias("answer")))

@@ -125,3 +125,12 @@ def tags_and_images(turns: DataFrame, images: DataFrame, conv: str = "conv_id",
     found = turns.groupBy(conv).agg(F.sum(F.when(F.col(role) != others, occurrences(F.col(text), tag)).otherwise(0)).alias("found"))
     both = found.join(images.select(conv, F.col("wanted").cast("long").alias("wanted")), conv, "left").withColumn("wanted", F.coalesce("wanted", F.lit(0).cast("long")))
     return both.withColumn("agrees", F.col("found") == F.col("wanted"))
+
+
+def repathed(rows: DataFrame, base: str, system: str | None = None, images: str = "images", turns: str = "conversations") -> DataFrame:
+    """rows with relative image paths below base, and, if one is given, another system prompt in every system turn (from, value); rows without turns or images stay as they are."""
+    full = F.transform(images, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), p)))
+    out = rows.withColumn(images, full)
+    if system is None:
+        return out
+    return out.withColumn(turns, F.transform(turns, lambda t: t.withField("value", F.when(t["from"] == "system", F.lit(system)).otherwise(t["value"]))))

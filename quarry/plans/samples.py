@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import batch, groups, samples
+from quarry.functions import geometry, text
+from quarry.operators import batch, conversations, groups, samples
 from quarry.plans.catalog import query, r6
 from quarry.plans.conversations import COLD_SQL, cold
 from quarry.plans.conversion import RAW_SQL, raw
@@ -111,3 +112,50 @@ def g13_g15_g16_masks_by_row(spark, d) -> DataFrame:
 @query("select e::int as epoch, place, place // 100 as mini_batch_id, o_orderkey from (select o_orderkey, e, row_number() over (partition by e order by md5(o_orderkey || '|' || (7 + e)), o_orderkey) - 1 as place from orders, (select unnest([0, 1]) as e))")
 def p14_shuffled_minibatches(spark, d) -> DataFrame:
     return batch.shuffled_minibatches(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100, 2, 7)
+
+
+REPLIED = r"""case conv_id % 8 when 0 then text || ' The answer is ' || turn || '. ok' when 1 then text || chr(10) || 'ANSWER: x = ' || conv_id when 2 then conv_id || ' is the answer to it' when 3 then 'so \fbox{ {a}' || turn || '} and \boxed{y=' || turn || '} end' when 4 then text || ' we get ' || conv_id || '. Then more' when 5 then 'It must be' || chr(10) || conv_id when 6 then 'open \boxed{' || conv_id else text end"""
+
+
+def located_sql() -> str:
+    """The same rules, a table for each step."""
+    esc = lambda m: m.replace("=", "[=]").replace(". ", "[.] ").replace("\n", "[\\n]")
+    lit = lambda m: "'" + m.replace("\n", "' || chr(10) || '") + "'"
+    steps, n = [f"s0 as (select conv_id, turn, false as m, {REPLIED} as c from conversations)"], 0
+
+    def add(sql: str) -> None:
+        nonlocal n
+        n += 1
+        steps.append(f"s{n} as ({sql.format(src=f's{n - 1}')})")
+
+    ends = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+    for marks, pattern in ((text.ANSWER_AFTER, "(?is)^.*{}(.*)$"), (text.ANSWER_BEFORE, "(?is)^(.*){}")):
+        for m in marks:
+            add(f"select conv_id, turn, m or contains(lower(c), {lit(m)}) as m, case when contains(lower(c), {lit(m)}) then trim(regexp_extract(c, '{pattern.format(esc(m))}', 1), {ends}) else c end as c from {{src}}")
+    boxed = "nullif(trim(case when contains(c, '\\boxed') then coalesce(nullif(regexp_extract(c, '(?s)^.*\\\\boxed{{([^{{}}]*)}}', 1), ''), '') when contains(c, '\\fbox') then regexp_extract(c, '(?s)^.*\\\\fbox{{([^{{}}]*)}}', 1) end), '')"
+    add(f"select conv_id, turn, m or {boxed} is not null as m, coalesce({boxed}, c) as c from {{src}}")
+    add(f"select conv_id, turn, m, case when contains(c, '. ') then trim(regexp_extract(c, '(?is)^(.*)[.] ', 1), {ends}) else c end as c from {{src}}")
+    for m in text.VALUE_AFTER:
+        add(f"select conv_id, turn, m or contains(lower(c), {lit(m)}) as m, case when contains(lower(c), {lit(m)}) then trim(regexp_extract(c, '(?is)^.*{esc(m)}(.*)$', 1), {ends}) else c end as c from {{src}}")
+    return f"with {', '.join(steps)} select conv_id, turn, m and regexp_matches(c, '[0-9]') as matched, md5(c) as answer from s{n}"
+
+
+@query(located_sql())
+def t31_located_answers(spark, d) -> DataFrame:
+    rows = table(spark, d, "conversations").selectExpr("conv_id", "turn", f"{REPLIED.replace(chr(92), chr(92) * 2)} as c")
+    return rows.select("conv_id", "turn", text.located_answer(F.col("c")).alias("s")).select("conv_id", "turn", "s.matched", F.md5(F.col("s.answer").cast("binary")).alias("answer"))
+
+
+@query("select vec_id, round(list_sum(list_transform(embedding, lambda x, i: greatest(least(x::double, i * 0.01), i * 0.01 - 0.2))), 5) as total from embeddings")
+def m20_clipped(spark, d) -> DataFrame:
+    kept = F.transform("embedding", lambda x, i: geometry.clipped(x.cast("double"), (i + 1) * 0.01 - 0.2, (i + 1) * 0.01))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(kept, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("select conv_id, string_agg(role || ':' || case when role = 'system' then 'be brief' else length(text)::varchar end, ',' order by turn) as turns, '/base/i' || conv_id || '.png|/own/j.png' as images from conversations group by 1")
+def c10_paths_and_prompt(spark, d) -> DataFrame:
+    turn = F.struct("turn", F.col("role").alias("from"), F.length("text").cast("string").alias("value"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("conversations"))
+    rows = c.withColumn("images", F.array(F.concat(F.lit("i"), F.col("conv_id").cast("string"), F.lit(".png")), F.lit("/own/j.png")))
+    out = conversations.repathed(rows, "/base/", "be brief")
+    return out.select("conv_id", F.array_join(F.transform("conversations", lambda t: F.concat(t["from"], F.lit(":"), t["value"])), ",").alias("turns"), F.array_join("images", "|").alias("images"))
