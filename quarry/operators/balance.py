@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,24 +31,36 @@ def differencing(sizes: list[int], bins: int, equal: bool = False) -> list[list[
     return [sorted(p[1]) for p in heap[0][2]] if heap else [[] for _ in range(bins)]
 
 
-def greedy(sizes: list[int], bins: int) -> list[list[int]]:
-    """In the order given, each to the bin with the least so far."""
-    sums, out = [0] * bins, [[] for _ in range(bins)]
+def greedy(sizes: list[int], bins: int, equal: bool = False) -> list[list[int]]:
+    """In the order given, each to the bin with the least so far, of equal ones the first; equal: as many members in each bin, as a member outweighs all sizes."""
+    bias = sum(sizes) + 1 if equal else 0
+    heap, out = [(0, b) for b in range(bins)], [[] for _ in range(bins)]
     for i, n in enumerate(sizes):
-        b = min(range(bins), key=lambda k: (sums[k], k))
-        sums[b] += n
+        least, b = heap[0]
         out[b].append(i)
+        heapq.heapreplace(heap, (least + n + bias, b))
+    if equal and len({len(p) for p in out}) > 1:
+        raise ValueError(f"{len(sizes)} sequences don't make {bins} bins of one size")
     return out
 
 
+def checked(parts: list[list[int]], n: int) -> list[list[int]]:
+    """parts, if each has a member and all n are dealt out once; else an error."""
+    if n < len(parts):
+        raise ValueError(f"{n} sequences are fewer than {len(parts)} bins")
+    if not all(parts) or sorted(i for p in parts for i in p) != list(range(n)):
+        raise ValueError("a bin is empty, or a sequence isn't dealt out once")
+    return parts
+
+
 def balanced(df: DataFrame, batch: str, size: str, key: str, bins: int, how: str = "differencing", equal: bool = False, cap: int | None = None) -> DataFrame:
-    """(batch, key, size, bin); with cap, as many bins as the batch's sum needs under it."""
+    """(batch, key, size, bin); with cap, as many bins as the batch's sum needs under it. A batch is what one step trains on: it is dealt out in one task, and must have a sequence for each bin."""
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key).reset_index(drop=True)
         sizes = [int(x) for x in rows[size]]
         k = max(1, -(-sum(sizes) // cap)) if cap else bins
-        parts = differencing(sizes, k, equal) if how == "differencing" else greedy(sizes, k)
+        parts = checked((differencing if how == "differencing" else greedy)(sizes, k, equal), len(sizes))
         rows["bin"] = 0
         for b, members in enumerate(parts):
             rows.loc[members, "bin"] = b
@@ -58,7 +70,11 @@ def balanced(df: DataFrame, batch: str, size: str, key: str, bins: int, how: str
     return df.select(batch, key, size).groupBy(batch).applyInPandas(deal, f"{batch} {kinds[batch]}, {key} {kinds[key]}, {size} {kinds[size]}, bin long")
 
 
-def imbalance(df: DataFrame, batch: str, size: str, bin_: str) -> DataFrame:
-    """The least and the largest sum of a batch's bins, and their difference."""
-    sums = df.groupBy(batch, bin_).agg(F.sum(size).alias("n"))
-    return sums.groupBy(batch).agg(F.min("n").alias("least"), F.max("n").alias("largest"), (F.max("n") - F.min("n")).alias("spread"))
+def imbalance(df: DataFrame, batch: str, size: str, bin_: str, key: str, bins: int) -> DataFrame:
+    """Of each batch the least and largest sum of a bin and their mean, balanced and as the rows come: in the order of key, an equal number of rows a bin."""
+    place = F.row_number().over(Window.partitionBy(batch).orderBy(key)) - 1
+    n = F.count("*").over(Window.partitionBy(batch))
+    plain = df.withColumn("__plain", F.floor(place * bins / n))
+    least_and_most = lambda c, *names: plain.groupBy(batch, c).agg(F.sum(size).alias("n")).groupBy(batch).agg(F.min("n").alias(names[0]), F.max("n").alias(names[1]), F.avg("n").alias("mean"))
+    both = least_and_most("__plain", "least", "largest").drop("mean").join(least_and_most(bin_, "balanced_least", "balanced_largest"), batch)
+    return both.withColumn("spread", F.col("largest") - F.col("least"))

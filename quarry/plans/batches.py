@@ -147,22 +147,36 @@ def u12_shuffled_options(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.array_position(F.transform(F.sort_array(F.array(*seeded)), lambda x: x["i"]), 1).alias("gold"))
 
 
+def steps(spark, d) -> DataFrame:
+    """Orders as sequences, 125 a training step."""
+    return table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 125).cast("long").alias("g"), "o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("long").alias("size"))
+
+
+STEPS = "s as (select o_orderkey // 125 as g, o_orderkey, floor(o_totalprice / 1000)::bigint as size from orders)"
+
+
 @query()
 def o4_o6_balanced_partition(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("long").alias("size"))
-    return balance.balanced(o, "g", "size", "o_orderkey", 8)
+    return balance.balanced(steps(spark, d), "g", "size", "o_orderkey", 5, equal=True)
 
 
 @query()
 def o5_greedy_partition(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("long").alias("size"))
-    return balance.balanced(o, "g", "size", "o_orderkey", 8, how="greedy")
+    return balance.balanced(steps(spark, d), "g", "size", "o_orderkey", 5, how="greedy", equal=True)
 
 
-@query("with b as (select o_orderpriority as g, (sum(floor(o_totalprice / 1000)::bigint) + 4999) // 5000 as bins, count(*) as n from orders group by 1) select g, bins::bigint as bins, n from b")
+@query(f"with {STEPS} select g, (sum(size)::bigint + 4999) // 5000 as bins, count(*) as n from s group by 1")
 def o8_bins_under_a_cap(spark, d) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("g"), "o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("long").alias("size"))
-    return balance.balanced(o, "g", "size", "o_orderkey", 0, how="greedy", cap=5000).groupBy("g").agg((F.max("bin") + 1).alias("bins"), F.count("*").alias("n"))
+    return balance.balanced(steps(spark, d), "g", "size", "o_orderkey", 0, cap=5000).groupBy("g").agg((F.max("bin") + 1).alias("bins"), F.count("*").alias("n"))
+
+
+@query(f"with {STEPS}, p as (select *, (row_number() over (partition by g order by o_orderkey) - 1) * 5 // count(*) over (partition by g) as b from s), m as (select g, b, sum(size) as n from p group by 1, 2) select g, min(n)::bigint as least, max(n)::bigint as largest, round(avg(n), 6) as mean, (max(n) - min(n))::bigint as spread, true as better from m group by 1")
+def a24_imbalance(spark, d) -> DataFrame:
+    """Sums of a step's bins as its rows come, and whether balancing brings them closer."""
+    dealt = balance.balanced(steps(spark, d), "g", "size", "o_orderkey", 5)
+    out = balance.imbalance(dealt, "g", "size", "bin", "o_orderkey", 5)
+    better = (F.col("balanced_largest") - F.col("balanced_least")) <= F.col("spread")
+    return out.select("g", "least", "largest", r6("mean").alias("mean"), "spread", better.alias("better"))
 
 
 @query(f"with {ROWS}, n as (select count(*) as n from orders) select row_id, (row_id * 7) % n as place, o_orderkey from rows, n")
