@@ -13,6 +13,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.functions.arrays import MISSING, NOT_AN_OBJECT, NOT_LISTED, WRONG_TYPE
+
 ANSWER, CALL = re.compile(r"<answer>(.*?)</answer>", re.DOTALL), re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
 SCORED = StructType().add("score", "double").add("failed", "boolean")
 
@@ -113,3 +115,91 @@ def parse_step():
 def register_parse_step(spark: SparkSession, name: str = "parse_step"):
     """Under a name that SQL can call: select ... from t, lateral parse_step(t.action)."""
     return spark.udtf.register(name, parse_step())
+
+
+class Tool:
+    """A tool that a model may call. Subclasses give a name, which registers them, a schema of arguments, and execute(arguments), which returns (observation, reward, done)."""
+
+    registry: dict[str, type[Tool]] = {}
+    name, description, schema = "", "", {"type": "object", "properties": {}, "required": []}
+
+    def __init_subclass__(cls, **options):
+        super().__init_subclass__(**options)
+        if cls.name:
+            Tool.registry[cls.name] = cls
+
+    @classmethod
+    def create(cls, name: str) -> Tool:
+        if name not in Tool.registry:
+            raise ValueError(f"no tool registered with name {name}")
+        return Tool.registry[name]()
+
+    def described(self) -> dict:
+        return {"type": "function", "function": {"name": self.name, "description": self.description, "parameters": self.schema}}
+
+    def execute(self, arguments: dict) -> tuple[str, float, bool]:
+        raise NotImplementedError
+
+
+KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict}
+STEPPED = StructType().add("observation", "string").add("reward", "double").add("done", "boolean").add("status", "string")
+
+
+def fault_of(arguments: object, schema: dict) -> str | None:
+    """The first thing wrong with arguments by a schema, as arrays.argument_fault finds it; None if nothing is."""
+    if not isinstance(arguments, dict):
+        return NOT_AN_OBJECT
+    for name in schema.get("required", []):
+        if name not in arguments:
+            return MISSING.format(name)
+    for name, value in arguments.items():
+        rule = schema.get("properties", {}).get(name, {})
+        if rule.get("type") in KINDS and not isinstance(value, KINDS[rule["type"]]):
+            return WRONG_TYPE.format(name, rule["type"])
+        if "enum" in rule and value not in rule["enum"]:
+            return NOT_LISTED.format(name, ", ".join(map(str, rule["enum"])))
+    return None
+
+
+def tool_step(tools: list[type[Tool]]):
+    """A vectorised function of an action column: (observation, reward, done, status) of its last tool call. An answer, or an action without a call, is done; a call that can't be read, of an unknown tool or with wrong arguments fails and goes on, and so does one whose tool raises."""
+    held = {t.name: t for t in tools}
+
+    def one(action: str | None) -> tuple[str, float, bool, str]:
+        if not action or any(x.strip() for x in ANSWER.findall(action)):
+            return "", 0.0, True, "answer" if action else "empty"
+        calls = CALL.findall(action)
+        if not calls or not calls[-1].strip():
+            return "", 0.0, True, "no call"
+        try:
+            call = json.loads(calls[-1])
+        except ValueError:
+            return "ERROR: not JSON", 0.0, False, "failed"
+        if not isinstance(call, dict) or call.get("name") not in held:
+            return "ERROR: unknown tool", 0.0, False, "failed"
+        tool = held[call["name"]]()
+        if fault := fault_of(call.get("arguments", {}), tool.schema):
+            return f"ERROR: {fault}", 0.0, False, "failed"
+        try:
+            observation, reward, done = tool.execute(call.get("arguments", {}))
+        except Exception as error:  # whatever a user's tool raises
+            return f"ERROR: {error}", 0.0, False, "failed"
+        return str(observation), float(reward), bool(done), "success"
+
+    @F.pandas_udf(STEPPED)
+    def run(action: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in action], columns=STEPPED.names)
+
+    return run
+
+
+#: Reductions by name; users add their own.
+REDUCTIONS: dict[str, Callable[[Column], Column]] = {"mean": F.avg, "max": F.max, "min": F.min, "sum": F.sum, "std": F.stddev_pop, "median": F.median, "count": F.count}
+
+
+def reduced(df, group: list[str], wanted: dict[str, list[str]]):
+    """One row a group, a column <metric>/<reduction> for each metric and name of a reduction."""
+    unknown = {n for names in wanted.values() for n in names} - set(REDUCTIONS)
+    if unknown:
+        raise ValueError(f"no reductions named {', '.join(sorted(unknown))}")
+    return df.groupBy(*group).agg(*(REDUCTIONS[n](F.col(c)).alias(f"{c}/{n}") for c, names in wanted.items() for n in names))

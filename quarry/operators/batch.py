@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import shared
@@ -186,3 +188,14 @@ def batches_until(df: DataFrame, step: str, group: str, enough: int) -> DataFram
     per = first.groupBy(step).agg(F.count("*").alias("n"))
     last = running_sum(per, F.col("n"), "upto", step).where(F.col("upto") >= enough).agg(F.min(step)).first()[0]
     return df if last is None else df.where(F.col(step) <= F.lit(last))
+
+
+def saved(df: DataFrame, path: str, meta: dict | None = None) -> None:
+    """A batch and what goes with it, as Parquet; never a pickle."""
+    df.write.parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(json.dumps(meta or {}),)], "meta string").coalesce(1).write.json(f"{path}/meta")
+
+
+def loaded(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """What saved() has written."""
+    return spark.read.parquet(f"{path}/rows"), json.loads(spark.read.schema("meta string").json(f"{path}/meta").first()[0])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import plugins, text
-from quarry.operators import scans
+from quarry.operators import batch, scans
 from quarry.plans.catalog import query
 from quarry.sources import loaders
 from quarry.sources import tables as files
@@ -185,3 +185,39 @@ def s3_preferences(spark, d) -> DataFrame:
     out = loaders.load(spark, "preferences", [f"{path}/a", f"{path}/b"], prompt="asked", chosen="better", rejected="worse")
     first = F.substring_index("prompt", " ", 1)
     return out.select(first.cast("long").alias("conv_id"), digest(F.substr("prompt", F.length(first) + 2)).alias("prompt"), digest(F.col("chosen")).alias("chosen"), digest(F.col("rejected")).alias("rejected"))
+
+
+class Focus(plugins.Tool):
+    """Counts the boxes that it is asked for."""
+
+    name, description = "focus", "zooms in on regions"
+    schema = {"type": "object", "properties": {"bboxes": {"type": "array"}}, "required": ["bboxes"]}
+
+    def execute(self, arguments: dict) -> tuple[str, float, bool]:
+        if not arguments["bboxes"]:
+            raise ValueError("no boxes")
+        return f"{len(arguments['bboxes'])} regions", 0.5, False
+
+
+@query(f"""with a as (select event_id, {ACTION} as action from events), c as (select *, trim(regexp_extract_all(action, '(?s)<tool_call>(.*?)</tool_call>', 1)[-1]) as call, len(list_filter(regexp_extract_all(action, '(?s)<answer>(.*?)</answer>', 1), lambda x: trim(x) <> '')) as answers from a),
+ j as (select *, case when json_valid(call) then call::json end as js from c), b as (select *, json_extract(js, '$.arguments.bboxes') as bb from j)
+ select event_id, case when answers > 0 then 'answer' when call is null or call = '' then 'no call' when js is null or json_extract_string(js, '$.name') <> 'focus' or bb is null or json_type(bb) <> 'ARRAY' or json_array_length(bb) = 0 then 'failed' else 'success' end as status,
+ case when answers > 0 or call is null or call = '' then '' when js is null then 'ERROR: not JSON' when json_extract_string(js, '$.name') <> 'focus' then 'ERROR: unknown tool' when bb is null then 'ERROR: Missing required parameter: bboxes' when json_type(bb) <> 'ARRAY' then 'ERROR: Parameter bboxes has incorrect type, should be array' when json_array_length(bb) = 0 then 'ERROR: no boxes' else json_array_length(bb) || ' regions' end as observation from b""")
+def f7_tool_steps(spark, d) -> DataFrame:
+    """Actions carried out by the tool registered under the name that they call."""
+    rows = table(spark, d, "events").selectExpr("event_id", f"{ACTION} as action")
+    return rows.select("event_id", plugins.tool_step([plugins.Tool.registry["focus"]])(F.col("action")).alias("s")).select("event_id", "s.status", "s.observation")
+
+
+@query('select event_type, round(avg(value), 6) as "value/mean", max(value) as "value/max", median(value) as "value/median", count(user_id) as "user_id/count" from events group by 1')
+def f11_reductions_by_name(spark, d) -> DataFrame:
+    out = plugins.reduced(table(spark, d, "events"), ["event_type"], {"value": ["mean", "max", "median"], "user_id": ["count"]})
+    return out.withColumn("value/mean", F.round(F.col("`value/mean`"), 6))
+
+
+@query("select doc_id, quality, 'labels' as source, 7::bigint as step from labels")
+def k11_saved_batch(spark, d) -> DataFrame:
+    path = files.new_folder(spark, "batch")
+    batch.saved(table(spark, d, "labels").select("doc_id", "quality"), path, {"source": "labels", "step": 7})
+    rows, meta = batch.loaded(spark, path)
+    return rows.select("doc_id", "quality", F.lit(meta["source"]).alias("source"), F.lit(meta["step"]).cast("long").alias("step"))
