@@ -16,25 +16,43 @@ def suffix_sum(value: Column, traj: str = "traj_id", pos: str = "pos") -> Column
 
 
 def discounted(df: DataFrame, value: Column, steps: Column, rate: float, name: str, traj: str = "traj_id", pos: str = "pos") -> DataFrame:
-    """df with name: the sum over k >= t of value_k * rate**(c_k - c_t), c the running count of steps (0 or 1 a token) before a token.
+    """df with name: the sum over k >= t of value_k * rate**(c_k - c_t), c the running count of steps (0 or 1 a token) before a token."""
+    return discounted_all(df, {name: (value, rate)}, steps, traj, pos)
+
+
+def discounted_all(df: DataFrame, sums: dict[str, tuple[Column, float]], steps: Column, traj: str = "traj_id", pos: str = "pos") -> DataFrame:
+    """df with a discounted sum of each name's value at its rate: counts, windows and the join are shared.
 
     Sums run within blocks of BLOCK steps, where powers can't underflow; what lies
     after a block comes in through the blocks' totals, one for each BLOCK steps of a trajectory.
     """
-    if rate == 1.0:
-        return df.withColumn(name, suffix_sum(value, traj, pos))
+    for name, (value, rate) in sums.items():
+        if rate == 1.0:
+            df = df.withColumn(name, suffix_sum(value, traj, pos))
+    some = [(name, value, rate) for name, (value, rate) in sums.items() if rate != 1.0]
+    if not some:
+        return df
     w = Window.partitionBy(traj).orderBy(pos)
     before = F.coalesce(F.sum(steps).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = df.withColumn("__v", value).withColumn("__c", before).withColumn("__b", F.floor(F.col("__c") / BLOCK)).withColumn("__r", F.pow(F.lit(rate), F.col("__c") - F.col("__b") * BLOCK))
-    part = F.col("__v") * F.col("__r")
-    totals = own.groupBy(traj, "__b").agg(F.sum(part).alias("s")).groupBy(traj).agg(F.sort_array(F.collect_list(F.struct(F.col("__b").alias("b"), "s")), asc=False).alias("__t"))
+    own = df.withColumn("__c", before).withColumn("__b", F.floor(F.col("__c") / BLOCK))
+    into = F.col("__c") - F.col("__b") * BLOCK
+    parts = own.withColumns({f"__p{i}": value * F.pow(F.lit(rate), into) for i, (_, value, rate) in enumerate(some)})
+    n = range(len(some))
+    totals = parts.groupBy(traj, "__b").agg(*(F.sum(f"__p{i}").alias(f"s{i}") for i in n)).groupBy(traj).agg(F.sort_array(F.collect_list(F.struct(F.col("__b").alias("b"), *(f"s{i}" for i in n))), asc=False).alias("__t"))
     # after block b: its successor's total and, discounted by a block, what lies after that
-    none = F.array().cast("array<struct<b:bigint,after:double,next:double>>")
-    step = lambda a, x: F.concat(a, F.array(F.struct(x["b"].alias("b"), F.coalesce(F.get(a, F.size(a) - 1)["next"], F.lit(0.0)).alias("after"), (x["s"] + rate**BLOCK * F.coalesce(F.get(a, F.size(a) - 1)["next"], F.lit(0.0))).alias("next"))))
-    afters = totals.select(traj, F.explode(F.aggregate("__t", none, step)).alias("x")).select(traj, F.col("x.b").alias("__b"), F.col("x.after").alias("__after"))
-    local = F.sum(part).over(Window.partitionBy(traj, "__b").orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.col("__r")
-    both = own.withColumn("__l", local).join(afters, [traj, "__b"])
-    return both.withColumn(name, F.col("__l") + F.pow(F.lit(rate), (F.col("__b") + 1) * BLOCK - F.col("__c")) * F.col("__after")).drop("__v", "__c", "__b", "__r", "__l", "__after")
+    none = F.array().cast("array<struct<b:bigint," + ",".join(f"after{i}:double,next{i}:double" for i in n) + ">>")
+
+    def step(a: Column, x: Column) -> Column:
+        after = [F.coalesce(F.get(a, F.size(a) - 1)[f"next{i}"], F.lit(0.0)) for i in n]
+        return F.concat(a, F.array(F.struct(x["b"].alias("b"), *(c for i in n for c in (after[i].alias(f"after{i}"), (x[f"s{i}"] + some[i][2] ** BLOCK * after[i]).alias(f"next{i}"))))))
+
+    afters = totals.select(traj, F.explode(F.aggregate("__t", none, step)).alias("x")).select(traj, F.col("x.b").alias("__b"), *(F.col(f"x.after{i}").alias(f"__after{i}") for i in n))
+    inner = Window.partitionBy(traj, "__b").orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = parts.withColumns({f"__l{i}": F.sum(f"__p{i}").over(inner) for i in n})
+    both = local.join(afters, [traj, "__b"])
+    left = (F.col("__b") + 1) * BLOCK - F.col("__c")
+    out = both.withColumns({name: F.col(f"__l{i}") / F.pow(F.lit(rate), into) + F.pow(F.lit(rate), left) * F.col(f"__after{i}") for i, (name, _, rate) in enumerate(some)})
+    return out.drop("__c", "__b", *(f"__{c}{i}" for c in ("p", "l", "after") for i in n))
 
 
 def whiten(df: DataFrame, value: str, mask: str, batch: list[str] | None = None, eps: float = 1e-8) -> DataFrame:
@@ -55,8 +73,7 @@ def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
     on = F.col("mask") > 0
     after = F.coalesce(F.last(F.when(on, F.col("value")), ignorenulls=True).over(w), F.lit(0.0))
     out = df.withColumn("__d", F.when(on, F.col("reward") + gamma * after - F.col("value")).otherwise(0.0))
-    out = discounted(out, F.col("__d"), F.col("mask"), gamma * lam, "advantage").drop("__d")
-    return discounted(out, F.when(on, F.col("reward")).otherwise(0.0), F.col("mask"), gamma, "return")
+    return discounted_all(out, {"advantage": (F.col("__d"), gamma * lam), "return": (F.when(on, F.col("reward")).otherwise(0.0), gamma)}, F.col("mask")).drop("__d")
 
 
 def until_eos(token: Column, eos: Column, traj: str = "traj_id", pos: str = "pos") -> Column:
