@@ -506,3 +506,9 @@ def located_answer(c: Column) -> Column:
     for mark in VALUE_AFTER:
         state = bound(state, cut(mark, after))
     return bound(state, lambda s: F.struct((s["m"] & s["c"].rlike(r"\p{Nd}")).alias("matched"), s["c"].alias("answer")))
+
+
+def geometry_score(reply: Column, truth: Column) -> Column:
+    """Nine tenths for the last box if it is the truth (math_equal), one tenth for the format."""
+    held = bound(last_boxed(reply), unboxed)
+    return 0.9 * F.when(bound(held, lambda h: F.coalesce(math_equal(h, truth), F.lit(False))), 1.0).otherwise(0.0) + 0.1 * geometry_format(reply)

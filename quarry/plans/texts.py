@@ -295,3 +295,13 @@ def t26_t29_final_answers(spark, d) -> DataFrame:
     twice = lambda e: e.replace("\\", "\\\\")
     rows = table(spark, d, "orders").selectExpr("o_orderkey", f"{twice(REPLIED)} as c", f"{twice(MEANT)} as truth")
     return rows.select("o_orderkey", text.final_score(F.col("c"), F.col("truth")).alias("s")).select("o_orderkey", "s.score", "s.acc", "s.pred")
+
+
+@query("select o_orderkey, round(case when o_orderkey % 5 in (0, 1) or o_orderkey % 5 = 2 and o_custkey % 2 = 0 then 0.9 else 0.0 end + case when o_orderkey % 5 in (0, 2, 3) then 0.1 else 0.0 end, 6) as score from orders")
+def t33_geometry_score(spark, d) -> DataFrame:
+    k, n = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    box = lambda x: F.concat(F.lit("\\boxed{"), x, F.lit("}"))
+    thought = F.lit("<think>a\nb</think> so ")
+    c = F.when(k == 0, F.concat(thought, box(F.concat(n, F.lit(".0"))))).when(k == 1, F.concat(F.lit("so "), box(F.concat(n, F.lit("0e-1"))))).when(k == 2, F.concat(thought, box(F.concat(F.lit("1000"), (F.col("o_custkey") - F.col("o_custkey") % 2).cast("string"))))).when(k == 3, F.concat(thought, box(F.lit("none")))).otherwise(F.concat(F.lit("no box "), n))
+    truth = F.when(k == 2, F.concat(F.lit("1000"), F.when(F.col("o_custkey") % 2 == 0, n).otherwise("x"))).otherwise(n)
+    return table(spark, d, "orders").select("o_orderkey", F.round(text.geometry_score(c, truth), 6).alias("score"))
