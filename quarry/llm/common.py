@@ -167,47 +167,50 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
     of the buckets that they share, so that rounds after the careful ones compare them there only:
     members of different components are compared in each bucket that has both.
     """
-    spark, tables, old = members.sparkSession, [], []
+    spark, held = members.sparkSession, []
     for turn in range(turns):
         part = members.where(F.pmod("bucket", F.lit(turns)) == turn) if turns > 1 else members
         shared = part.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("bucket", "centre")
-        table, path = written(part.join(shared.hint("shuffle_hash"), "bucket"), what + "-buckets")
-        tables.append(table)
-        old.append(path)
-    held = reduce(DataFrame.unionByName, tables)
-    volume = held.count()
+        held.append(written(part.join(shared.hint("shuffle_hash"), "bucket"), what + "-buckets"))
+    all_ = reduce(DataFrame.unionByName, (table for table, _ in held))
+    volume = all_.count()
     if not volume:
-        drop_path(spark, *old, *spent)
+        drop_path(spark, *(path for _, path in held), *spent)
         return joined_components(None, also if also is not None else spark.createDataFrame([], "a long, b long"), what)[0]
-    mark, path = written(marks.join(held.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), what + "-marks")
-    old.append(path)
+    mark, mark_path = written(marks.join(all_.select("id").distinct().hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), what + "-marks")
     drop_path(spark, *spent)
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near, path = written(pairs, what + "-near")
+    def taken_in(known: DataFrame | None, pairs: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, str]:
+        """known after the pairs that are confirmed, and more links. Nothing else that is written for it stays."""
+        near, near_path = written(pairs, what + "-near")
         confirm = prepare(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct())
         links, links_path = written(confirm(near), what + "-links")
-        drop_path(spark, path)
-        old.append(links_path)
-        return links
+        drop_path(spark, near_path)
+        out = joined_components(known, links if more is None else links.unionByName(more), what)
+        drop_path(spark, links_path)
+        return out
 
-    star = held.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    star = all_.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     for side in ("a", "b"):
         star = star.join(mark.select(F.col("id").alias(side), F.col("mark").alias(f"mark_{side}")), side)
-    links = confirmed(star.where(close(F.col("mark_a"), F.col("mark_b"))).select("a", "b"))
-    comp, comp_path = joined_components(None, links if also is None else links.unionByName(also), what)
-    left, rounds = held.where("id <> centre").select("bucket", "id").distinct(), 0
+    comp, comp_path = taken_in(None, star.where(close(F.col("mark_a"), F.col("mark_b"))).select("a", "b"), also)
+    # (bucket, id) still to be compared, in parts of whole buckets, each with the tables that it is read from
+    left, rounds = [(table.where("id <> centre").select("bucket", "id"), [path]) for table, path in held], 0
     while True:
-        named, named_path = written(left.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), what + "-named")
-        per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        most = per.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("total")).where("parts > 1").select("bucket", "main", "total")
-        open_, open_path = written(named.join(most, "bucket"), what + "-open")
-        drop_path(spark, named_path)
-        old.append(open_path)
+        opened = []
+        for rows, read in left:
+            named, named_path = written(rows.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), what + "-named")
+            drop_path(spark, *read)
+            per = named.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+            most = per.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("total")).where("parts > 1").select("bucket", "main", "total")
+            opened.append(written(named.join(most, "bucket"), what + "-open"))
+            drop_path(spark, named_path)
+        open_ = reduce(DataFrame.unionByName, (table for table, _ in opened))
+        open_paths = [path for _, path in opened]
         outside = open_.where("component <> main")
         todo = outside.agg(F.count("*").alias("n"), F.sum("total").alias("pairs")).first()
         if not todo["n"]:
-            drop_path(spark, *old)
+            drop_path(spark, *open_paths, mark_path)
             return comp
         most, rounds = volume * (min(spend, 1) if rounds < careful else spend), rounds + 1
         if todo["pairs"] > most:
@@ -215,7 +218,6 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
             least = outside.groupBy("bucket").agg(F.min("id").alias("least"))
             outside = outside.join(least, "bucket").where((F.col("id") == F.col("least")) | (F.pmod(F.xxhash64("id"), F.lit(2**30)) < share))
         centres, path = written(outside.select("bucket", F.col("id").alias("centre"), F.col("component").alias("own"), "total").join(mark.select(F.col("id").alias("centre"), F.col("mark").alias("own_mark")), "centre"), what + "-centres")
-        old.append(path)
         work = centres.groupBy("bucket").agg(F.ceil(F.sum("total") / F.lit(2.0**18)).alias("deals"))
         dealt = centres.join(work, "bucket").withColumn("deal", F.pmod(F.xxhash64("centre"), "deals"))
         others = open_.select("bucket", "id", "component").join(mark, "id").join(work, "bucket").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1))).drop("deals")
@@ -225,8 +227,7 @@ def star_components(members: DataFrame, marks: DataFrame, close, prepare, what:
         if home is not None and rounds > careful:
             apart = apart & (home(F.col("own_mark"), F.col("mark")) == F.col("bucket"))
         pairs = dealt.hint("merge").join(others, ["bucket", "deal"]).where(apart & close(F.col("own_mark"), F.col("mark"))).select(F.least("centre", "id").alias("a"), F.greatest("centre", "id").alias("b")).distinct()
-        newer, new_path_ = joined_components(comp, confirmed(pairs), what)
+        newer, newer_path = taken_in(comp, pairs)
         drop_path(spark, comp_path)
-        comp, comp_path = newer, new_path_
-        left = open_.select("bucket", "id").join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti")
-
+        comp, comp_path = newer, newer_path
+        left = [(open_.select("bucket", "id").join(centres.select("bucket", F.col("centre").alias("id")), ["bucket", "id"], "left_anti"), [*open_paths, path])]

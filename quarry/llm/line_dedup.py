@@ -160,10 +160,13 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found, found_path = written(sketches(few), "line-sketches")
     marks = found.select(F.col("key").alias("id"), F.struct("n", "k0", "k1", "by_words", "shape").alias("mark"))
 
+    candidates: list[str] = []
+
     def prepare(ids: DataFrame):
+        drop_path(spark, *candidates)  # of the round before
         chosen = few.join(ids.select(F.col("id").alias("key")).hint("shuffle_hash"), "key", "left_semi")
         table, chosen_path = written(chosen.groupBy("key").agg(F.max("line").alias("line")).withColumn("coded", coded(F.col("line"))), "line-candidates")
-        made.append(chosen_path)
+        candidates[:] = [chosen_path]
 
         def confirm(pairs: DataFrame) -> DataFrame:
             for side in ("a", "b"):
@@ -178,7 +181,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     heads = grouped.groupBy("component").agg(F.min("occ").alias("head"))
     judged, judged_path = written(grouped.join(heads, "component").select("key", "head"), "line-heads")
     gone, _ = written(join_spread(each, judged, "key", hot).where("occ <> head").select("id", "of", "pos"), "line-gone")
-    drop_path(spark, *made, judged_path)
+    drop_path(spark, *made, *candidates, judged_path)
     return gone
 
 
