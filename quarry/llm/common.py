@@ -141,7 +141,13 @@ def joined_components(known: DataFrame | None, links: DataFrame, what: str) -> t
     return written(all_.join(merged.select(F.col("id").alias("old"), "component"), "old", "left").select("id", F.coalesce("component", "old").alias("component")), what)
 
 
-def star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256, turns: int = 1, spent: tuple[str, ...] = (), careful: int = 0, home=None) -> DataFrame:
+def star_components(members: DataFrame, *args, **options) -> DataFrame:
+    """_star_components, in which every action's shuffle files go as it ends."""
+    with shuffles_freed(members.sparkSession):
+        return _star_components(members, *args, **options)
+
+
+def _star_components(members: DataFrame, marks: DataFrame, close, prepare, what: str, also: DataFrame | None = None, spend: int = 256, turns: int = 1, spent: tuple[str, ...] = (), careful: int = 0, home=None) -> DataFrame:
     """(id, component) under the links that are accepted among ids sharing a bucket, without emitting all pairs.
 
     members: (bucket, id), ids may be in many buckets; they are dealt out in `turns`
