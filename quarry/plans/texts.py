@@ -141,7 +141,7 @@ def t27_named_answer(spark, d) -> DataFrame:
 @query("select o_orderkey, case when o_orderkey % 3 = 2 then false else true end as same, case when o_orderkey % 2 = 0 then 1.0 else 0.0 end as format from orders")
 def t32_t33_numbers_and_format(spark, d) -> DataFrame:
     n, k = F.col("o_custkey"), F.col("o_orderkey")
-    b = F.when(k % 3 == 0, F.concat(n.cast("string"), F.lit("%"))).when(k % 3 == 1, (n / 100.0).cast("decimal(18,4)").cast("string")).otherwise((n + 5000000).cast("string"))
+    b = F.when(k % 3 == 0, F.concat(n.cast("string"), F.lit("%"))).when(k % 3 == 1, (n / 100.0).cast("decimal(18,4)").cast("string")).otherwise((7 * n + 3).cast("string"))  # never n, a hundredth or a hundredfold of it
     c = F.when(k % 2 == 0, F.concat(F.lit("<think>a\nb</think> so \\boxed{"), n.cast("string"), F.lit("} \n"))).otherwise(F.lit("<think>a</think> \\boxed 3"))
     return table(spark, d, "orders").select("o_orderkey", text.same_number(n.cast("string"), b).alias("same"), text.geometry_format(c).alias("format"))
 
