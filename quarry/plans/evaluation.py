@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import geometry
-from quarry.operators import batch, groups, scans
+from quarry.operators import batch, groups, nearest, scans
 from quarry.plans.catalog import query, r6
 from quarry.tables import SCORES_SQL, TOKENS_SQL, scores, table, tokens
 
@@ -187,13 +187,6 @@ def o10_retrieval(spark, d) -> DataFrame:
     """The three nearest of every 20th vector by cosine; the queries are a stated set against all rows."""
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    c = dot(F.col("v"), F.col("embedding")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("embedding"), F.col("embedding")))
-    # blocks of about 1000 queries meet slices of the rows; of each task's rows three a query are left before they are sorted
-    blocks, slices = max(1, -(-q.count() // 1000)), 16
-    spread = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    asked = q.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), spread("slice", slices))
-    rows = e.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(slices)).cast("int").alias("slice"), spread("block", blocks))
-    s = rows.join(asked, ["block", "slice"]).where("query_id <> vec_id").select("query_id", "vec_id", F.round(c, 9).alias("c"))
+    s = nearest.candidates(q, e, 3).withColumn("c", F.round("c", 9))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
     return s.withColumn("place", place.cast("long")).where("place <= 3").select("query_id", "vec_id", "place")
