@@ -136,11 +136,12 @@ def k6_k7_logged_trajectories(spark, d) -> DataFrame:
 
 @query("select s_suppkey from supplier where s_suppkey % 4 <> 1")
 def k13_files_not_kept(spark, d) -> DataFrame:
-    """What a clean-up would delete: files whose name isn't in the set kept. They are listed, not deleted."""
+    """What a clean-up would delete: files whose name isn't in the set kept. They are listed, not deleted; a file holds many suppliers, all to be kept or none."""
     path, s = files.new_folder(spark, "kept"), table(spark, d, "supplier").select("s_suppkey", "s_name")
-    s.write.option("maxRecordsPerFile", 1).json(path)
+    for part in ("s_suppkey % 4 = 1", "s_suppkey % 4 <> 1"):
+        s.where(part).write.mode("append").option("maxRecordsPerFile", files.ROWS_A_FILE).json(path)
     held = spark.read.schema("s_suppkey long").json(path).select("s_suppkey", F.col("_metadata.file_name").alias("file_name"))
-    kept = held.where("s_suppkey % 4 = 1").select("file_name")
+    kept = held.where("s_suppkey % 4 = 1").select("file_name").distinct()
     gone = loaders.listed(spark, path).where(F.col("file_name").startswith("part-")).join(kept, "file_name", "left_anti")
     return gone.join(held, "file_name").select("s_suppkey")
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from quarry import shared
 
 
+#: Rows of a file that a query writes for itself: a file each would cost more than what is in it.
+ROWS_A_FILE = 1000
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A folder that all executors see, below the session's shared one."""
     return f"{shared.root(spark)}/quarry-{what}-{uuid.uuid4().hex}"
