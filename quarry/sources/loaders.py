@@ -49,14 +49,14 @@ def with_existing(df: DataFrame, path: Column, images: str) -> DataFrame:
 
 
 @loader("paired")
-def paired(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("direct_attributes", "relative_position"), name: str = r"^(.*)\.[^./]*$", contents: bool = False) -> DataFrame:
-    """Images with a JSON file beside each, in a folder for each kind; the first option is the answer. name: what of a path both files have alike. Images without a file, and files without an image, are left out."""
+def paired(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("direct_attributes", "relative_position"), name: str = r"^(.*)\.[^./]*$", contents: bool = False, lines: bool = False) -> DataFrame:
+    """Images with a JSON file (or JSON Lines) beside each, in a folder for each kind; the first option is the answer. name: what of a path both files have alike. Images without a file, and files without an image, are left out."""
     schema = "question string, options array<string>, bbox array<array<double>>, target_object array<string>"
     stem = lambda c: F.regexp_extract(c, name, 1)
     found = []
     for kind in kinds:
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{path}/{kind}").where(~F.col("path").endswith(".json"))
-        notes = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).json(f"{path}/{kind}").select("*", stem(F.col("_metadata.file_path")).alias("stem"))
+        notes = spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", not lines).json(f"{path}/{kind}").select("*", stem(F.col("_metadata.file_path")).alias("stem"))
         found.append(files.select(F.col("path").alias("image_path"), *(["content"] if contents else []), stem(F.col("path")).alias("stem")).join(notes, "stem").withColumn("test_type", F.lit(kind)))
     out = found[0]
     for more in found[1:]:
