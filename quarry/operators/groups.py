@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.tables import dealt_out
+
 
 def grpo_advantage(df: DataFrame, group: str = "uid", score: str = "score", by_std: bool = True, eps: float = 1e-6) -> DataFrame:
     """(score - mean) / (sample std + eps) within the group; a group of one has mean 0 and std 1."""
@@ -50,7 +52,11 @@ def preference_accuracy(df: DataFrame, group: str, score: str, acc: str, order:
     never without an order. A difference in acc is the sum of the steps between its
     levels, so at each level rows above it count the rows below that stand before them in
     the order of scores: rows times levels less one (one for right and wrong), no pairs.
+    Their number is counted first, and the groups are dealt out by it.
     """
+    per_level = df.groupBy(group, acc).agg(F.count("*").alias("__n"))
+    pairs = per_level.groupBy(group).agg((F.sum("__n") * F.count("*")).alias("__pairs")).agg(F.sum("__pairs")).first()[0] or 0
+    df = dealt_out(df, int(pairs), group)
     levels = df.where(F.col(acc).isNotNull()).select(group, F.col(acc).cast("double").alias("__t")).distinct()
     steps = levels.withColumn("__gap", F.lead("__t").over(Window.partitionBy(group).orderBy("__t")) - F.col("__t")).where("__gap is not null")
     at = df.select(group, score, F.col(acc).alias("__acc"), *([order] if order else [])).join(steps, group)

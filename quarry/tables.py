@@ -18,20 +18,19 @@ TOKENS_SQL = """tokens as (select o_custkey as uid, o_orderkey as traj_id, row_n
 ROWS_A_TASK = 1 << 18
 
 
-def parts_of(*tables: DataFrame) -> int:
-    """Partitions of ROWS_A_TASK rows of the largest table; rows are counted from the files' footers."""
-    return max(1, *(-(-t.count() // ROWS_A_TASK) for t in tables))
+def dealt_out(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """df by its key in partitions of about ROWS_A_TASK of the rows that come of it; few are left to Spark's own sizes."""
+    n = -(-rows // ROWS_A_TASK)
+    return df.repartition(n, key) if n > 8 else df
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(uid, traj_id, pos, reward, value, mask, kl): a lineitem is a token, an order a trajectory, a customer a prompt. Dealt out by trajectory, which serves scans along it too."""
     at = Window.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     orders, items = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), table(spark, sf_dir, "lineitem")
-    n = parts_of(orders, items)
+    n = max(orders.count(), items.count())  # from the files' footers
     items = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_tax")
-    if n > 8:  # few rows are left to Spark's own sizes
-        orders, items = orders.repartition(n, "o_orderkey"), items.repartition(n, "l_orderkey")
-    both = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    both = dealt_out(orders, n, "o_orderkey").join(dealt_out(items, n, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     return both.select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").alias("traj_id"), F.row_number().over(at).cast("long").alias("pos"), F.col("l_quantity").alias("reward"), (F.col("l_discount") * 10).alias("value"), F.when(F.col("l_returnflag") != "R", 1).otherwise(0).alias("mask"), F.col("l_tax").alias("kl"))
 
 
