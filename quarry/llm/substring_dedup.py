@@ -19,12 +19,15 @@ document with a smaller id. Three passes, each over buckets of bounded size:
 
 Equal windows have equal grams, so a bucket decides alone. A gram of any
 frequency adds to its bucket the anchors of one document for each context and
-batch of about 4 MB of text, not those of every document that has it.
+batch of about 4 MB of text, not those of every document that has it. Each pass
+goes in turns (TURNS), pass 1 by gram and the others by document, so the disk holds
+the shuffle files of one turn; texts are read, and anchors found, once a turn.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm import spans
 from quarry.llm.anchors import anchors
-from quarry.llm.common import wide, written
+from quarry.llm.common import drop_path, wide, written
 from quarry.llm.suffix_groups import suffix_array
 
 LAST_ID = 2**63 - 1
 #: Bytes put in suffix order at once; grams are not split, so a gram's contexts may exceed it.
 BLOCK = 1 << 15
+#: Grams, and then documents, are dealt out in so many turns: one turn's shuffle files are gone before the next.
+TURNS = 3
 #: Kinds of packed columns: document, row key, first window, windows; then the gram. SENT: gram, context (48 bits), first window, windows; ids and keys of the senders; for each anchor 1 if the next sender's begin, and 2 if its gram was in several documents of the task.
 #: An anchor's number of windows is under `width`, at most 255; 32 bits of the gram, its bucket and 48 bits of the context name a context.
 MARKS = (np.int64, np.int64, np.uint32, np.uint32)
@@ -83,8 +88,8 @@ ROWS = "bucket long, kind int, data binary"
 SETTLED, ASK = 1, 2
 
 
-def find_anchors(rows: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Settled windows by bucket of their document, and other anchors by bucket of their gram: the sending documents' ids and row keys, the anchors' columns, and whether the gram was in several documents."""
+def find_anchors(rows: DataFrame, width: int, buckets: int, turns: int = 1, turn: int = 0) -> DataFrame:
+    """Settled windows by bucket of their document, and other anchors by bucket of their gram: the sending documents' ids and row keys, the anchors' columns, and whether the gram was in several documents. Of several turns, those of one's grams."""
 
     def run(parts):
         for part in parts:
@@ -92,6 +97,9 @@ def find_anchors(rows: DataFrame, width: int, buckets: int) -> DataFrame:
                 x = part.slice(i, j - i)
                 doc, key = x.column("id").to_numpy(), x.column("of").to_numpy()
                 text, first, last, _, gram, context = long_safe(x.column("text"), width)
+                if turns > 1:
+                    mine = (gram >> np.uint64(36)) % np.uint64(turns) == turn
+                    text, first, last, gram, context = (c[mine] for c in (text, first, last, gram, context))
                 if not len(text):
                     continue
                 # the smallest document of each context in this batch speaks for it, the others' are settled
@@ -174,16 +182,20 @@ def settle(found: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("bucket").applyInArrow(run, ROWS)
 
 
-def beside_texts(rows: DataFrame, marks: DataFrame, handle, schema: str, buckets: int) -> DataFrame:
-    """handle(marks' blobs of a bucket, its texts as record batches) over all buckets: both are dealt out by document and marks sorted before texts."""
+def beside_texts(rows: DataFrame, marks: DataFrame, handle, schema: str, buckets: int, turns: int = 1, turn: int = 0) -> DataFrame:
+    """handle(marks' blobs of a bucket, its texts as record batches) over all buckets, or those of a turn: both are dealt out by document and marks sorted before texts."""
     spark = rows.sparkSession
 
     def number(parts):
         for part in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(dealt(part.column("id").to_numpy(), buckets)), pa.array(np.full(part.num_rows, 9, np.int32)), pa.nulls(part.num_rows, pa.binary()), part.column("id"), part.column("of"), part.column("raw"), part.column("text")], ["bucket", "kind", "data", "id", "of", "raw", "text"])
+            to = dealt(part.column("id").to_numpy(), buckets)
+            if turns > 1:
+                mine = to % turns == turn
+                to, part = to[mine], part.filter(pa.array(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(part.num_rows, 9, np.int32)), pa.nulls(part.num_rows, pa.binary()), part.column("id"), part.column("of"), part.column("raw"), part.column("text")], ["bucket", "kind", "data", "id", "of", "raw", "text"])
 
     texts = rows.select("id", "of", "raw", "text").mapInArrow(number, ROWS + ", id long, of long, raw long, text string")
-    both = marks.select("bucket", "kind", "data", *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("of", "long"), ("raw", "long"), ("text", "string")))).unionByName(texts)
+    both = marks.where(F.pmod("bucket", F.lit(turns)) == turn).select("bucket", "kind", "data", *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("of", "long"), ("raw", "long"), ("text", "string")))).unionByName(texts)
     both = both.repartition(wide(spark), "bucket").sortWithinPartitions("bucket", "kind")
 
     def run(parts):
@@ -202,8 +214,8 @@ def beside_texts(rows: DataFrame, marks: DataFrame, handle, schema: str, buckets
     return both.mapInArrow(run, schema)
 
 
-def fetch(rows: DataFrame, marks: DataFrame, width: int, buckets: int) -> DataFrame:
-    """The bytes of the contexts asked for, by bucket of their gram."""
+def fetch(rows: DataFrame, marks: DataFrame, width: int, buckets: int, turns: int = 1, turn: int = 0) -> DataFrame:
+    """The bytes of the contexts asked for, by bucket of their gram; of several turns, those in one's documents."""
 
     def handle(blobs, texts):
         doc, key, first, many, gram = gathered([b for k, b in blobs if k == ASK], ASKED)
@@ -224,7 +236,7 @@ def fetch(rows: DataFrame, marks: DataFrame, width: int, buckets: int) -> DataFr
                 raw = lambda mine: (data[np.repeat(places[mine] - np.r_[0, np.cumsum(size[mine])[:-1]], size[mine]) + np.arange(size[mine].sum())],)
                 yield send(dealt(gram[picks], buckets), 0, [c[picks] for c in (doc, key, first, many, gram)], raw)
 
-    return beside_texts(rows, marks.where(F.col("kind") == ASK), handle, ROWS, buckets)
+    return beside_texts(rows, marks.where(F.col("kind") == ASK), handle, ROWS, buckets, turns, turn)
 
 
 def decide(contexts: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -327,8 +339,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(raw, F.lit(LAST_ID)).alias("id"), F.xxhash64(text).alias("of"), raw.alias("raw"), text.alias("text"))
-    marks, _ = written(settle(find_anchors(rows, width, buckets), buckets), "anchor-marks")
-    more, _ = written(decide(fetch(rows, marks, width, buckets), width, buckets), "suffix-marks")
+
+    def in_turns(one, what: str) -> tuple[DataFrame, list[str]]:
+        tables = [written(one(TURNS, turn), what) for turn in range(TURNS)]
+        return reduce(DataFrame.unionByName, (table for table, _ in tables)), [path for _, path in tables]
+
+    marks, marks_paths = in_turns(lambda n, i: settle(find_anchors(rows, width, buckets, n, i), buckets), "anchor-marks")
+    contexts, contexts_paths = in_turns(lambda n, i: fetch(rows, marks, width, buckets, n, i), "contexts")
+    more, more_path = written(decide(contexts, width, buckets), "suffix-marks")
+    drop_path(spark, *contexts_paths)
 
     def handle(blobs, texts):
         doc, key, first, many = gathered([b for _, b in blobs], MARKS)
@@ -356,7 +375,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(cols, names)
 
     done = marks.where(F.col("kind") == SETTLED).unionByName(more)
-    out = beside_texts(rows, done, handle, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text, buckets)
+    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
+    if with_text:  # a table of the texts would be as large as their shuffle files
+        out = beside_texts(rows, done, handle, schema, buckets)
+    else:
+        out, _ = in_turns(lambda n, i: beside_texts(rows, done, handle, schema, buckets, n, i), "cut")
+        drop_path(spark, *marks_paths, more_path)
     return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
