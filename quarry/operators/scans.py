@@ -55,13 +55,21 @@ def discounted_all(df: DataFrame, sums: dict[str, tuple[Column, float]], steps:
     return out.drop("__c", "__b", *(f"__{c}{i}" for c in ("p", "l", "after") for i in n))
 
 
-def whiten(df: DataFrame, value: str, mask: str, batch: list[str] | None = None, eps: float = 1e-8) -> DataFrame:
-    """(value - mean) * rsqrt(var + eps), mean and Bessel-corrected variance over masked tokens of a batch; one small row a batch is joined back."""
-    batch = batch or []
-    on = F.col(mask) > 0
-    stats = df.groupBy(*batch).agg(F.avg(F.when(on, F.col(value))).alias("__m"), F.var_samp(F.when(on, F.col(value))).alias("__v"))
+def whiten(df: DataFrame, value: str | list[str], mask: str, batch: list[str] | None = None, eps: float = 1e-8) -> DataFrame:
+    """(value - mean) * rsqrt(var + eps), mean and Bessel-corrected variance over masked tokens of a batch; one small row a batch is joined back. Several columns share it, each with its own moments."""
+    batch, values = batch or [], [value] if isinstance(value, str) else value
+    on, n = F.col(mask) > 0, range(len(values))
+    stats = df.groupBy(*batch).agg(*(f(F.when(on, F.col(v))).alias(f"__{c}{i}") for i, v in enumerate(values) for c, f in (("m", F.avg), ("v", F.var_samp))))
     both = df.join(stats, batch) if batch else df.crossJoin(F.broadcast(stats))
-    return both.withColumn(value, (F.col(value) - F.col("__m")) / F.sqrt(F.col("__v") + eps)).drop("__m", "__v")
+    return both.withColumns({v: (F.col(v) - F.col(f"__m{i}")) / F.sqrt(F.col(f"__v{i}") + eps) for i, v in enumerate(values)}).drop(*(f"__{c}{i}" for c in "mv" for i in n))
+
+
+def differences(gamma: float) -> Column:
+    """A masked token's reward and discounted next value, less its value; 0 for others."""
+    w = Window.partitionBy("traj_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    on = F.col("mask") > 0
+    after = F.coalesce(F.last(F.when(on, F.col("value")), ignorenulls=True).over(w), F.lit(0.0))
+    return F.when(on, F.col("reward") + gamma * after - F.col("value")).otherwise(0.0)
 
 
 def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
@@ -69,10 +77,8 @@ def gae(df: DataFrame, gamma: float, lam: float) -> DataFrame:
 
     A masked-off token neither adds a difference nor takes a step: the next value and the running advantage pass over it. Returns are discounted sums of rewards, not advantage plus value.
     """
-    w = Window.partitionBy("traj_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     on = F.col("mask") > 0
-    after = F.coalesce(F.last(F.when(on, F.col("value")), ignorenulls=True).over(w), F.lit(0.0))
-    out = df.withColumn("__d", F.when(on, F.col("reward") + gamma * after - F.col("value")).otherwise(0.0))
+    out = df.withColumn("__d", differences(gamma))
     return discounted_all(out, {"advantage": (F.col("__d"), gamma * lam), "return": (F.when(on, F.col("reward")).otherwise(0.0), gamma)}, F.col("mask")).drop("__d")
 
 

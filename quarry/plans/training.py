@@ -18,13 +18,9 @@ AS_IT_IS = "select '{name}' as estimator, traj_id, pos, advantage from ({sql})"
 
 @query(" union all ".join(form.format(name=name, sql=ORACLE_SQL[q]) for name, form, q in (("grpo", ON_TOKENS, "g1_grpo_advantage"), ("rloo", ON_TOKENS, "g2_rloo"), ("reinforce_plus_plus_baseline", AS_IT_IS, "g3_reinforce_baseline"), ("reinforce_plus_plus", AS_IT_IS, "g4_reinforce_returns"), ("gae", AS_IT_IS, "g5_gae"), ("remax", AS_IT_IS, "g6_remax"))))
 def g8_advantages_by_name(spark, d) -> DataFrame:
-    t = tokens(spark, d)
     options = {"reinforce_plus_plus": {"gamma": 0.95}, "gae": {"gamma": 0.99, "lam": 0.95}, "remax": {"baseline": 10.0}}
-    out = None
-    for name in advantages.ESTIMATORS:
-        one = advantages.advantages(t, name, **options.get(name, {})).select(F.lit(name).alias("estimator"), "traj_id", "pos", r6("advantage").alias("advantage"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    out = advantages.advantages_of(tokens(spark, d), {name: options.get(name, {}) for name in advantages.ESTIMATORS})
+    return out.select("estimator", "traj_id", "pos", r6("advantage").alias("advantage"))
 
 
 TRIES = f"{SCORES_SQL}, t as (select uid, traj_id, score, case when score > 100 then 1 else 0 end as acc, traj_id % 6 as calls from scores)"
