@@ -3,25 +3,31 @@
 A word's vector is the sum of three rows of one hashed table: of the word, of
 its first four and of its first six bytes, so inflected forms share evidence.
 Filters of widths 1 to 3 run over the words, each filter's largest value in the
-document is kept (max pooling), and a logistic layer reads those. Thresholds
-are calibrated by language on labelled rows the fit has not seen; the language
+document is kept (max pooling), and a logistic layer reads those. The weights
+begin with a bounded sample; then every labelled row is learnt from once, where it
+lies, and the tasks' changes are averaged by their rows. Thresholds
+are calibrated by language on all labelled rows kept apart for that; the language
 is told from the text by counts of hashed words, never read from a column. The
 score is shifted so that every language's threshold lies at 0.5.
 """
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import spans
 from quarry.llm.common import drop_path, written
 from quarry.llm.lang_id import crc_mod, labelled_sample
 
-#: Bounds of the fit: labelled rows for each label, rows for calibration, characters of all rows that are learnt from, languages. Texts are used whole.
-ROWS_A_LABEL, ROWS_TO_CALIBRATE, CHARS_TO_LEARN, MOST_LANGUAGES = 3500, 4000, 48 << 20, 64
+#: Bounds of the start, which is learnt on the driver: labelled rows for each label, characters of all of them; and languages. Texts are used whole.
+ROWS_A_LABEL, CHARS_TO_LEARN, MOST_LANGUAGES = 3500, 48 << 20, 64
+#: Parts in which a task sends what it has learnt; steps of a logit that are told apart in calibration.
+PARTS, STEPS = 256, 256
 #: Words of a text that are convolved at once, and bytes that are cut into words at once.
 BLOCK_WORDS, BLOCK_BYTES = 1 << 16, 1 << 20
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, BATCH, RATE, PREFIXES = 1 << 16, 24, (1, 2, 3), 16, 5, 32, 0.02, (4, 6)
@@ -73,6 +79,21 @@ class Network:
         self.languages: list[str] = []
         self.evidence = np.zeros((BUCKETS, 0), np.float32)
         self.shift = np.zeros(1)
+        self.squares: list[np.ndarray] | None = None
+        self.bias_square = 1e-6
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.table, *self.filters, *self.bias, self.out]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([*(w.reshape(-1) for w in self.weights()), [self.out_bias]]).astype(np.float32)
+
+    def add(self, change: np.ndarray) -> None:
+        at = 0
+        for w in self.weights():
+            w += change[at : at + w.size].reshape(w.shape).astype(np.float32)
+            at += w.size
+        self.out_bias = np.float32(self.out_bias + change[at])
 
     def laid_out(self, rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word vectors with PAD zero rows after each text, and where each text starts (n + 1)."""
@@ -117,13 +138,13 @@ class Network:
         pooled[np.isneginf(pooled)] = 0
         return np.maximum(pooled, 0) @ self.out + self.out_bias
 
-    def train(self, texts: list[str], labels: np.ndarray, seed: int = 11) -> None:
+    def train(self, texts: list[str], labels: np.ndarray, seed: int = 11, epochs: int = EPOCHS) -> None:
+        """Takes the steps of epochs over the texts; called again, it goes on with the step sizes it had."""
         rng, order = np.random.default_rng(seed), np.arange(len(texts))
         cache: dict[int, np.ndarray] = {i: buckets(pa.array([t]))[0] for i, t in enumerate(texts)}
-        params = [self.table, *self.filters, *self.bias, self.out]
-        squares = [np.full(p.shape, 1e-6, np.float32) for p in params]
-        bias_square = 1e-6
-        for _ in range(EPOCHS):
+        params = self.weights()
+        squares = self.squares = self.squares or [np.full(p.shape, 1e-6, np.float32) for p in params]
+        for _ in range(epochs):
             rng.shuffle(order)
             for b in range(0, len(order), BATCH):
                 pick = [i for i in order[b : b + BATCH] if len(cache[i])]
@@ -164,15 +185,21 @@ class Network:
                 for param, grad, square in zip(params[1:], [*grads_w, *grads_b, grad_out], squares[1:], strict=True):
                     square += grad**2
                     param -= RATE * grad / np.sqrt(square)
-                bias_square += float(err.sum()) ** 2
-                self.out_bias = np.float32(self.out_bias - RATE * err.sum() / np.sqrt(bias_square))
+                self.bias_square += float(err.sum()) ** 2
+                self.out_bias = np.float32(self.out_bias - RATE * err.sum() / np.sqrt(self.bias_square))
 
     def learn_languages(self, texts: list[str], langs: list[str]) -> None:
-        self.languages = sorted(set(langs))
-        counts = np.full((BUCKETS, len(self.languages)), 0.5, np.float32)
+        names = sorted(set(langs))
+        counts = np.zeros((BUCKETS, len(names)))
         for t, name in zip(texts, langs, strict=True):
-            np.add.at(counts[:, self.languages.index(name)], buckets(pa.array([t]))[0][:, 0], 1)
-        self.evidence = np.log(counts / counts.sum(0)) if self.languages else counts
+            np.add.at(counts[:, names.index(name)], buckets(pa.array([t]))[0][:, 0], 1)
+        self.count_languages(names, counts)
+
+    def count_languages(self, names: list[str], counts: np.ndarray) -> None:
+        """counts: of hashed words, by language."""
+        self.languages = names
+        counts = counts.reshape(BUCKETS, len(names)) + 0.5
+        self.evidence = np.log(counts / counts.sum(0)).astype(np.float32) if names else counts.astype(np.float32)
 
     def language(self, rows: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Index of the likeliest language of each text; one past the last for a text without words, or when none is known."""
@@ -188,24 +215,25 @@ class Network:
             out[some] = total[some].argmax(1)
         return out
 
-    def calibrate(self, z: np.ndarray, lang: np.ndarray, labels: np.ndarray) -> None:
-        """The shift of each language, from logits, languages and labels of rows: the cut of most right labels, halfway between its neighbours; too few rows take that of all rows."""
+    def calibrate(self, z: np.ndarray, lang: np.ndarray, right0: np.ndarray, right1: np.ndarray) -> None:
+        """The shift of each language, from logits with their language and how many rows of label 0 and 1 have them: the cut of most right labels, halfway between its neighbours; too few rows take that of all rows."""
         self.shift = np.zeros(len(self.languages) + 1)
         if not len(z):
             return
 
-        def cut(z: np.ndarray, y: np.ndarray) -> float:
-            order = np.argsort(z)
-            z, y = z[order], y[order]
-            right = np.r_[0, np.cumsum(1 - y)] + np.r_[np.cumsum(y[::-1])[::-1], 0]
+        def cut(z: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> float:
+            z, of = np.unique(z, return_inverse=True)
+            n0, n1 = (np.bincount(of, n, len(z)) for n in (n0, n1))
+            right = np.r_[0, np.cumsum(n0)] + np.r_[np.cumsum(n1[::-1])[::-1], 0]
             ends = np.r_[z[0] - 1, (z[1:] + z[:-1]) / 2, z[-1] + 1]
             best = np.flatnonzero(right == right.max())
             return float(ends[best[len(best) // 2]])
 
-        self.shift[:] = cut(z, labels)
+        self.shift[:] = cut(z, right0, right1)
         for i in range(len(self.languages)):
-            if (mine := lang == i).sum() >= 200 and labels[mine].sum() >= 10:
-                self.shift[i] = cut(z[mine], labels[mine])
+            mine = lang == i
+            if (right0 + right1)[mine].sum() >= 200 and right1[mine].sum() >= 10:
+                self.shift[i] = cut(z[mine], right0[mine], right1[mine])
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, list[str]]:
         rows, own = buckets(texts)
@@ -215,24 +243,70 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60))), [names[i] for i in lang]
 
 
-def told(rows: DataFrame, run, schema: str) -> list:
-    """What run says of each row (t, y) of a bounded sample, worked out on executors: z and language don't need the texts on the driver."""
+def told(rows: DataFrame, run) -> list:
+    """How many rows (t, y) of each label have a logit and a language by run: logits are told apart to a STEPS-th, so what is collected is bounded however many rows there are."""
 
     def parts(batches):
         for part in batches:
             for i, j in spans.batches(part.column("t"), 2 << 20):
                 x = part.slice(i, j - i)
                 z, lang = run(x.column("t"))
-                yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.float64)), pa.array(lang.astype(np.int32)), x.column("y")], ["z", "lang", "y"])
+                step = np.round(np.clip(z.astype(np.float64), -60, 60) * STEPS)
+                yield pa.RecordBatch.from_arrays([pa.array(step.astype(np.int32)), pa.array(lang.astype(np.int32)), x.column("y")], ["z", "lang", "y"])
+
+    counts = rows.select("t", "y").mapInArrow(parts, "z int, lang int, y int").groupBy("z", "lang").agg(F.sum(1 - F.col("y")).alias("n0"), F.sum("y").alias("n1"))
+    return counts.orderBy("z", "lang").collect()
 
-    return rows.select("t", "y").mapInArrow(parts, schema).orderBy("z", "lang", "y").collect()
+
+def learnt_by_all(rows: DataFrame, net: Network, names: list[str]) -> None:
+    """net after each row (t, y, l) was learnt from once, and the words of each language of names counted.
+
+    A task goes on from net with its own rows, a few MB at a time, and sends how its weights changed; parts of the changes are
+    averaged by rows where they meet, so the driver gets one set of weights.
+    """
+    known = {name: i for i, name in enumerate(names)}
+
+    def run(batches):
+        own, counts, n = copy.deepcopy(net), np.zeros(BUCKETS * len(names)), 0
+        before = own.flat()
+        for part in batches:
+            for i, j in spans.batches(part.column("t"), 2 << 20):
+                x = part.slice(i, j - i)
+                n += x.num_rows
+                own.train(x.column("t").to_pylist(), x.column("y").to_numpy().astype(np.float32), epochs=1)
+                if names:
+                    words, at = buckets(x.column("t"))
+                    lang = np.repeat([known.get(v, -1) for v in x.column("l").to_pylist()], np.diff(at))
+                    counts += np.bincount(words[lang >= 0, 0].astype(np.int64) * len(names) + lang[lang >= 0], minlength=len(counts))
+        if n:
+            for kind, values in ((0, (own.flat() - before).astype(np.float16)), (1, counts.astype(np.float32))):
+                if len(values):
+                    each = np.array_split(values, PARTS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(PARTS, kind, np.int32)), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, n, np.int64)), pa.array([v.tobytes() for v in each], pa.binary())], ["kind", "part", "n", "data"])
+
+    def met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        kind, part = (k.as_py() for k in key)
+        n = table.column("n").to_numpy()
+        values = [np.frombuffer(d.as_py(), np.float32 if kind else np.float16).astype(np.float64) for d in table.column("data")]
+        total = sum(values) if kind else sum(v * m for v, m in zip(values, n, strict=True)) / n.sum()
+        return pa.table({"kind": pa.array([kind], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "kind int, part int, n long, data binary"
+    # in the order of a hash, so that a task learns the same whenever it runs
+    sent = rows.select("t", "y", "l").sortWithinPartitions(F.xxhash64("t"), "y", "l").mapInArrow(run, schema)
+    got = sent.groupBy("kind", "part").applyInArrow(met, schema).orderBy("kind", "part").collect()
+    change, counts = (np.concatenate([np.zeros(0), *(np.frombuffer(r["data"]) for r in got if r["kind"] == k)]) for k in (0, 1))
+    if len(change):
+        net.add(change)
+    net.count_languages(names, counts if len(counts) else np.zeros(BUCKETS * len(names)))
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "toxic", lang: str | None = "lang", calibrate=None) -> Network:
-    """A network learnt from labelled rows: null texts and labels other than 0 and 1 teach nothing.
+    """A network learnt from all labelled rows: null texts and labels other than 0 and 1 teach nothing.
 
-    calibrate: condition of the rows kept apart for thresholds; by default a fifth, by hash of the text. With no row at all the network is the untrained one.
-    Texts are whole. Of the sample, in the order of a hash, as many rows are learnt from as have CHARS_TO_LEARN characters; a row longer than a 64th of that isn't, as one text would outweigh the others.
+    calibrate: condition of the rows kept apart for thresholds, all of which count; by default a fifth, by hash of the text. With no row at all the network is the untrained one.
+    Texts are whole. The start is learnt from a bounded sample, in the order of a hash as many rows as have CHARS_TO_LEARN characters; then each row
+    is learnt from once. A row longer than a 64th of CHARS_TO_LEARN isn't, as one text would outweigh the others.
     """
     net = Network()
     rows = rows.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("l"), (calibrate if calibrate is not None else F.pmod(F.xxhash64(text), F.lit(5)) == 1).alias("apart")).where("t is not null and y in (0, 1)")
@@ -242,24 +316,18 @@ def fit(rows: DataFrame, text: str = "text", label: str = "toxic", lang: str | N
     chosen = [(r["y"], r["__at"]) for r in sizes[: int(np.searchsorted(total, CHARS_TO_LEARN, "right"))]]
     if chosen:
         keys = rows.sparkSession.createDataFrame(chosen, "y int, at long")
-        got = learnt.withColumn("at", F.xxhash64("t")).join(F.broadcast(keys), ["y", "at"]).groupBy("y", "at").agg(F.min(F.struct("t", "l")).alias("r")).select("y", "at", "r.*").orderBy("y", "at").collect()
-        texts, labels = [r["t"] for r in got], np.array([r["y"] for r in got], np.float32)
-        net.train(texts, labels)
-        known = [(r["t"], r["l"]) for r in got if r["l"] is not None]
-        common = sorted({x for _, x in known})[:MOST_LANGUAGES]
-        known = [x for x in known if x[1] in common]
-        net.learn_languages([x[0] for x in known], [x[1] for x in known])
-    apart = rows.where("apart").withColumn("at", F.xxhash64("t"))
-    held = labelled_sample(apart.withColumn("all", F.lit(1)), "all", ["t"], ROWS_TO_CALIBRATE, 1, [])
-    if held:
-        keys = rows.sparkSession.createDataFrame([(r["__at"],) for r in held], "at long")
-
-        def run(texts: pa.Array):
-            words, own = buckets(texts)
-            return net.logits(words, own), net.language(words, own)
-
-        judged = told(apart.join(F.broadcast(keys), "at").dropDuplicates(["at"]), run, "z double, lang int, y int")
-        net.calibrate(*(np.array([r[c] for r in judged]) for c in ("z", "lang", "y")))
+        got = learnt.withColumn("at", F.xxhash64("t")).join(F.broadcast(keys), ["y", "at"]).groupBy("y", "at").agg(F.min("t").alias("t")).orderBy("y", "at").collect()
+        net.train([r["t"] for r in got], np.array([r["y"] for r in got], np.float32))
+        names = learnt.where("l is not null").groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
+        learnt_by_all(learnt, net, sorted(r["l"] for r in names))
+        net.squares = None  # texts are scored without them
+
+    def run(texts: pa.Array):
+        words, own = buckets(texts)
+        return net.logits(words, own), net.language(words, own)
+
+    judged = told(rows.where("apart"), run)
+    net.calibrate(np.array([r["z"] for r in judged]) / STEPS, *(np.array([r[c] for r in judged], np.int64) for c in ("lang", "n0", "n1")))
     return net
 
 
@@ -280,23 +348,17 @@ def score(docs: DataFrame, net: Network, keep: list[str], text_col: str = "text"
     return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, apart: Column, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """docs with label, for the labels that fit() can use at most: chosen among ids and labels alone, so that texts are scanned but not shuffled.
-
-    apart: condition on the key of the rows kept for thresholds. At most 2 * ROWS_A_LABEL + ROWS_TO_CALIBRATE ids are broadcast. Null ids and labels other than 0 and 1 teach nothing.
-    """
-    usable = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isin(0, 1))
-    picked = labelled_sample(usable.where(~apart), label, [key], ROWS_A_LABEL, 2, [F.col(key)])
-    picked += labelled_sample(usable.where(apart).withColumn("all", F.lit(1)), "all", [key], ROWS_TO_CALIBRATE, 1, [F.col(key), F.col(label)])
-    chosen = docs.sparkSession.createDataFrame([(r[key], r[label]) for r in picked], usable.schema)
-    return docs.join(F.broadcast(chosen), key)
+def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """docs with label, for all labels that fit() can use: null ids and labels other than 0 and 1 teach nothing, a label said twice counts once."""
+    usable = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).distinct()
+    return docs.join(usable, key)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     fold = crc_mod(F.col("doc_id"), 5)
-    rows, path = written(sampled(docs, labels.where(fold != 0), fold == 1), "toxicity-sample")
+    rows, path = written(labelled(docs.where(fold != 0), labels.where(fold != 0)), "toxicity-labelled")
     net = fit(rows, calibrate=fold == 1)
     drop_path(spark, path)
     out = score(docs.withColumn("held_out", fold == 0), net, ["doc_id", "held_out"])
