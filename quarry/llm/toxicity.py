@@ -28,6 +28,8 @@ from quarry.llm.lang_id import crc_mod, labelled_sample
 ROWS_A_LABEL, CHARS_TO_LEARN, MOST_LANGUAGES = 3500, 48 << 20, 64
 #: Parts in which a task sends what it has learnt; steps of a logit that are told apart in calibration.
 PARTS, STEPS = 256, 256
+#: Documents meet their labels in so many turns, by id: one turn's shuffle files are gone before the next.
+TURNS = 3
 #: Words of a text that are convolved at once, and bytes that are cut into words at once.
 BLOCK_WORDS, BLOCK_BYTES = 1 << 16, 1 << 20
 BUCKETS, DIM, WIDTHS, FILTERS, EPOCHS, BATCH, RATE, PREFIXES = 1 << 16, 24, (1, 2, 3), 16, 5, 32, 0.02, (4, 6)
@@ -351,15 +353,24 @@ def score(docs: DataFrame, net: Network, keep: list[str], text_col: str = "text"
 def labelled(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic") -> DataFrame:
     """docs with label, for all labels that fit() can use: null ids and labels other than 0 and 1 teach nothing, a label said twice counts once."""
     usable = labels.select(key, label).where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).distinct()
-    return docs.join(usable, key)
+    # texts are shuffled whatever the number of labels, and not sorted
+    return docs.join(usable.hint("shuffle_hash"), key)
+
+
+def labelled_in_turns(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[DataFrame, list[str]]:
+    """labelled() as written tables, and their paths."""
+    mine = lambda rows, turn: rows.where(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(TURNS)) == turn)
+    tables = [written(labelled(mine(docs, turn), mine(labels, turn), key), "toxicity-labelled") for turn in range(TURNS)]
+    paths = [path for _, path in tables]
+    return docs.sparkSession.read.schema(tables[0][0].schema).parquet(*paths), paths
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     fold = crc_mod(F.col("doc_id"), 5)
-    rows, path = written(labelled(docs.where(fold != 0), labels.where(fold != 0)), "toxicity-labelled")
+    rows, paths = labelled_in_turns(docs.where(fold != 0), labels.where(fold != 0))
     net = fit(rows, calibrate=fold == 1)
-    drop_path(spark, path)
+    drop_path(spark, *paths)
     out = score(docs.withColumn("held_out", fold == 0), net, ["doc_id", "held_out"])
     return out

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup
+from quarry.llm import line_dedup, toxicity
 
 
 def test_folded_sketches_never_rule_out_what_sketches_allow(spark):
@@ -27,3 +27,14 @@ def test_folded_sketches_never_rule_out_what_sketches_allow(spark):
     n = {(r["near"], r["may"]): r["count"] for r in told}
     assert (True, False) not in n and n[True, True] > 50
     assert n[False, False] > 10 * n.get((False, True), 0)
+
+
+def test_documents_meet_their_labels_once_and_texts_are_not_sorted(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(500)] + [(None, "no id", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i % 400, i % 2) for i in range(0, 800, 2)] + [(7, 1), (7, 3), (None, 1), (900, 0)], "doc_id long, toxic int")
+    rows, paths = toxicity.labelled_in_turns(docs, labels)
+    assert len(paths) == toxicity.TURNS
+    usable = {(i % 400, i % 2) for i in range(0, 800, 2)} | {(7, 1)}
+    assert sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.collect()) == sorted((i, y, f"text {i}") for i, y in usable)
+    plan = toxicity.labelled(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
