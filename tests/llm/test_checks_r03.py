@@ -38,3 +38,18 @@ def test_documents_meet_their_labels_once_and_texts_are_not_sorted(spark):
     assert sorted((r["doc_id"], r["toxic"], r["text"]) for r in rows.collect()) == sorted((i, y, f"text {i}") for i, y in usable)
     plan = toxicity.labelled(docs, labels)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+
+
+def test_copies_of_a_line_are_one_member_of_each_block(spark, monkeypatch):
+    rng = random.Random(7)
+    lines = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(8)) for _ in range(400)]
+    docs = spark.createDataFrame([(3 * i + k, x) for i, x in enumerate(lines) for k in range(3)], "doc_id long, text string")
+    seen, search = [], line_dedup.star_components
+
+    def counted(members, marks, *args, **options):
+        seen.append((members.count(), members.distinct().count(), marks.count()))
+        return search(members, marks, *args, **options)
+
+    monkeypatch.setattr(line_dedup, "star_components", counted)
+    assert line_dedup.dedup_lines(docs).where("n_lines_removed = 1").count() == 800
+    assert seen[0][0] == seen[0][1] and seen[0][2] == 400
