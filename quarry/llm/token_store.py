@@ -61,46 +61,53 @@ def segment_root(digests: list[bytes], recipe, counts, tokens) -> bytes:
     return merkle([*(digests[i] for i in recipe), *(f"{c},{t}".encode() for c, t in zip(counts, tokens, strict=True))])
 
 
-def cuts(ids: np.ndarray) -> np.ndarray:
-    """Ends of the chunks of one document."""
+def cuts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ends of the chunks of documents whose ids lie one after the other, from at[i] to at[i + 1]; none is empty."""
     n = len(ids)
-    if n <= WINDOW:
-        return np.array([n] if n else [], np.int64)
-    up, down = spans.powers(n + 1)
-    sums = np.r_[np.uint64(0), np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * up[:n])]
-    h = spans.mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: n - WINDOW + 1])
-    ends = np.flatnonzero(h % np.uint64(MEAN) == 0) + WINDOW
-    ends = np.r_[ends[ends < n], n]
+    ends = at[1:]
+    if n > WINDOW:
+        up, down = spans.powers(n + 1)
+        sums = np.r_[np.uint64(0), np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * up[:n])]
+        h = spans.mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: n - WINDOW + 1])
+        hit = np.flatnonzero(h & np.uint64(MEAN - 1) == 0)  # MEAN is a power of two
+        of = np.searchsorted(at, hit, "right") - 1
+        inside = (of < len(at) - 1) & (hit + WINDOW < at[np.minimum(of + 1, len(at) - 1)])
+        ends = np.sort(np.r_[hit[inside] + WINDOW, ends])
     starts = np.r_[0, ends[:-1]]
-    if (ends - starts).max() > LONGEST:
+    if n and (ends - starts).max() > LONGEST:
         ends = np.concatenate([np.r_[np.arange(a + LONGEST, b, LONGEST), b] for a, b in zip(starts, ends, strict=True)])
     return ends
 
 
 def stage(docs: DataFrame, encoder: Encoder, end_id: int, kind: str) -> DataFrame:
+    def encoded(part):
+        """Slices of 2 MB, their ids and where each document's begin; encoded 8 MB at once, as words repeat."""
+        for i, j in spans.batches(part.column("text"), 8 << 20):
+            x = part.slice(i, j - i)
+            ids, at = encoder.encode_flat(x.column("text"))
+            for k, m in spans.batches(x.column("text"), 2 << 20):
+                yield x.slice(k, m - k), ids[at[k] : at[m]], at[k : m + 1] - at[k]
+
     def run(parts):
         task, seq = TaskContext.get().partitionId(), 0
-        end = np.array([end_id], "<u4").tobytes()
         pack = zstandard.ZstdCompressor(level=1)
         for part in parts:
-            for i, j in spans.batches(part.column("text"), 2 << 20):
-                x = part.slice(i, j - i)
+            for x, ids, at in encoded(part):
                 where: dict[bytes, int] = {}
-                tokens, counts, recipe, sizes, payload = [], [], [], [], []
-                for ids in encoder.encode(x.column("text").to_pylist()):
-                    ids = np.frombuffer(ids + end, "<u4")
-                    a, ends = 0, cuts(ids)
-                    for b in ends:
-                        own = ids[a:b].tobytes()
-                        key = digest(own)
-                        if key not in where:
-                            where[key] = len(where)
-                            sizes.append(b - a)
-                            payload.append(own)
-                        recipe.append(where[key])
-                        a = b
-                    tokens.append(len(ids))
-                    counts.append(len(ends))
+                recipe, sizes, payload = [], [], []
+                # the end id after each document
+                ids, at = np.insert(ids, at[1:], end_id).astype("<u4", copy=False), at + np.arange(len(at))
+                ends, data, a = cuts(ids, at), memoryview(ids.tobytes()), 0
+                tokens, counts = np.diff(at), np.diff(np.searchsorted(ends, at, "right"))
+                for b in ends.tolist():
+                    own = data[4 * a : 4 * b]
+                    key = digest(own)
+                    if key not in where:
+                        where[key] = len(where)
+                        sizes.append(b - a)
+                        payload.append(own)
+                    recipe.append(where[key])
+                    a = b
                 one = lambda v, t: pa.array([v], pa.list_(t))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(task << 32) + seq]), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.column("id")), one(tokens, pa.int64()), one(counts, pa.int32()), one(recipe, pa.int32()), one(list(where), pa.binary()), one(sizes, pa.int32()), pa.array([pack.compress(b"".join(payload))], pa.binary())],

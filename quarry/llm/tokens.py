@@ -4,7 +4,9 @@ Both byte-level tokenizers cut a text into pre-tokens and encode each alone, so
 a pre-token met before need not be encoded again: a worker keeps the ids of those
 met lately. Texts of ASCII and Latin
 letters are cut here by the file's own pattern with its character classes
-written out; only pre-tokens that aren't cached go to the library. Texts with
+written out; only pre-tokens that aren't cached go to the library.
+Encoder.encode_flat finds the cuts of a whole batch at once, on its bytes, and
+looks up each distinct pre-token once. Texts with
 any other character or an added token of the file (<|endoftext|>), and files
 with another pipeline, go to the library whole.
 """
@@ -16,6 +18,12 @@ import os
 import re
 import struct
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from quarry.llm import spans
+
 LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 WHITE = r"\t-\r "
 ODD = re.compile(rf"[^{WHITE}!-~{LATIN}]")
@@ -25,6 +33,14 @@ WORDS_CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^{WHITE}{LAT
 #: The byte-level alphabet, by its rule: printable bytes stand for themselves, the others for characters from 256 on, in order.
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTED)}
+#: Of a byte of UTF-8: 0 part of a letter, 1 digit, 2 another printed character, 3 white space; and whether ODD finds its character by it alone.
+LETTER, DIGIT, OTHER, SPACE = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+KINDS[48:58] = DIGIT
+KINDS[[32, *range(9, 14)]] = SPACE
+ODD_BYTES = np.ones(256, bool)
+ODD_BYTES[[*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = False
 #: Pre-tokens kept by a worker.
 MOST_CACHED = 400_000
 
@@ -61,6 +77,42 @@ class Words(dict):
             self.clear()
 
 
+def odd_texts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether ODD finds a character, for each text: bytes data[at[i]:at[i + 1]]."""
+    bad = ODD_BYTES[data]
+    lead, next_ = data[:-1], data[1:]
+    for first, second in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)):  # the signs of times and division, and the dotted capital I
+        bad[:-1] |= (lead == first) & (next_ == second)
+    out = np.zeros(len(at) - 1, bool)
+    out[np.searchsorted(at, np.flatnonzero(bad), "right") - 1] = True
+    return out
+
+
+def byte_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the matches of BYTES_CUT start in texts that ODD finds nothing in."""
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[at] = True
+    kind = KINDS[data]
+    start = first[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # the last white space before another character: a blank goes with it, any other is alone
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~first[1:n])
+    start[last] = True
+    start[last[data[last] == 32] + 1] = False
+    # 's 't 'm 'd 're 've 'll where a match starts with the apostrophe
+    quote = np.flatnonzero(data == 39)
+    quote = quote[start[quote] & ~first[quote + 1]]
+    one = data[quote + 1]
+    two = np.where(first[quote + 2 - first[quote + 1]], 0, data[np.minimum(quote + 2, n - 1)])
+    short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+    long_ = (((one == ord("r")) | (one == ord("v"))) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    start[quote[short | long_] + 1] = False
+    ends = np.r_[quote[short] + 2, quote[long_] + 3]
+    start[ends[ends < n]] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """encode(texts) -> ids of each as bytes, little-endian unsigned 32-bit. Travels as the file's path; each worker loads it once.
 
@@ -91,8 +143,6 @@ class Encoder:
         return self._loaded[self.path, self.added]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        import numpy as np
-
         tool, cut, lower, added, words = self._tools()
         whole = lambda xs: [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch_fast(xs, add_special_tokens=False)]
         out, odd = [b""] * len(texts), []
@@ -106,3 +156,32 @@ class Encoder:
         for i, x in zip(odd, whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = x
         return out
+
+    def encode_flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, place of each text's first, with an end): as encode, a batch at once."""
+        _, cut, _, added, words = self._tools()
+        data, at = spans.flat(texts)
+        if cut is not BYTES_CUT or not len(data):
+            found = self.encode(texts.to_pylist())
+            return np.frombuffer(b"".join(found), "<u4"), np.r_[0, np.cumsum([len(x) // 4 for x in found], dtype=np.int64)]
+        odd = odd_texts(data, at)
+        if added:
+            odd |= np.array(pc.match_substring_regex(texts, added.pattern, ignore_case=True).fill_null(False))
+        if odd.any():  # these go one way, the others the other, and their ids are put in order
+            plain, at_plain = self.encode_flat(texts.filter(pa.array(~odd)))
+            some = self.encode(texts.filter(pa.array(odd)).to_pylist())
+            counts = np.zeros(len(odd), np.int64)
+            counts[~odd], counts[odd] = np.diff(at_plain), [len(x) // 4 for x in some]
+            ends = np.r_[0, np.cumsum(counts)]
+            out, own = np.empty(ends[-1], "<u4"), np.repeat(odd, counts)
+            out[~own], out[own] = plain, np.frombuffer(b"".join(some), "<u4")
+            return out, ends
+        starts = byte_cuts(data, at)
+        offsets = np.r_[starts, len(data)].astype(np.int32)
+        pre = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        ids = list(map(words.__getitem__, pre.dictionary.to_numpy(zero_copy_only=False)))
+        words.turn()
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        ends = np.r_[0, np.cumsum(counts[pre.indices.to_numpy()])]
+        return lists.take(pre.indices).flatten().to_numpy(), ends[np.searchsorted(starts, at)]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, toxicity
+from quarry.llm import line_dedup, tokens, toxicity
 
 
 def test_folded_sketches_never_rule_out_what_sketches_allow(spark):
@@ -53,3 +56,18 @@ def test_copies_of_a_line_are_one_member_of_each_block(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "star_components", counted)
     assert line_dedup.dedup_lines(docs).where("n_lines_removed = 1").count() == 800
     assert seen[0][0] == seen[0][1] and seen[0][2] == 400
+
+
+def test_batches_are_encoded_at_once_as_the_library_does():
+    library, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    rng = random.Random(3)
+    parts = [" ", "  ", "\t", "\n", " \n ", "'", "''", "'s", "'ll", "'re", "'v", "'ve", "'d", "'st", "'S", "a", "Zé", "ſ", "12", "!", "-'", "<|endoftext|>", "×", "İ", "日", "\x1c", "\xa0"]
+    texts = ["".join(rng.choices(parts[: rng.choice((21, 21, 21, len(parts)))], k=rng.randint(0, 12))) for _ in range(20_000)] + ["", None, "'", " ", "'s", " 's", "x'l"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        tool = library.Tokenizer.from_file(files.path(name))
+        for added in (False, True):
+            tool.encode_special_tokens = not added
+            ids, at = tokens.Encoder(files.path(name), added=added).encode_flat(pa.array(texts))
+            want = [e.ids for e in tool.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+            assert len(at) == len(texts) + 1 and np.diff(at).tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
