@@ -45,7 +45,8 @@ def test_documents_meet_their_labels_once_and_texts_are_not_sorted(spark):
 
 def test_copies_of_a_line_are_one_member_of_each_block(spark, monkeypatch):
     rng = random.Random(7)
-    lines = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(8)) for _ in range(400)]
+    lines = [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(8)) for _ in range(399)]
+    lines.append(lines[0] + "x")  # a pair to confirm
     docs = spark.createDataFrame([(3 * i + k, x) for i, x in enumerate(lines) for k in range(3)], "doc_id long, text string")
     seen, search = [], line_dedup.star_components
 
@@ -53,9 +54,18 @@ def test_copies_of_a_line_are_one_member_of_each_block(spark, monkeypatch):
         seen.append((members.count(), members.distinct().count(), marks.count()))
         return search(members, marks, *args, **options)
 
+    plans, write = {}, line_dedup.written
+
+    def planned(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, what)
+
     monkeypatch.setattr(line_dedup, "star_components", counted)
-    assert line_dedup.dedup_lines(docs).where("n_lines_removed = 1").count() == 800
+    monkeypatch.setattr(line_dedup, "written", planned)
+    assert line_dedup.dedup_lines(docs).where("n_lines_removed = 1").count() == 801
     assert seen[0][0] == seen[0][1] and seen[0][2] == 400
+    # few candidates are sent to the lines, which aren't shuffled for them
+    assert "BroadcastHashJoin" in plans["line-candidates"] and "ShuffledHashJoin" not in plans["line-candidates"]
 
 
 def test_batches_are_encoded_at_once_as_the_library_does():
